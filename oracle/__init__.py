@@ -2,5 +2,5 @@
 
 ``domain.CTES`` re-states the adapter rules as SQL over the driver views;
 ``queries.ORACLE`` holds one SQL text per registered query.  Nothing here
-imports the Spark code.
+imports Spark code; only the constraint metadata lists are shared.
 """

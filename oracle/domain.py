@@ -73,7 +73,7 @@ d_customers AS (
 ),
 d_categories AS (
   SELECT p_partkey AS category_id, CAST(p_partkey % (SELECT n_s FROM p_sizes) AS BIGINT) AS store_id,
-         p_type AS category_name_en
+         p_type AS category_name_en, CAST(NULL AS BIGINT) AS parent_category_id
   FROM part WHERE p_partkey % 50 <> 0
 ),
 d_products AS (
@@ -210,7 +210,8 @@ d_reviews AS (
   SELECT doc_id AS review_id,
          CAST(doc_id % (SELECT n_p FROM p_sizes) AS BIGINT) AS product_id,
          CAST(doc_id % (SELECT n_c FROM p_sizes) AS BIGINT) AS customer_id,
-         CAST(quality * 2 + (1 - toxic) * 2 + 1 AS INTEGER) AS rating_score
+         CAST(quality * 2 + (1 - toxic) * 2 + 1 AS INTEGER) AS rating_score,
+         TIMESTAMP '2001-01-01 00:00:00' AS created_at
   FROM labels
 ),
 dw_dim_merchant AS (

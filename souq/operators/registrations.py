@@ -1,3 +1,49 @@
 """Query registrations for the operator modules."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..queries import register
+from ..sources.adapter import OLTP_TABLES
+from . import quality as G
+from . import semantic as L
+
+
+def _oltp(s):
+    return {t: s.d.table(t) for t in OLTP_TABLES}
+
+
+# ---- semantic layer -------------------------------------------------------
+for _name in ("gmv", "net_revenue", "total_orders", "average_order_value", "merchant_health_score"):
+    register(f"metric_{_name}")(lambda s, _n=_name: L.compile_metric(s.tables(), _n, "store_id"))
+register("metric_query_api")(lambda s: L.metric_query_api(s.tables(), "average_order_value", 10))
+register("compile_metric_by_customer")(lambda s: L.compile_metric(s.tables(), "net_revenue", "customer_id"))
+
+# ---- data quality -----------------------------------------------------------
+register("dq_financial_reconciliation")(lambda s: G.dq_financial_reconciliation(s.d.orders))
+register("dq_referential_integrity")(
+    lambda s: G.dq_referential_integrity(s.d.order_items, s.d.payments, s.d.orders))
+register("dq_boundary")(lambda s: G.dq_boundary(s.d.orders, s.as_of))
+register("dq_warehouse_parity")(lambda s: G.dq_warehouse_parity(s.d.orders, s.fact_orders))
+register("dq_scorecard")(
+    lambda s: G.dq_scorecard(s.d.orders, s.d.order_items, s.d.payments, s.fact_orders, s.as_of))
+register("dq_unique")(lambda s: G.dq_unique(_oltp(s)))
+register("dq_domain")(lambda s: G.dq_domain(_oltp(s)))
+MISSING_COLUMNS = {
+    "customers": ["customer_id", "store_id", "full_name", "email", "phone_number", "region_id", "gender"],
+    "orders": ["order_id", "store_id", "customer_id", "coupon_id", "order_status", "gross_amount",
+               "discount_amount", "vat_amount", "shipping_fee", "net_amount", "order_date"],
+    "payments": ["payment_id", "order_id", "payment_gateway", "payment_status", "transaction_reference",
+                 "amount_paid", "paid_at"],
+    "shipments": ["shipment_id", "order_id", "courier_partner", "tracking_number", "shipment_status",
+                  "shipped_at", "delivered_at"],
+}
+register("dq_missing_pct")(lambda s: G.dq_missing_all(
+    {t: s.d.table(t).select(*cols) for t, cols in MISSING_COLUMNS.items()}))
+register("dq_freshness")(lambda s: G.dq_freshness(_oltp(s), s.as_of))
+register("dq_fk_all")(lambda s: G.dq_fk_all(_oltp(s)))
+register("dq_cardinality")(
+    lambda s: G.dq_cardinality(s.d.orders, s.d.payments, s.d.shipments, s.d.products, s.d.inventory))
+register("fk_delete_propagation")(lambda s: G.fk_delete_propagation(
+    _oltp(s), "merchants", s.d.merchants.where(F.col("status") == "Churned").select("merchant_id")))
