@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..queries import register
 from ..sources.adapter import OLTP_TABLES
+from . import dashboard as B
 from . import quality as G
 from . import semantic as L
 
@@ -47,3 +48,33 @@ register("dq_cardinality")(
     lambda s: G.dq_cardinality(s.d.orders, s.d.payments, s.d.shipments, s.d.products, s.d.inventory))
 register("fk_delete_propagation")(lambda s: G.fk_delete_propagation(
     _oltp(s), "merchants", s.d.merchants.where(F.col("status") == "Churned").select("merchant_id")))
+
+
+# ---- dashboard ----------------------------------------------------------------
+import datetime as _dt  # noqa: E402
+
+register("filter_optional_conjunction")(lambda s: B.filter_optional_conjunction(
+    s.order_wide, region="ASIA", tier="Plus", dates=(_dt.date(1996, 1, 1), _dt.date(1999, 12, 31))))
+register("filter_payment_matrix")(lambda s: B.filter_optional_conjunction(
+    s.order_wide, region="EUROPE", tier="All Tiers", method="Mada"))
+register("filter_options")(lambda s: B.filter_options(s.order_wide, "merchant_region"))
+register("filter_date_bounds")(lambda s: B.filter_date_bounds(s.order_wide))
+register("kpi_summary")(lambda s: B.kpi_summary(s.order_wide))
+register("kpi_summary_filtered")(lambda s: B.kpi_summary(B.filter_optional_conjunction(
+    s.order_wide, category="Electronics", dates=(_dt.date(1997, 1, 1), _dt.date(1997, 12, 31)))))
+register("merchant_leaderboard")(lambda s: B.merchant_leaderboard(s.order_wide))
+register("merchant_top_bottom")(lambda s: B.merchant_top_bottom(s.order_wide))
+register("revenue_by_region")(lambda s: B.revenue_by_region(s.order_wide))
+register("payment_adoption")(lambda s: B.payment_adoption(s.order_wide))
+register("monthly_gmv_trend")(lambda s: B.monthly_gmv_trend(s.order_wide))
+register("monthly_gmv_trend_sparse")(lambda s: B.monthly_gmv_trend(B.filter_optional_conjunction(
+    s.order_wide, region="AFRICA", tier="Pro", category="Electronics", method="COD")))
+register("region_share_geo")(lambda s: B.region_share_geo(s.order_wide))
+register("gateway_matrix")(lambda s: B.gateway_matrix(s.order_wide))
+register("bnpl_projection")(lambda s: B.bnpl_projection(s.order_wide, 20))
+register("basket_distribution")(lambda s: B.basket_distribution(s.order_wide))
+register("gateway_scatter")(lambda s: B.gateway_scatter(s.order_wide))
+register("vat_audit_ledger")(lambda s: B.vat_audit_ledger(s.order_wide))
+register("vat_audit_flagged")(lambda s: B.vat_audit_ledger(s.order_wide, status="Flagged Variance", region="ASIA"))
+register("vat_audit_status_counts")(lambda s: B.vat_audit_status_counts(B.vat_audit_ledger(s.order_wide)))
+register("vat_variance_histogram")(lambda s: B.vat_variance_histogram(B.vat_audit_ledger(s.order_wide)))
