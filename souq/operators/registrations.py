@@ -78,3 +78,48 @@ register("vat_audit_ledger")(lambda s: B.vat_audit_ledger(s.order_wide))
 register("vat_audit_flagged")(lambda s: B.vat_audit_ledger(s.order_wide, status="Flagged Variance", region="ASIA"))
 register("vat_audit_status_counts")(lambda s: B.vat_audit_status_counts(B.vat_audit_ledger(s.order_wide)))
 register("vat_variance_histogram")(lambda s: B.vat_variance_histogram(B.vat_audit_ledger(s.order_wide)))
+
+# ---- declared metrics, experiments, features -----------------------------------
+from . import experiments as X  # noqa: E402
+from . import features as FT  # noqa: E402
+from . import growth as GR  # noqa: E402
+from ..plans import marts as _M  # noqa: E402
+
+
+def _rfm(s):
+    return _M.mart_customer_rfm(s.dim_customer, s.fact_orders, s.dim_date, s.as_of)
+
+
+register("session_funnel")(lambda s: GR.session_funnel(s.d.customer_sessions))
+register("campaign_roi")(lambda s: GR.campaign_roi(s.d.campaigns, s.fact_orders))
+register("customer_acquisition")(lambda s: GR.customer_acquisition(s.fact_orders))
+register("gmv_growth")(lambda s: GR.gmv_growth(s.fact_orders, s.dim_store))
+register("gmv_trajectory")(lambda s: GR.gmv_trajectory(s.fact_orders, s.dim_store, s.as_of))
+register("repeat_purchase_rate")(lambda s: GR.repeat_purchase_rate(s.fact_orders))
+register("customer_order_count")(lambda s: GR.customer_order_count(s.d.customers, s.d.orders))
+register("customer_segments")(lambda s: GR.customer_segments(_rfm(s)))
+register("retention_cohort")(lambda s: GR.retention_cohort(s.fact_orders))
+register("product_ranking")(lambda s: GR.product_ranking(s.fact_sales, s.dim_product))
+register("category_performance")(lambda s: GR.category_performance(s.fact_sales, s.dim_product))
+register("inventory_status")(lambda s: GR.inventory_status(s.d.inventory, s.fact_sales, s.as_of))
+register("declining_products")(lambda s: GR.declining_products(s.fact_sales, s.as_of))
+register("delivery_performance")(lambda s: GR.delivery_performance(s.d.shipments))
+register("return_rate")(lambda s: GR.return_rate(s.d.orders, s.d.returns))
+register("refund_by_reason")(lambda s: GR.refund_by_reason(s.d.returns))
+register("review_rating_summary")(lambda s: GR.review_rating_summary(s.d.reviews))
+register("support_ticket_summary")(lambda s: GR.support_ticket_summary(s.d.support_tickets))
+register("merchant_benchmark")(lambda s: GR.merchant_benchmark(s.fact_orders, s.dim_store))
+register("coupon_usage")(lambda s: GR.coupon_usage(s.d.coupons, s.d.orders))
+register("seasonal_sales")(lambda s: GR.seasonal_sales(s.fact_orders, s.dim_date))
+register("customer_churn_risk")(lambda s: GR.customer_churn_risk(s.fact_orders, s.as_of))
+
+register("ab_rates")(lambda s: X.ab_rates(s.d.raw("events")))
+register("ab_two_proportion_test")(lambda s: X.ab_two_proportion_test(s.d.raw("events")))
+register("ab_ndcg_at_k")(lambda s: X.ab_ndcg_at_k(s.d.raw("events")))
+register("ab_srm_check")(lambda s: X.ab_srm_check(s.d.raw("events")))
+register("ab_cvr_daily")(lambda s: X.ab_cvr_daily(s.d.raw("events")))
+register("ab_metric_table")(lambda s: X.ab_metric_table(s.d.raw("events")))
+
+register("feature_avg_aov_30d")(lambda s: FT.feature_avg_aov_30d(s.fact_orders, s.dim_store))
+register("feature_orders_7d")(lambda s: FT.feature_orders_7d(s.fact_orders, s.dim_store))
+register("customer_preferred_gateway")(lambda s: FT.customer_preferred_gateway(s.fact_orders))
