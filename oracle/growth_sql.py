@@ -252,3 +252,34 @@ FROM (SELECT customer_id, payment_gateway, n,
       FROM (SELECT customer_id, payment_gateway, COUNT(*) AS n FROM dw_fact_orders GROUP BY 1, 2) a) b
 WHERE r = 1""",
 }
+
+BODIES["churn_features"] = """
+SELECT m.merchant_id, m.subscription_plan, m.status,
+       CAST(COALESCE(SUM(f.gross_amount), 0) AS DECIMAL(20,2)) AS total_gmv,
+       CAST(COALESCE(COUNT(DISTINCT f.order_id), 0) AS BIGINT) AS total_orders,
+       COALESCE(CAST(SUM(f.net_amount) AS DOUBLE) / NULLIF(CAST(COUNT(f.net_amount) AS DOUBLE), 0), 0.0::DOUBLE)
+         AS avg_order_value,
+       CAST((SELECT COUNT(*) FROM d_tickets st WHERE st.merchant_id = m.merchant_id) AS BIGINT) AS support_ticket_count,
+       CAST(m.status = 'Churned' AS INTEGER) AS is_churned
+FROM dw_dim_merchant m
+LEFT JOIN dw_dim_store s ON m.merchant_id = s.merchant_id
+LEFT JOIN dw_fact_orders f ON s.store_id = f.store_id
+GROUP BY m.merchant_id, m.subscription_plan, m.status"""
+
+BODIES["clv_features"] = f"""
+WITH rfm AS (
+  SELECT c.customer_id, CAST(datediff('day', MAX(d.full_date), {AS_OF}) AS INTEGER) AS recency_days,
+         COUNT(DISTINCT o.order_id) AS frequency_orders, CAST(SUM(o.net_amount) AS DECIMAL(20,2)) AS monetary_value
+  FROM dw_dim_customer c JOIN dw_fact_orders o ON c.customer_id = o.customer_id
+  JOIN dim_date_t d ON o.date_id = d.date_id GROUP BY c.customer_id)
+SELECT customer_id, recency_days, frequency_orders, monetary_value,
+       GREATEST(CAST(monetary_value AS DOUBLE) * 1.2::DOUBLE + CAST(frequency_orders AS DOUBLE) * 15.0::DOUBLE
+                - CAST(recency_days AS DOUBLE) * 0.5::DOUBLE, 0.0::DOUBLE) AS future_12m_spend
+FROM rfm"""
+
+BODIES["merchant_health_by_merchant"] = """
+SELECT s.merchant_id,
+       CASE WHEN COALESCE(SUM(f.gross_sales), 1) > 0
+            THEN ROUND(LEAST(100, GREATEST(0, LOG10(COALESCE(SUM(f.gross_sales), 1)) * 20
+                                             + COUNT(DISTINCT f.order_id) * 0.1)), 6) END AS health_score
+FROM dw_fact_sales f JOIN dw_dim_store s ON f.store_id = s.store_id GROUP BY s.merchant_id"""

@@ -123,3 +123,65 @@ register("ab_metric_table")(lambda s: X.ab_metric_table(s.d.raw("events")))
 register("feature_avg_aov_30d")(lambda s: FT.feature_avg_aov_30d(s.fact_orders, s.dim_store))
 register("feature_orders_7d")(lambda s: FT.feature_orders_7d(s.fact_orders, s.dim_store))
 register("customer_preferred_gateway")(lambda s: FT.customer_preferred_gateway(s.fact_orders))
+
+# ---- machine learning and merchant risk ------------------------------------------
+from . import ml as ML  # noqa: E402
+
+
+def _churn_features(s):
+    return ML.churn_features(s.dim_merchant, s.dim_store, s.fact_orders, s.d.support_tickets)
+
+
+def _clv_features(s):
+    return ML.clv_features(_rfm(s))
+
+
+def _churn_train_eval(s):
+    model, split = ML.train_churn(_churn_features(s))
+    return ML.churn_evaluate(model, split.where("is_test"))
+
+
+def _clv_train_eval(s):
+    model, split = ML.train_clv(_clv_features(s))
+    return ML.clv_evaluate(model, split.where("is_test"))
+
+
+def _churn_scores(s, persist=False):
+    feats = _churn_features(s)
+    model, _ = ML.train_churn(feats)
+    if persist:
+        path = ML.save_model(model, ML.model_path(s.d.spark, "merchant_churn"))
+        model = ML.load_model(path)
+    return ML.churn_score(model, feats)
+
+
+def _merchant_health(s):
+    src = s.fact_sales.join(s.dim_store.select("store_id", "merchant_id"), "store_id")
+    return L.compile_metric({"dw_fact_sales": src}, "merchant_health_score", "merchant_id") \
+        .withColumnRenamed("merchant_health_score", "health_score")
+
+
+def _risk_table(s):
+    from ..operators import growth as _GR
+    churn = _churn_scores(s).join(s.dim_merchant.select("merchant_id", "merchant_name"), "merchant_id")
+    growth = _GR.gmv_trajectory(s.fact_orders, s.dim_store, s.as_of).select("merchant_id", "gmv_growth")
+    return B.merchant_risk_table(_merchant_health(s), growth, churn)
+
+
+register("churn_features")(_churn_features)
+register("clv_features")(_clv_features)
+register("stratified_split")(lambda s: ML.split_summary(ML.hash_split(_churn_features(s), "merchant_id"),
+                                                       "is_churned"))
+register("churn_train_evaluate")(_churn_train_eval)
+register("clv_train_evaluate")(_clv_train_eval)
+register("churn_score")(_churn_scores)
+register("model_save_load")(lambda s: _churn_scores(s, persist=True))
+register("merchant_health_by_merchant")(_merchant_health)
+register("merchant_risk_table")(_risk_table)
+register("merchant_risk_filtered")(lambda s: B.merchant_risk_table(
+    _merchant_health(s),
+    __import__("souq.operators.growth", fromlist=["x"]).gmv_trajectory(
+        s.fact_orders, s.dim_store, s.as_of).select("merchant_id", "gmv_growth"),
+    _churn_scores(s).join(s.dim_merchant.select("merchant_id", "merchant_name"), "merchant_id"),
+    risk="Healthy", min_health=90.0))
+register("risk_level_counts")(lambda s: B.risk_level_counts(_risk_table(s)))
