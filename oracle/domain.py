@@ -152,7 +152,7 @@ d_order_items AS (
          CAST(l_quantity AS INTEGER) AS quantity,
          {_money('l_extendedprice')} AS unit_price,
          CAST({_money('l_extendedprice')} * CAST(l_quantity AS INTEGER) AS DECIMAL(10,2)) AS total_price,
-         l_returnflag, l_shipdate
+         l_returnflag, l_shipdate, l_linenumber AS line_number
   FROM lineitem
 ),
 d_payments AS (

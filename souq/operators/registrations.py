@@ -185,3 +185,164 @@ register("merchant_risk_filtered")(lambda s: B.merchant_risk_table(
     _churn_scores(s).join(s.dim_merchant.select("merchant_id", "merchant_name"), "merchant_id"),
     risk="Healthy", min_health=90.0))
 register("risk_level_counts")(lambda s: B.risk_level_counts(_risk_table(s)))
+
+# ---- access log, streams, sources and sinks ------------------------------------------
+import os as _os  # noqa: E402
+
+from pyspark.sql import types as _T  # noqa: E402
+
+from ..plans import warehouse as _W  # noqa: E402
+from ..sources import sinks as S  # noqa: E402
+from ..streaming import streams as T  # noqa: E402
+from . import access_log as AL  # noqa: E402
+
+_TS = "yyyy-MM-dd HH:mm:ss"
+
+
+def _log_view(df):
+    return df.withColumn("login_time", F.date_format("login_time", _TS))
+
+
+register("access_log_normalize")(lambda s: _log_view(AL.access_log_normalize(s.d.access_requests)))
+
+
+def _audit_log_append(s):
+    path = S.work_path(s.d.spark, "audit_log")
+    rows = AL.access_log_normalize(s.d.access_requests)
+    legacy = rows.where(F.col("login_time") < F.lit("2024-01-15").cast("timestamp")).select(*S.AUDIT_BASE_COLUMNS)
+    S.audit_log_append(legacy, path)
+    S.audit_log_append(rows.where(F.col("login_time") >= F.lit("2024-01-15").cast("timestamp"))
+                       .drop("email_valid"), path)
+    return _log_view(S.read_audit_log(s.d.spark, path))
+
+
+register("audit_log_append")(_audit_log_append)
+
+
+def _stream(s, name):
+    spark = s.d.spark
+    return S.work_path(spark, name, "sink"), S.work_path(spark, name, "checkpoint")
+
+
+def _stream_counts(s, mode):
+    sink, ck = _stream(s, "order_counts")
+    out = T.stream_order_counts(s.d.spark, s.d.sf_dir, sink, ck, mode=mode)
+    return out.select(F.to_date("window_start").alias("window_start"), "orders", "gross_amount")
+
+
+register("stream_order_counts")(lambda s: _stream_counts(s, "complete"))
+register("stream_order_counts_append")(lambda s: _stream_counts(s, "append"))
+register("stream_dq_checks")(lambda s: T.stream_dq_checks(s.d.spark, s.d.sf_dir, *_stream(s, "dq"), s.as_of))
+register("stream_access_log")(lambda s: T.stream_access_log(s.d.spark, s.d.sf_dir, *_stream(s, "access"))
+                              .select("user_id", "consent_status",
+                                      F.date_format("login_minute", _TS).alias("login_minute")))
+
+_ORDERS_SCHEMA = _T.StructType([
+    _T.StructField("o_orderkey", _T.LongType()), _T.StructField("o_custkey", _T.LongType()),
+    _T.StructField("o_orderstatus", _T.StringType()), _T.StructField("o_totalprice", _T.DoubleType()),
+    _T.StructField("o_orderdate", _T.TimestampNTZType()), _T.StructField("o_orderpriority", _T.StringType())])
+
+register("scan_table")(lambda s: S.scan_table(
+    s.d.spark, _os.path.join(s.d.sf_dir, "orders.parquet"), _ORDERS_SCHEMA,
+    columns=["o_orderkey", "o_custkey", "o_totalprice"], where="o_orderstatus = 'F'"))
+
+
+def _scan_whole(s):
+    s.d.raw("supplier").createOrReplaceTempView("supplier_raw")
+    return S.scan_whole_table(s.d.spark, "supplier_raw")
+
+
+register("scan_whole_table")(_scan_whole)
+
+_OVERVIEW_SQL = """
+SELECT m.merchant_id, m.merchant_name, m.subscription_plan, m.status,
+       CAST(COALESCE(SUM(f.gross_amount), 0) AS DECIMAL(20,2)) AS total_gmv_sar,
+       CAST(COALESCE(SUM(f.net_amount), 0) AS DECIMAL(20,2)) AS total_net_revenue_sar,
+       CAST(COALESCE(COUNT(DISTINCT f.order_id), 0) AS BIGINT) AS total_orders
+FROM dw_dim_merchant m
+LEFT JOIN dw_dim_store s ON m.merchant_id = s.merchant_id
+LEFT JOIN dw_fact_orders f ON s.store_id = f.store_id
+WHERE m.merchant_id = :merchant_id
+GROUP BY m.merchant_id, m.merchant_name, m.subscription_plan, m.status"""
+
+
+def _param_scan(s):
+    S.register_views({k: v for k, v in s.tables().items() if k != "dim_date"})
+    return S.param_scan(s.d.spark, _OVERVIEW_SQL, merchant_id=7)
+
+
+register("param_scan")(_param_scan)
+
+
+def _append_sink(s):
+    path = S.work_path(s.d.spark, "append")
+    f = s.fact_orders
+    S.append_sink(f.where(F.col("date_id") < 19980101), path)
+    S.append_sink(f.where(F.col("date_id") >= 19980101), path)
+    return s.d.spark.read.parquet(path)
+
+
+register("append_sink")(_append_sink)
+
+
+def _counts(spark, paths, fmt="parquet"):
+    from functools import reduce
+    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+    parts = [reader.format(fmt).load(p).agg(F.count(F.lit(1)).alias("row_count"))
+             .select(F.lit(n).alias("table_name"), "row_count") for n, p in paths.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _truncate_reload(s):
+    base = S.work_path(s.d.spark, "reload")
+    tables = {k: s.tables()[k] for k in ("dw_fact_orders", "dw_fact_sales", "dw_dim_store", "dw_dim_merchant")}
+    paths = S.truncate_reload(s.d.spark, tables, base)
+    paths = S.truncate_reload(s.d.spark, tables, base)  # reloading again replaces, never duplicates
+    return _counts(s.d.spark, paths)
+
+
+register("truncate_reload")(_truncate_reload)
+
+
+def _csv_export(s):
+    base = S.work_path(s.d.spark, "lake")
+    t = s.tables()
+    paths = S.csv_lake_export({k: t[k] for k in ("dw_fact_orders", "dw_dim_merchant", "dw_dim_customer",
+                                                  "dw_dim_store")}, base)
+    return _counts(s.d.spark, paths, "csv")
+
+
+register("csv_lake_export")(_csv_export)
+
+
+def _parquet_export(s):
+    path = S.work_path(s.d.spark, "lake_parquet")
+    f = s.fact_orders.withColumn("year_month", F.substring(F.col("date_id").cast("string"), 1, 6))
+    S.parquet_lake_export(f, path, ["year_month"])
+    return s.d.spark.read.parquet(path).where(F.col("year_month") == "199703").drop("year_month")
+
+
+register("parquet_lake_export")(_parquet_export)
+
+
+def _upsert(s):
+    items = s.d.order_items.select("order_item_id", "order_id", "line_number", "product_id", "quantity",
+                                   "unit_price", "total_price", "ship_date")
+    target = items.where(F.col("ship_date") < F.lit("1998-01-01").cast("timestamp"))
+    keys = ["order_id", "line_number"]
+    once = _W.upsert_by_key(target, items, keys, "order_item_id")
+    twice = _W.upsert_by_key(once, items, keys, "order_item_id")
+    return twice.drop("ship_date")
+
+
+register("upsert_by_key")(_upsert)
+
+
+def _views(s):
+    S.register_views({"vw_fct_customer_rfm": _rfm(s)})
+    return s.d.spark.sql("SELECT * FROM vw_fct_customer_rfm")
+
+
+register("register_views")(_views)
+register("json_records")(lambda s: S.json_records(
+    _M.merchant_overview(s.dim_merchant, s.dim_store, s.fact_orders)))

@@ -81,6 +81,53 @@ def _days(n: Column) -> Column:
     return F.make_dt_interval(days=n.cast("int"))
 
 
+def order_money(o: DataFrame) -> DataFrame:
+    """Per-row order pricing rule of the adapter (also used on streams)."""
+    k = F.col("o_orderkey")
+    rate = F.when(k % 3 == 0, F.lit(Decimal("0.00"))).when(k % 3 == 1, F.lit(Decimal("0.10"))) \
+        .otherwise(F.lit(Decimal("0.15")))
+    gross = money(F.col("o_totalprice"))
+    o = o.withColumns({"discount_rate": rate, "gross_amount": gross})
+    o = o.withColumn("discount_amount", F.round(F.col("gross_amount") * F.col("discount_rate"), 2).cast(DEC))
+    vat = F.round((F.col("gross_amount") - F.col("discount_amount")) * F.lit(Decimal("0.15")), 2) \
+        + F.when(k % 97 == 0, F.lit(Decimal("2.00"))).otherwise(F.lit(Decimal("0.00")))
+    o = o.withColumns({"vat_amount": vat.cast(DEC), "shipping_fee": F.lit(Decimal("25.00")).cast(DEC)})
+    net = (F.col("gross_amount") - F.col("discount_amount") + F.col("vat_amount") + F.col("shipping_fee")
+           + F.when(k % 101 == 0, F.lit(Decimal("1.00"))).otherwise(F.lit(Decimal("0.00"))))
+    return o.withColumn("net_amount", net.cast(DEC))
+
+
+def access_requests(events: DataFrame) -> DataFrame:
+    """Raw consent/login requests derived per event (headers as a client sends them).
+
+    Adapter rules: status REJECTED for error events; IP headers rotate by
+    event id (empty strings, a comma list in X-Forwarded-For, or none at
+    all); Accept-Language ar / en / missing; blank names; malformed e-mails.
+    """
+    i, u = F.col("event_id"), F.col("user_id")
+    octet = lambda c: (c % 256).cast("string")
+    return events.select(
+        i.alias("log_id"),
+        F.concat(F.lit("HW-"), F.lpad(u.cast("string"), 8, "0")).alias("user_id"),
+        F.when(F.col("event_type") == "error", "REJECTED").otherwise("ACCEPTED").alias("consent_status"),
+        F.when(i % 3 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("agent-"), i.cast("string"), F.lit(" "), F.repeat(F.lit("x"), (i % 300).cast("int"))))
+        .alias("user_agent"),
+        F.when(i % 4 == 0, F.lit("")).alias("cf_connecting_ip"),
+        F.when(i % 4 == 1, F.concat(F.lit("10.1."), octet(u), F.lit("."), octet(i))).alias("true_client_ip"),
+        F.when((i % 4 == 0) | (i % 4 == 2), F.concat(F.lit(" 10.2."), octet(u), F.lit("."), octet(i),
+                                                     F.lit(" , 172.16.0."), (i % 7).cast("string")))
+        .alias("x_forwarded_for"),
+        F.when(i % 4 == 3, F.lit("")).alias("x_real_ip"),
+        F.when(i % 3 == 0, "ar-SA,ar;q=0.9").when(i % 3 == 1, "en-US").alias("accept_language"),
+        F.when(i % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit("User "), u.cast("string"))).alias("full_name"),
+        F.when(i % 6 == 0, F.lit("bad-email")).otherwise(
+            F.concat(F.lit("user"), u.cast("string"), F.lit("@example.com"))).alias("email"),
+        F.lit("").alias("country"),
+        F.col("ts").cast("timestamp").alias("login_time"),
+    )
+
+
 class Domain:
     """Lazy domain tables over one driver directory."""
 
@@ -267,18 +314,7 @@ class Domain:
         )
 
     def _order_money(self, o: DataFrame) -> DataFrame:
-        k = F.col("o_orderkey")
-        rate = F.when(k % 3 == 0, F.lit(Decimal("0.00"))).when(k % 3 == 1, F.lit(Decimal("0.10"))) \
-            .otherwise(F.lit(Decimal("0.15")))
-        gross = money(F.col("o_totalprice"))
-        o = o.withColumns({"discount_rate": rate, "gross_amount": gross})
-        o = o.withColumn("discount_amount", F.round(F.col("gross_amount") * F.col("discount_rate"), 2).cast(DEC))
-        vat = F.round((F.col("gross_amount") - F.col("discount_amount")) * F.lit(Decimal("0.15")), 2) \
-            + F.when(k % 97 == 0, F.lit(Decimal("2.00"))).otherwise(F.lit(Decimal("0.00")))
-        o = o.withColumns({"vat_amount": vat.cast(DEC), "shipping_fee": F.lit(Decimal("25.00")).cast(DEC)})
-        net = (F.col("gross_amount") - F.col("discount_amount") + F.col("vat_amount") + F.col("shipping_fee")
-               + F.when(k % 101 == 0, F.lit(Decimal("1.00"))).otherwise(F.lit(Decimal("0.00"))))
-        return o.withColumn("net_amount", net.cast(DEC))
+        return order_money(o)
 
     @cached_property
     def orders(self) -> DataFrame:
@@ -410,6 +446,10 @@ class Domain:
             F.col("ts").cast("timestamp").alias("created_at"),
         )
 
+    @cached_property
+    def access_requests(self) -> DataFrame:
+        return access_requests(self.raw("events"))
+
     @cached_property
     def reviews(self) -> DataFrame:
         lb = self.raw("labels")
