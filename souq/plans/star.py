@@ -36,7 +36,9 @@ class Star:
 
     @cached_property
     def dim_date(self) -> DataFrame:
-        return W.dim_date_for(self.d.orders)
+        """Whole years around the first and last order (data-derived horizon)."""
+        lo, hi = W.year_horizon(*self.d.order_date_bounds)
+        return W.dim_date(self.d.spark, lo, hi)
 
     @cached_property
     def fact_sales(self) -> DataFrame:

@@ -20,7 +20,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import date_key
+from ..functions.dates import date_from_key, date_key
 from ..functions.money import DEC
 
 
@@ -92,17 +92,22 @@ def dim_date(spark: SparkSession, start: dt.date | Column, end: dt.date | Column
     )
 
 
+def year_horizon(first: dt.date, last: dt.date) -> tuple[dt.date, dt.date]:
+    """Whole calendar years covering [first, last]."""
+    return dt.date(first.year, 1, 1), dt.date(last.year, 12, 31)
+
+
 def dim_date_for(orders: DataFrame) -> DataFrame:
     """Calendar covering whole years from the first to the last order (Q10).
 
     The horizon comes from the data through scalar subqueries, so the
     calendar never silently drops an order date.
     """
-    bounds = orders.select(F.min(F.to_date("order_date")).alias("lo"),
-                           F.max(F.to_date("order_date")).alias("hi"))
-    lo = bounds.select(F.trunc("lo", "year")).scalar()
-    hi = bounds.select(F.add_months(F.trunc("hi", "year"), 12) - F.expr("INTERVAL 1 DAY")).scalar()
-    return dim_date(orders.sparkSession, lo, F.to_date(hi))
+    bounds = orders.select(F.struct(F.min(F.to_date("order_date")).alias("lo"),
+                                    F.max(F.to_date("order_date")).alias("hi"))).scalar()
+    lo = F.trunc(bounds["lo"], "year")
+    hi = F.date_sub(F.add_months(F.trunc(bounds["hi"], "year"), 12), 1)
+    return dim_date(orders.sparkSession, lo, hi)
 
 
 def fact_sales(order_items: DataFrame, orders: DataFrame, products: DataFrame) -> DataFrame:
@@ -159,7 +164,7 @@ def order_wide(fact: DataFrame, d_store: DataFrame, d_merchant: DataFrame) -> Da
         fact.join(st, "store_id").join(m, "merchant_id")
         .select(
             "order_id",
-            F.to_date(F.col("date_id").cast("string"), "yyyyMMdd").alias("order_date"),
+            date_from_key("date_id").alias("order_date"),
             (F.col("gross_amount") - F.col("discount_amount")).cast(DEC).alias("order_amount_sar"),
             F.col("vat_amount").alias("vat_amount_sar"),
             F.col("payment_gateway").alias("payment_method"),

@@ -18,10 +18,25 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
 
 
+_STARS: dict = {}
+
+
+def star_for(spark: SparkSession, sf_dir: str) -> Star:
+    """One lazy star (logical plans only, no data) per session and directory.
+
+    Plans are immutable, so queries share the already-built dimension and
+    fact plans instead of rebuilding them through the JVM gateway.
+    """
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _STARS:
+        _STARS[key] = Star(Domain(spark, sf_dir))
+    return _STARS[key]
+
+
 def register(name: str):
     def deco(fn: Callable[[Star], DataFrame]) -> Callable[[Star], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Star(Domain(spark, sf_dir)))
+            return fn(star_for(spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         REGISTRY[name] = run

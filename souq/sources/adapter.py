@@ -1,10 +1,10 @@
 """Domain adapter: deterministic views of the merchant schema over the
 driver's TPC-H-like tables.
 
-Every rule is a per-row expression or a one-row scalar subquery (table
-counts), so each domain table is a narrow projection of one driver scan:
-no shuffle, no driver round trip, and Catalyst prunes the columns each
-query needs down to the Parquet reader.  The only bounded broadcasts are
+Every rule is a per-row expression over one driver scan (the few table
+cardinalities the rules need are measured once per session, see
+``Domain.sizes``): no shuffle, and Catalyst prunes the columns each query
+needs down to the Parquet reader.  The only bounded broadcasts are
 ``nation`` (25 rows) and ``region`` (5 rows), fixed by the TPC-H spec.
 
 Rules (N = count(supplier), S = floor(1.2 N) stores, money scaled by 0.002):
@@ -68,6 +68,7 @@ TICKET_STATUSES = ["Open", "In_Progress", "Resolved", "Closed"]
 SESSION_CHANNELS = ["Direct", "Instagram", "Google", "TikTok", "Snapchat"]
 
 DEFAULT_AS_OF = dt.date(2001, 8, 2)
+_SIZES: dict = {}
 BASE_DATE = dt.date(1995, 1, 1)
 
 
@@ -135,26 +136,52 @@ class Domain:
         self.spark = spark
         self.sf_dir = sf_dir
         self.as_of = as_of
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.sf_dir, name)
+        if name not in self._raw:
+            self._raw[name] = read_table(self.spark, self.sf_dir, name)
+        return self._raw[name]
+
+    # -- table cardinalities -------------------------------------------------
+    # Adapter parameters (store count, key moduli, calendar bounds) depend on
+    # the size of small driver tables.  They are measured once per session
+    # and directory with a single aggregate job and enter the plans as
+    # literals, so every later plan is constant-folded and launches no
+    # subquery jobs.
+    @cached_property
+    def sizes(self) -> dict:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _SIZES:
+            one = self.spark.range(1).select(
+                self.raw("supplier").select(F.count(F.lit(1))).scalar().alias("n_m"),
+                self.raw("part").select(F.count(F.lit(1))).scalar().alias("n_p"),
+                self.raw("customer").select(F.count(F.lit(1))).scalar().alias("n_c"),
+                self.raw("orders").select(F.min(F.to_date("o_orderdate"))).scalar().alias("lo"),
+                self.raw("orders").select(F.max(F.to_date("o_orderdate"))).scalar().alias("hi"),
+            ).first()
+            _SIZES[key] = one.asDict()
+        return _SIZES[key]
 
-    # -- scalar sizes (one-row scalar subqueries, planned once) -------------
     @property
     def n_merchants(self) -> Column:
-        return self.raw("supplier").select(F.count(F.lit(1))).scalar()
+        return F.lit(int(self.sizes["n_m"]))
 
     @property
     def n_stores(self) -> Column:
-        return F.floor(self.n_merchants * 6 / 5)
+        return F.lit(int(self.sizes["n_m"]) * 6 // 5)
 
     @property
     def n_products(self) -> Column:
-        return self.raw("part").select(F.count(F.lit(1))).scalar()
+        return F.lit(int(self.sizes["n_p"]))
 
     @property
     def n_customers(self) -> Column:
-        return self.raw("customer").select(F.count(F.lit(1))).scalar()
+        return F.lit(int(self.sizes["n_c"]))
+
+    @property
+    def order_date_bounds(self) -> tuple[dt.date, dt.date]:
+        return self.sizes["lo"], self.sizes["hi"]
 
     def _nation_region(self) -> DataFrame:
         # 25 rows by the TPC-H spec: a bounded broadcast.
