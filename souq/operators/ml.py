@@ -93,7 +93,9 @@ def churn_pipeline(num_trees: int = 150, max_depth: int = 10) -> Pipeline:
     zero vector), random forest with balanced class weights."""
     idx = StringIndexer(inputCol=CHURN_CATEGORICAL, outputCol="plan_idx", handleInvalid="keep",
                         stringOrderType="alphabetAsc")
-    ohe = OneHotEncoder(inputCols=["plan_idx"], outputCols=["plan_vec"], dropLast=True, handleInvalid="keep")
+    # the indexer's unknown bucket is the last category; dropLast removes it,
+    # so an unseen plan encodes as the all-zero vector
+    ohe = OneHotEncoder(inputCols=["plan_idx"], outputCols=["plan_vec"], dropLast=True)
     num = VectorAssembler(inputCols=CHURN_NUMERIC, outputCol="num_vec")
     scaler = StandardScaler(inputCol="num_vec", outputCol="num_scaled", withMean=True, withStd=True)
     feats = VectorAssembler(inputCols=["num_scaled", "plan_vec"], outputCol="features")
@@ -129,20 +131,33 @@ def train_clv(features: DataFrame, **kw) -> tuple[PipelineModel, DataFrame]:
 
 # ---- M4, M6: evaluation -------------------------------------------------------------
 def churn_evaluate(model: PipelineModel, test: DataFrame) -> DataFrame:
-    """M4: AUC and per-class precision / recall / F1 on the holdout."""
-    spark = test.sparkSession
-    scored = model.transform(test)
-    rows = [("auc", None, BinaryClassificationEvaluator(
-        labelCol="is_churned", rawPredictionCol="rawPrediction", metricName="areaUnderROC").evaluate(scored))]
-    for label in (0.0, 1.0):
-        for metric, name in (("precisionByLabel", "precision"), ("recallByLabel", "recall"),
-                             ("fMeasureByLabel", "f1")):
-            ev = MulticlassClassificationEvaluator(labelCol="is_churned", predictionCol="prediction",
-                                                   metricName=metric, metricLabel=label)
-            rows.append((name, int(label), ev.evaluate(scored)))
-    n = scored.groupBy("is_churned").count().collect()  # two rows: class supports
-    rows += [("support", int(r["is_churned"]), float(r["count"])) for r in n]
-    return spark.createDataFrame(rows, "metric string, class int, value double")
+    """M4: AUC and per-class precision / recall / F1 / support on the holdout.
+
+    Per-class metrics are conditional counts in one aggregate over the
+    scored rows (NULL when a ratio is undefined, e.g. a class absent from a
+    small holdout); AUC comes from the ranking evaluator and is NULL unless
+    both classes occur.
+    """
+    scored = model.transform(test).select(F.col("is_churned").cast("double").alias("y"), "prediction",
+                                          "rawPrediction")
+    y, p = F.col("y"), F.col("prediction")
+    aggs = [F.countDistinct("y").alias("n_classes")]
+    for c in (0, 1):
+        aggs += [F.count_if((y == c) & (p == c)).alias(f"tp{c}"), F.count_if((y != c) & (p == c)).alias(f"fp{c}"),
+                 F.count_if((y == c) & (p != c)).alias(f"fn{c}")]
+    counts = scored.agg(*aggs).first()  # one row of counts
+    auc = None
+    if counts["n_classes"] == 2:
+        auc = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="rawPrediction",
+                                            metricName="areaUnderROC").evaluate(scored)
+    rows = [("auc", None, auc)]
+    for c in (0, 1):
+        tp, fp, fn = counts[f"tp{c}"], counts[f"fp{c}"], counts[f"fn{c}"]
+        prec = tp / (tp + fp) if tp + fp else None
+        rec = tp / (tp + fn) if tp + fn else None
+        f1 = 2 * prec * rec / (prec + rec) if prec and rec else (0.0 if prec is not None and rec is not None else None)
+        rows += [("precision", c, prec), ("recall", c, rec), ("f1", c, f1), ("support", c, float(tp + fn))]
+    return test.sparkSession.createDataFrame(rows, "metric string, class int, value double")
 
 
 def clv_evaluate(model: PipelineModel, test: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans import marts as M
+from .plans import warehouse as W
 from .plans.star import Star
 from .sources.adapter import Domain
 
@@ -49,7 +50,8 @@ register("dim_merchant")(lambda s: s.dim_merchant)
 register("dim_store")(lambda s: s.dim_store)
 register("dim_customer")(lambda s: s.dim_customer)
 register("dim_product")(lambda s: s.dim_product)
-register("dim_date")(lambda s: s.dim_date)
+# the calendar's horizon is derived from the orders inside the plan
+register("dim_date")(lambda s: W.dim_date_for(s.d.orders))
 register("fact_sales")(lambda s: s.fact_sales)
 register("fact_orders")(lambda s: s.fact_orders)
 register("order_wide")(lambda s: s.order_wide)
