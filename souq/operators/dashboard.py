@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import DEC_SUM, safe_ratio
+from ..functions.quantiles import five_number_summary
 
 # ---------------------------------------------------------------------------
 # Dashboard labels, coordinates and constants.
@@ -172,13 +173,20 @@ def bnpl_projection(df: DataFrame, boost_pct: int = 20) -> DataFrame:
     )
 
 
-def basket_distribution(df: DataFrame, accuracy: int = 100000) -> DataFrame:
-    """Method -> five-number summary of order value.
+def basket_distribution(df: DataFrame) -> DataFrame:
+    """Method -> exact five-number summary of order value (box plot).
 
-    ``percentile_approx`` keeps a bounded, mergeable sketch per group
-    (relative rank error 1/accuracy), so a method holding a third of all
-    orders is summarised without gathering its values in one task.
+    Built from a (method, amount) histogram, so a method holding a third of
+    all orders costs its number of distinct amounts, never its row count.
     """
+    return five_number_summary(df.where(F.col("payment_method").isNotNull()), ["payment_method"],
+                               "order_amount_sar")
+
+
+def basket_distribution_approx(df: DataFrame, accuracy: int = 100000) -> DataFrame:
+    """B10, sketch variant: ``percentile_approx`` keeps a bounded, mergeable
+    summary per group (rank error 1/accuracy) for continuous values whose
+    distinct count approaches the row count."""
     v = F.col("order_amount_sar").cast("double")
     q = F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy)
     return (df.where(F.col("payment_method").isNotNull()).groupBy("payment_method")

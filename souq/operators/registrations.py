@@ -73,6 +73,7 @@ register("region_share_geo")(lambda s: B.region_share_geo(s.order_wide))
 register("gateway_matrix")(lambda s: B.gateway_matrix(s.order_wide))
 register("bnpl_projection")(lambda s: B.bnpl_projection(s.order_wide, 20))
 register("basket_distribution")(lambda s: B.basket_distribution(s.order_wide))
+register("basket_distribution_approx")(lambda s: B.basket_distribution_approx(s.order_wide))
 register("gateway_scatter")(lambda s: B.gateway_scatter(s.order_wide))
 register("vat_audit_ledger")(lambda s: B.vat_audit_ledger(s.order_wide))
 register("vat_audit_flagged")(lambda s: B.vat_audit_ledger(s.order_wide, status="Flagged Variance", region="ASIA"))
