@@ -283,3 +283,55 @@ SELECT s.merchant_id,
             THEN ROUND(LEAST(100, GREATEST(0, LOG10(COALESCE(SUM(f.gross_sales), 1)) * 20
                                              + COUNT(DISTINCT f.order_id) * 0.1)), 6) END AS health_score
 FROM dw_fact_sales f JOIN dw_dim_store s ON f.store_id = s.store_id GROUP BY s.merchant_id"""
+
+
+def _quantile_sql(src: str, groups: list[str], col: str, qs: dict) -> str:
+    """Exact interpolated quantiles with row_number (same arithmetic as the engine)."""
+    g = ", ".join(groups)
+    part = f"PARTITION BY {g} " if groups else ""
+    sel_g = (g + ", ") if groups else ""
+    lo_hi = ", ".join(
+        f"MAX(CASE WHEN i = floor((n - 1) * {q!r}::DOUBLE) THEN v END) AS lo_{k}, "
+        f"MAX(CASE WHEN i = ceil((n - 1) * {q!r}::DOUBLE) THEN v END) AS hi_{k}, "
+        f"(n - 1) * {q!r}::DOUBLE - floor((n - 1) * {q!r}::DOUBLE) AS f_{k}" for k, q in qs.items())
+    outs = ", ".join(f"lo_{k} + f_{k} * (hi_{k} - lo_{k}) AS {k}" for k in qs)
+    return f"""(SELECT {sel_g}n, {outs} FROM (
+      SELECT {sel_g}n, {lo_hi} FROM (
+        SELECT {sel_g}CAST({col} AS DOUBLE) AS v,
+               row_number() OVER ({part}ORDER BY CAST({col} AS DOUBLE)) - 1 AS i,
+               COUNT(*) OVER ({"PARTITION BY " + g if groups else ""}) AS n
+        FROM {src} WHERE {col} IS NOT NULL) r GROUP BY {sel_g}n) p)"""
+
+
+_RFM = f"""(SELECT c.customer_id, CAST(datediff('day', MAX(d.full_date), {AS_OF}) AS INTEGER) AS recency_days,
+         COUNT(DISTINCT o.order_id) AS frequency_orders, CAST(SUM(o.net_amount) AS DECIMAL(20,2)) AS monetary_value
+  FROM dw_dim_customer c JOIN dw_fact_orders o ON c.customer_id = o.customer_id
+  JOIN dim_date_t d ON o.date_id = d.date_id GROUP BY c.customer_id)"""
+_Q5 = {"c1": 0.2, "c2": 0.4, "c3": 0.6, "c4": 0.8}
+
+
+def _score(col, alias, reverse=False):
+    above = " + ".join(f"CAST(CAST(rfm.{col} AS DOUBLE) > {alias}.c{i} AS INTEGER)" for i in range(1, 5))
+    return f"(5 - ({above}))" if reverse else f"(({above}) + 1)"
+
+
+BODIES["customer_segments"] = f"""
+WITH rfm AS {_RFM},
+rq AS {_quantile_sql('rfm', [], 'recency_days', _Q5)},
+fq AS {_quantile_sql('rfm', [], 'frequency_orders', _Q5)},
+mq AS {_quantile_sql('rfm', [], 'monetary_value', _Q5)},
+s AS (SELECT rfm.*, {_score('recency_days', 'rq', True)} AS r, {_score('frequency_orders', 'fq')} AS f,
+             {_score('monetary_value', 'mq')} AS m FROM rfm, rq, fq, mq)
+SELECT customer_id, recency_days, frequency_orders, monetary_value, r AS r_score, f AS f_score, m AS m_score,
+       CASE WHEN r >= 4 AND f >= 4 AND m >= 4 THEN 'Champions' WHEN f >= 4 THEN 'Loyal'
+            WHEN m >= 4 THEN 'Big Spenders' WHEN r >= 4 AND f <= 2 THEN 'New'
+            WHEN r <= 2 AND f >= 3 THEN 'At Risk' WHEN r <= 2 THEN 'Hibernating' ELSE 'Others' END AS segment
+FROM s"""
+
+BODIES["merchant_benchmark"] = f"""
+WITH g AS (SELECT store_id, CAST(SUM(gross_amount) AS DECIMAL(20,2)) AS gmv FROM dw_fact_orders GROUP BY 1),
+s AS (SELECT st.store_id, st.merchant_id, st.industry_category, g.gmv FROM dw_dim_store st JOIN g ON st.store_id = g.store_id),
+med AS {_quantile_sql('s', ['industry_category'], 'gmv', {'industry_median_gmv': 0.5})}
+SELECT s.store_id, s.merchant_id, s.industry_category, s.gmv, med.industry_median_gmv,
+       {ratio('s.gmv', 'med.industry_median_gmv')} AS vs_median
+FROM s JOIN med ON s.industry_category = med.industry_category"""

@@ -2,10 +2,10 @@
 
 ``percentile`` (exact) gathers every value of a group into one aggregation
 buffer, which fails when one group holds a third of the rows.  Here the
-rows are first reduced to (group, value, count) with a partial aggregate,
-so repeated values collapse map-side and the work per group is bounded by
-its number of *distinct* values (cents for money, days for dates).
-Cumulative counts over that histogram locate the order statistics at
+rows are reduced to (group, value, count) with a partial aggregate, so
+repeated values collapse map-side, and the cumulative counts come from
+:func:`souq.functions.ranks.value_ranks`, which splits every group into
+value buckets.  The counts locate the order statistics at
 0-based positions floor(q(n-1)) and ceil(q(n-1)); the result is
 lo + (q(n-1) - floor(q(n-1))) x (hi - lo), the same linear interpolation
 as SQL ``percentile_cont``.
@@ -15,22 +15,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import value_ranks
+
 
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, qs: dict[str, float]) -> DataFrame:
     """One row per group: ``n`` and a double column per entry of ``qs``."""
     for q in qs.values():
         _check_fraction(q)
-    v = F.col(value_col).cast("double")
-    hist = (df.where(F.col(value_col).isNotNull())
-            .groupBy(*group_cols, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
-    w_all = Window.partitionBy(*group_cols)
-    w_cum = w_all.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h = hist.select(*group_cols, "_v", "_c",
-                    (F.sum("_c").over(w_cum) - F.col("_c")).alias("_before"),
-                    F.sum("_c").over(w_all).alias("_n"))
+    vals = df.select(*group_cols, F.col(value_col).cast("double").alias("_v"))
+    h = value_ranks(vals, group_cols, "_v").withColumnsRenamed(
+        {"n_before": "_before", "n_equal": "_c", "n_group": "_n"})
     aggs = [F.first("_n").alias("n")]
     for name, q in qs.items():
         pos = (F.col("_n") - 1) * F.lit(float(q))

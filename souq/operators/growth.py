@@ -8,8 +8,9 @@ grouping, join or window over the warehouse:
   window, so hot keys are combined map-side;
 * windows run over already-reduced frames (one row per entity and month or
   day), never over raw order rows;
-* quantile cut points use ``percentile_approx`` (bounded, mergeable
-  sketches), not holistic exact percentiles.
+* quantiles and ranks are exact but built from value histograms split
+  into buckets (``functions.quantiles`` / ``functions.ranks``), never from
+  holistic percentiles or unsplit group windows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_from_key
 from ..functions.money import DEC_SUM, safe_ratio
+from ..functions.quantiles import exact_quantiles
+from ..session import cut_lineage
+from ..functions.ranks import skew_safe_rank
 
 
 def _order_day(fact_orders: DataFrame) -> DataFrame:
@@ -128,18 +132,26 @@ SEGMENT_RULES = [  # (label, condition on r, f, m scores 1..5)
 ]
 
 
-def customer_segments(rfm: DataFrame, accuracy: int = 10000) -> DataFrame:
+def customer_segments(rfm: DataFrame) -> DataFrame:
     """RFM quintile scores (1-5) and a segment label.
 
-    Cut points are the 20/40/60/80 % quantiles from ``percentile_approx``
-    (one bounded sketch per measure, computed as array-valued scalar
-    subqueries: no cross join, no global ntile).  Recency scores high when
-    recent.  Labels follow ``SEGMENT_RULES`` in order, else 'Others'.
+    Cut points are the exact 20/40/60/80 % quantiles (linear interpolation)
+    of each measure over all customers, from :func:`exact_quantiles` with no
+    group (value buckets keep every window small), entering as array-valued
+    scalar subqueries: no cross join, no global ntile.  A customer scores
+    1 + the number of cut points strictly below its value (recency
+    reversed: recent scores high).  Labels follow ``SEGMENT_RULES`` in
+    order, else 'Others'.
     """
-    qs = [0.2, 0.4, 0.6, 0.8]
+    qs = {"c1": 0.2, "c2": 0.4, "c3": 0.6, "c4": 0.8}
+    # the measures feed six subqueries and the scoring pass: materialise them
+    # once (reliable checkpoint in the shared folder) instead of recomputing
+    # the RFM pipeline for each
+    rfm = cut_lineage(rfm.select("customer_id", "recency_days", "frequency_orders", "monetary_value"))
 
     def cuts(c):
-        return rfm.select(F.percentile_approx(F.col(c).cast("double"), qs, accuracy)).scalar()
+        q = exact_quantiles(rfm, [], c, qs)
+        return q.select(F.array(*[F.col(k) for k in qs])).scalar()
 
     def score(c, cut, reverse=False):
         above = sum((F.col(c).cast("double") > cut[i]).cast("int") for i in range(4))
@@ -174,13 +186,16 @@ def retention_cohort(fact_orders: DataFrame) -> DataFrame:
 
 # ---- X17, X18 ------------------------------------------------------------------------
 def product_ranking(fact_sales: DataFrame, d_product: DataFrame) -> DataFrame:
-    """Rank products by revenue within their store and category (1 = best)."""
+    """Rank products by revenue within their store and category (1 = best).
+
+    ``rank()`` semantics (ties share a rank) via :func:`skew_safe_rank`, so a
+    store holding a third of all products is still ranked by many tasks.
+    """
     rev = fact_sales.groupBy("product_id").agg(F.sum("gross_sales").cast(DEC_SUM).alias("revenue"))
     p = d_product.select("product_id", "store_id", "category_name_en").join(rev, "product_id")
-    w_store = Window.partitionBy("store_id").orderBy(F.desc("revenue"))
-    w_cat = Window.partitionBy("store_id", "category_name_en").orderBy(F.desc("revenue"))
-    return p.select("product_id", "store_id", "category_name_en", "revenue",
-                    F.rank().over(w_store).alias("store_rank"), F.rank().over(w_cat).alias("category_rank"))
+    p = skew_safe_rank(p, ["store_id"], "revenue", descending=True, out="store_rank")
+    p = skew_safe_rank(p, ["store_id", "category_name_en"], "revenue", descending=True, out="category_rank")
+    return p.select("product_id", "store_id", "category_name_en", "revenue", "store_rank", "category_rank")
 
 
 def category_performance(fact_sales: DataFrame, d_product: DataFrame) -> DataFrame:
@@ -266,12 +281,12 @@ def support_ticket_summary(tickets: DataFrame) -> DataFrame:
 
 
 # ---- X25 - X28 ------------------------------------------------------------------------------------
-def merchant_benchmark(fact_orders: DataFrame, d_store: DataFrame, accuracy: int = 10000) -> DataFrame:
-    """Store GMV vs the median store GMV of its industry (approximate median)."""
+def merchant_benchmark(fact_orders: DataFrame, d_store: DataFrame) -> DataFrame:
+    """Store GMV vs the exact median store GMV of its industry."""
     g = fact_orders.groupBy("store_id").agg(F.sum("gross_amount").cast(DEC_SUM).alias("gmv"))
     s = d_store.select("store_id", "merchant_id", "industry_category").join(g, "store_id")
-    med = s.groupBy("industry_category").agg(
-        F.percentile_approx(F.col("gmv").cast("double"), 0.5, accuracy).alias("industry_median_gmv"))
+    med = exact_quantiles(s, ["industry_category"], "gmv", {"industry_median_gmv": 0.5}) \
+        .select("industry_category", "industry_median_gmv")
     j = s.join(med, "industry_category")
     return j.select("store_id", "merchant_id", "industry_category", "gmv", "industry_median_gmv",
                     safe_ratio(F.col("gmv"), F.col("industry_median_gmv")).alias("vs_median"))

@@ -117,16 +117,29 @@ def _cast_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in cols})
 
 
+TRAIN_PARTITIONS = 16
+
+
+def stable_layout(df: DataFrame, id_col: str, partitions: int = TRAIN_PARTITIONS) -> DataFrame:
+    """Hash-partition by id and sort inside partitions.
+
+    Forest bagging draws per partition, so a fixed layout makes a refit
+    (after an executor loss or on another day) give the same model no
+    matter how the upstream plan happened to partition the rows.
+    """
+    return df.repartition(partitions, id_col).sortWithinPartitions(id_col)
+
+
 def train_churn(features: DataFrame, **kw) -> tuple[PipelineModel, DataFrame]:
     """Fit on the training split; returns (model, split frame)."""
     split = hash_split(_cast_numeric(features, CHURN_NUMERIC), "merchant_id")
-    train = with_balanced_weights(split.where(~F.col("is_test")))
+    train = stable_layout(with_balanced_weights(split.where(~F.col("is_test"))), "merchant_id")
     return churn_pipeline(**kw).fit(train), split
 
 
 def train_clv(features: DataFrame, **kw) -> tuple[PipelineModel, DataFrame]:
     split = hash_split(_cast_numeric(features, CLV_FEATURES), "customer_id")
-    return clv_pipeline(**kw).fit(split.where(~F.col("is_test"))), split
+    return clv_pipeline(**kw).fit(stable_layout(split.where(~F.col("is_test")), "customer_id")), split
 
 
 # ---- M4, M6: evaluation -------------------------------------------------------------

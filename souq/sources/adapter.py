@@ -22,7 +22,8 @@ inventory          one per part whose key%40 != 7
 orders             store = key % S; discount 0/10/15 % by key%3; VAT 15 %;
                    shipping 25; defects: VAT +2.00 when key%97=0, net +1.00
                    when key%101=0
-order_items        one per line; id = orderkey*1000 + row number of the line
+order_items        one per line; id = orderkey*1000 + number of the line in the order
+                   (ordered by (partkey+suppkey+linenumber) % 16, then all columns)
 payments           none when key%17=0; a second later one when key%13=0;
                    orphan (order id negated) when key%1009=5
 shipments          none for status P; a second one when key%11=0
@@ -40,10 +41,11 @@ import datetime as dt
 from decimal import Decimal
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import DEC, money
+from ..functions.ranks import salted_row_number
 from .driver import read_table
 
 # ---------------------------------------------------------------------------
@@ -69,6 +71,7 @@ SESSION_CHANNELS = ["Direct", "Instagram", "Google", "TikTok", "Snapchat"]
 
 DEFAULT_AS_OF = dt.date(2001, 8, 2)
 _SIZES: dict = {}
+ITEM_SALTS = 16
 BASE_DATE = dt.date(1995, 1, 1)
 
 
@@ -378,13 +381,15 @@ class Domain:
         li = self.raw("lineitem")
         others = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                   "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-        # partitioned by order: lines of one order are few, and the result is
-        # already hash-partitioned on the key every fact join uses
-        w = Window.partitionBy("l_orderkey").orderBy(*others)
+        # Lines are numbered within (order, salt) and offset by the order's
+        # earlier salts, so one order holding a third of all lines is still
+        # numbered by 16 tasks.  Numbering order: salt, then the columns.
+        salt = (F.col("l_partkey") + F.col("l_suppkey") + F.col("l_linenumber")) % ITEM_SALTS
+        li = salted_row_number(li, ["l_orderkey"], others, salt, out="_line_no")
         unit = money(F.col("l_extendedprice"))
         qty = F.col("l_quantity").cast("int")
         return li.select(
-            (F.col("l_orderkey") * 1000 + F.row_number().over(w)).alias("order_item_id"),
+            (F.col("l_orderkey") * 1000 + F.col("_line_no")).alias("order_item_id"),
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("product_id"),
             qty.alias("quantity"),
