@@ -19,6 +19,10 @@ SCALE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "256MB",
+    # AQE sizes post-shuffle partitions from measured bytes; on a cluster
+    # spark.sql.shuffle.partitions is set high (e.g. total shuffle bytes /
+    # 256 MB) and coalesced down at run time
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
     # no Python call-site capture per DataFrame call (4 extra JVM round trips
     # per function); plans are built with fewer driver RPCs
     "spark.python.sql.dataFrameDebugging.enabled": "false",
