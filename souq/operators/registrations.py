@@ -347,3 +347,17 @@ def _views(s):
 register("register_views")(_views)
 register("json_records")(lambda s: S.json_records(
     _M.merchant_overview(s.dim_merchant, s.dim_store, s.fact_orders)))
+
+# ---- warehouse build job (E1) and marts over the written tables ----------------------
+from ..plans import build as _BLD  # noqa: E402
+
+
+def _written(s):
+    base = S.work_path(s.d.spark, "warehouse")
+    _BLD.build_warehouse(s, base)
+    return _BLD.WrittenStar(s.d.spark, base, s.as_of, s.d.order_date_bounds)
+
+
+register("warehouse_build_marts")(lambda s: (lambda ws: _M.mart_merchant_daily(
+    ws.fact_orders, ws.dim_store, ws.dim_merchant, ws.dim_date))(_written(s)))
+register("fact_orders_month_pruned")(lambda s: _written(s).fact_orders_between(199703, 199706))
