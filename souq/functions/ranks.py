@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def salted_row_number(df: DataFrame, part_cols: list[str], order_cols: list[Column | str], salt: Column,
                       out: str = "row_number") -> DataFrame:
@@ -45,6 +47,10 @@ def value_ranks(df: DataFrame, group_cols: list[str], value_col: str, descending
     """
     v = F.col(value_col)
     hist = df.where(v.isNotNull()).groupBy(*group_cols, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    # the histogram feeds the sketch, the bucket counts and the in-bucket
+    # window: materialise it once (reliable checkpoint, shared folder) so the
+    # upstream plan is not recomputed for every branch
+    hist = cut_lineage(hist)
     fr = [i / buckets for i in range(1, buckets)]
     sketch = F.percentile_approx(F.col("_v").cast("double"), fr, accuracy)
     if group_cols:
@@ -70,7 +76,11 @@ def value_ranks(df: DataFrame, group_cols: list[str], value_col: str, descending
 
 def skew_safe_rank(df: DataFrame, group_cols: list[str], value_col: str, descending: bool = True,
                    out: str = "rank", **kw) -> DataFrame:
-    """``rank()`` within groups by ``value_col`` (NULL values get NULL rank)."""
+    """``rank()`` within groups by ``value_col`` (NULL values get NULL rank).
+
+    ``df`` is read twice (histogram and join-back); pass a materialised
+    frame when it is expensive to recompute.
+    """
     r = value_ranks(df, group_cols, value_col, descending, **kw)
     r = r.select(*group_cols, value_col, (F.col("n_before") + 1).cast("int").alias(out))
     return df.join(r, [*group_cols, value_col], "left")

@@ -230,8 +230,9 @@ def vat_audit_ledger(df: DataFrame, status: str | None = None, region: str | Non
 
 
 def vat_audit_status_counts(ledger: DataFrame) -> DataFrame:
-    """Audit status -> invoices."""
-    return ledger.groupBy("audit_status").agg(F.count(F.lit(1)).alias("invoice_count"))
+    """Audit status -> invoices, most frequent first (value_counts)."""
+    return (ledger.groupBy("audit_status").agg(F.count(F.lit(1)).alias("invoice_count"))
+            .orderBy(F.desc("invoice_count"), "audit_status"))
 
 
 def vat_variance_histogram(ledger: DataFrame, width: Decimal = Decimal("0.25")) -> DataFrame:
@@ -273,5 +274,6 @@ def merchant_risk_table(health: DataFrame, growth: DataFrame, churn: DataFrame,
 
 
 def risk_level_counts(risk_table: DataFrame) -> DataFrame:
-    """Risk status -> merchants."""
-    return risk_table.groupBy("risk_status").agg(F.count(F.lit(1)).alias("merchants"))
+    """Risk status -> merchants, most frequent first (value_counts)."""
+    return (risk_table.groupBy("risk_status").agg(F.count(F.lit(1)).alias("merchants"))
+            .orderBy(F.desc("merchants"), "risk_status"))

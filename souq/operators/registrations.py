@@ -30,6 +30,8 @@ register("dq_warehouse_parity")(lambda s: G.dq_warehouse_parity(s.d.orders, s.fa
 register("dq_scorecard")(
     lambda s: G.dq_scorecard(s.d.orders, s.d.order_items, s.d.payments, s.fact_orders, s.as_of))
 register("dq_unique")(lambda s: G.dq_unique(_oltp(s)))
+register("dq_unique_warehouse")(lambda s: G.dq_unique(s.tables(), __import__(
+    "souq.sources.constraints", fromlist=["x"]).WAREHOUSE_KEYS))
 register("dq_domain")(lambda s: G.dq_domain(_oltp(s)))
 MISSING_COLUMNS = {
     "customers": ["customer_id", "store_id", "full_name", "email", "phone_number", "region_id", "gender"],

@@ -30,6 +30,10 @@ def star_for(spark: SparkSession, sf_dir: str) -> Star:
     """
     key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     if key not in _STARS:
+        # dates, day windows and date keys are defined in UTC (the driver's
+        # timestamps carry no zone)
+        if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
         _STARS[key] = Star(Domain(spark, sf_dir))
     return _STARS[key]
 

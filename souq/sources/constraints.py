@@ -28,6 +28,16 @@ UNIQUE_COLUMNS = [
     ("shipments", "tracking_number"),
 ]
 
+# business keys of the warehouse tables (UNIQUE in the star-schema DDL)
+WAREHOUSE_KEYS = [
+    ("dw_dim_merchant", "merchant_id"),
+    ("dw_dim_store", "store_id"),
+    ("dw_dim_customer", "customer_id"),
+    ("dw_dim_product", "product_id"),
+    ("dw_fact_sales", "order_item_id"),
+    ("dw_fact_orders", "order_id"),
+]
+
 # (child, fk column, parent, on delete): C = cascade, N = set null
 FOREIGN_KEYS = [
     ("merchants", "region_id", "regions", "N"),
