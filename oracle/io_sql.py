@@ -72,6 +72,16 @@ FROM (SELECT *, login_time < TIMESTAMP '2024-01-15 00:00:00' AS legacy FROM norm
     "stream_order_counts": _COUNTS + " GROUP BY 1",
     "stream_order_counts_append": _COUNTS + """
 WHERE CAST(o_orderdate AS DATE) <= CAST((SELECT MAX(o_orderdate) FROM orders) AS DATE) - 2 GROUP BY 1""",
+    "stream_purchase_counts": """
+SELECT CAST(ts AS DATE) AS window_start, COUNT(*) AS purchases,
+       CAST(SUM(CAST(value AS DECIMAL(12,2))) AS DECIMAL(20,2)) AS purchase_value
+FROM events WHERE event_type = 'purchase' GROUP BY 1""",
+    "stream_purchase_counts_append": """
+SELECT CAST(ts AS DATE) AS window_start, COUNT(*) AS purchases,
+       CAST(SUM(CAST(value AS DECIMAL(12,2))) AS DECIMAL(20,2)) AS purchase_value
+FROM events WHERE event_type = 'purchase'
+  AND CAST(ts AS DATE) + 1 <= CAST((SELECT MAX(ts) FROM events WHERE event_type = 'purchase') - INTERVAL 1 DAY AS DATE)
+GROUP BY 1""",
     "stream_dq_checks": f"""
 SELECT order_id, reconciliation_fail, boundary_fail FROM (
   SELECT order_id,

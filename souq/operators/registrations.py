@@ -235,6 +235,12 @@ def _stream_counts(s, mode):
 
 register("stream_order_counts")(lambda s: _stream_counts(s, "complete"))
 register("stream_order_counts_append")(lambda s: _stream_counts(s, "append"))
+register("stream_purchase_counts")(lambda s: T.stream_purchase_counts(
+    s.d.spark, s.d.sf_dir, *_stream(s, "purchases")).select(F.to_date("window_start").alias("window_start"),
+                                                           "purchases", "purchase_value"))
+register("stream_purchase_counts_append")(lambda s: T.stream_purchase_counts(
+    s.d.spark, s.d.sf_dir, *_stream(s, "purchases"), mode="append").select(
+        F.to_date("window_start").alias("window_start"), "purchases", "purchase_value"))
 register("stream_dq_checks")(lambda s: T.stream_dq_checks(s.d.spark, s.d.sf_dir, *_stream(s, "dq"), s.as_of))
 register("stream_access_log")(lambda s: T.stream_access_log(s.d.spark, s.d.sf_dir, *_stream(s, "access"))
                               .select("user_id", "consent_status",

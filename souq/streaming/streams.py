@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from ..functions.money import DEC_SUM, money
 from ..operators.access_log import access_log_normalize
 from ..sources.adapter import access_requests, order_money
+from ..sources.driver import DRIVER_SCHEMAS
 
 
 def file_stream(spark: SparkSession, source_dir: str, table: str, max_files: int = 1) -> DataFrame:
-    """Stream the ``{table}.parquet`` files of a directory."""
-    schema = spark.read.parquet(os.path.join(source_dir, f"{table}.parquet")).schema
+    """Stream the ``{table}.parquet`` files of a directory (declared schema)."""
+    schema = DRIVER_SCHEMAS.get(table) or spark.read.parquet(os.path.join(source_dir, f"{table}.parquet")).schema
     return (spark.readStream.format("parquet").schema(schema)
             .option("pathGlobFilter", f"{table}.parquet").option("maxFilesPerTrigger", max_files)
             .load(source_dir))
@@ -67,6 +68,22 @@ def stream_order_counts(spark: SparkSession, source_dir: str, sink: str, checkpo
     return spark.read.parquet(sink)
 
 
+def stream_purchase_counts(spark: SparkSession, source_dir: str, sink: str, checkpoint: str,
+                           mode: str = "complete", window: str = "1 day", watermark: str = "1 day") -> DataFrame:
+    """T1 over the event stream: purchases per tumbling window with their value."""
+    ev = file_stream(spark, source_dir, "events").where(F.col("event_type") == "purchase")
+    agg = (ev.select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("decimal(12,2)").alias("v"))
+           .withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w"))
+           .agg(F.count(F.lit(1)).alias("purchases"), F.sum("v").cast(DEC_SUM).alias("purchase_value")))
+    flat = agg.select(F.col("w.start").alias("window_start"), "purchases", "purchase_value")
+    if mode == "append":
+        _run(flat.writeStream.format("parquet").option("path", sink).outputMode("append"), checkpoint)
+    else:
+        _run(flat.writeStream.outputMode("complete").foreachBatch(
+            lambda b, e: b.write.mode("overwrite").parquet(sink)), checkpoint)
+    return spark.read.parquet(sink)
+
+
 # ---- T2 --------------------------------------------------------------------------
 def flag_orders(orders: DataFrame, as_of: dt.date) -> DataFrame:
     """G1 and G3 as per-row flags on priced orders."""
