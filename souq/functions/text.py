@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 IP_HEADERS = ["cf_connecting_ip", "true_client_ip", "x_forwarded_for", "x_real_ip"]
 DEFAULT_IP = "127.0.0.1"
+DEFAULT_LANGUAGE_HEADER = "en-US"
+GUEST_NAME = "Guest"
+UNKNOWN = "Unknown"
 DEFAULT_USER_AGENT = "Mozilla/5.0 (Windows NT 10.0; Win64; x64) Desktop"
 WIDTHS = {"device_info": 240, "ip_address": 40, "full_name": 255, "email": 255, "country": 100,
           "city": 100, "region": 100, "timezone": 100, "preferred_language": 50}
@@ -29,7 +32,7 @@ def client_ip(*headers: Column) -> Column:
 
 def preferred_language(accept_language: Column) -> Column:
     """'ar' when the header mentions ar, else 'en' (missing header = en-US)."""
-    h = F.lower(F.coalesce(accept_language, F.lit("en-US")))
+    h = F.lower(F.coalesce(accept_language, F.lit(DEFAULT_LANGUAGE_HEADER)))
     return F.when(h.contains("ar"), "ar").otherwise("en")
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import (DEFAULT_USER_AGENT, IP_HEADERS, WIDTHS, client_ip, preferred_language,
-                              truncate, valid_email)
+from ..functions.text import (DEFAULT_USER_AGENT, GUEST_NAME, IP_HEADERS, UNKNOWN, WIDTHS, client_ip,
+                              preferred_language, truncate, valid_email)
 
 
 def access_log_normalize(requests: DataFrame, app_name: str = "app") -> DataFrame:
@@ -19,10 +19,10 @@ def access_log_normalize(requests: DataFrame, app_name: str = "app") -> DataFram
     validity flagged with the consent form's pattern.
     """
     ua = F.coalesce(F.col("user_agent"), F.lit(DEFAULT_USER_AGENT))
-    name = F.coalesce(F.nullif(F.trim(F.col("full_name")), F.lit("")), F.lit("Guest"))
+    name = F.coalesce(F.nullif(F.trim(F.col("full_name")), F.lit("")), F.lit(GUEST_NAME))
     email = F.coalesce(F.trim(F.col("email")), F.lit(""))
-    country = F.coalesce(F.nullif(F.trim(F.col("country")), F.lit("")), F.lit("Unknown"))
-    unknown = F.lit("Unknown")
+    country = F.coalesce(F.nullif(F.trim(F.col("country")), F.lit("")), F.lit(UNKNOWN))
+    unknown = F.lit(UNKNOWN)
     return requests.select(
         "log_id", "user_id", "consent_status",
         truncate(ua, WIDTHS["device_info"]).alias("device_info"),

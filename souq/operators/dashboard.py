@@ -42,6 +42,13 @@ VAT_RATE = Decimal("0.15")
 VAT_TOLERANCE = Decimal("1.0")
 STATUS_COMPLIANT = "Compliant"
 STATUS_FLAGGED = "Flagged Variance"
+RISK_HIGH, RISK_MODERATE, RISK_HEALTHY = "High Churn Risk", "Moderate Risk", "Healthy"
+RISK_THRESHOLDS = (0.6, 0.3)  # probability above -> high, above -> moderate
+INTERVENTIONS = {
+    RISK_HIGH: "Trigger BNPL Discount Promo",
+    RISK_MODERATE: "Suggest Mada One-Click",
+    RISK_HEALTHY: "Optimal Performance",
+}
 
 
 # ---- filters --------------------------------------------------------------
@@ -246,12 +253,13 @@ def vat_variance_histogram(ledger: DataFrame, width: Decimal = Decimal("0.25"))
 
 # ---- merchant risk ------------------------------------------------------------------
 def risk_level(p: Column) -> Column:
-    return F.when(p > 0.6, "High Churn Risk").when(p > 0.3, "Moderate Risk").otherwise("Healthy")
+    hi, mid = RISK_THRESHOLDS
+    return F.when(p > hi, RISK_HIGH).when(p > mid, RISK_MODERATE).otherwise(RISK_HEALTHY)
 
 
 def intervention(risk: Column) -> Column:
-    return (F.when(risk == "High Churn Risk", "Trigger BNPL Discount Promo")
-            .when(risk == "Moderate Risk", "Suggest Mada One-Click").otherwise("Optimal Performance"))
+    return (F.when(risk == RISK_HIGH, INTERVENTIONS[RISK_HIGH])
+            .when(risk == RISK_MODERATE, INTERVENTIONS[RISK_MODERATE]).otherwise(INTERVENTIONS[RISK_HEALTHY]))
 
 
 def merchant_risk_table(health: DataFrame, growth: DataFrame, churn: DataFrame,

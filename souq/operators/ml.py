@@ -24,6 +24,17 @@ from pyspark.sql import functions as F
 from ..functions.money import DEC_SUM, safe_ratio
 from .dashboard import intervention, risk_level
 
+# ---------------------------------------------------------------------------
+# Scoring threshold and the labels returned with a score.
+# ---------------------------------------------------------------------------
+CHURN_THRESHOLD = 0.5
+CLV_WEIGHTS = {"monetary_value": 1.2, "frequency_orders": 15.0, "recency_days": -0.5}
+CHURN_FOREST = {"num_trees": 150, "max_depth": 10}
+CLV_FOREST = {"num_trees": 100, "max_depth": 8}
+STATUS_CHURN, STATUS_HEALTHY = "High Risk (Churn)", "Low Risk (Healthy)"
+ACTION_CHURN = "Assign Dedicated Merchant Success Manager & Issue Discount Voucher"
+ACTION_HEALTHY = "Merchant Healthy"
+
 CHURN_NUMERIC = ["total_gmv", "total_orders", "avg_order_value", "support_ticket_count"]
 CHURN_CATEGORICAL = "subscription_plan"
 CLV_FEATURES = ["recency_days", "frequency_orders", "monetary_value"]
@@ -56,8 +67,10 @@ def clv_features(rfm: DataFrame) -> DataFrame:
     """M5: RFM columns and the synthetic target
     max(1.2 x monetary + 15 x frequency - 0.5 x recency, 0) (a formula of the
     features, so R2 only checks the pipeline, Q16)."""
-    target = (F.col("monetary_value").cast("double") * 1.2 + F.col("frequency_orders").cast("double") * 15.0
-              - F.col("recency_days").cast("double") * 0.5)
+    w = CLV_WEIGHTS
+    target = (F.col("monetary_value").cast("double") * w["monetary_value"]
+              + F.col("frequency_orders").cast("double") * w["frequency_orders"]
+              - F.col("recency_days").cast("double") * -w["recency_days"])
     return rfm.select("customer_id", "recency_days", "frequency_orders", "monetary_value",
                       F.greatest(target, F.lit(0.0)).alias("future_12m_spend"))
 
@@ -88,7 +101,8 @@ def with_balanced_weights(df: DataFrame, label: str = "is_churned") -> DataFrame
         "weight", n.cast("double") / (k * F.col("_nc"))).drop("_nc")
 
 
-def churn_pipeline(num_trees: int = 150, max_depth: int = 10) -> Pipeline:
+def churn_pipeline(num_trees: int = CHURN_FOREST["num_trees"],
+                   max_depth: int = CHURN_FOREST["max_depth"]) -> Pipeline:
     """M2: scale numerics (mean and std), one-hot the plan (unseen plan ->
     zero vector), random forest with balanced class weights."""
     idx = StringIndexer(inputCol=CHURN_CATEGORICAL, outputCol="plan_idx", handleInvalid="keep",
@@ -104,7 +118,7 @@ def churn_pipeline(num_trees: int = 150, max_depth: int = 10) -> Pipeline:
     return Pipeline(stages=[idx, ohe, num, scaler, feats, rf])
 
 
-def clv_pipeline(num_trees: int = 100, max_depth: int = 8) -> Pipeline:
+def clv_pipeline(num_trees: int = CLV_FOREST["num_trees"], max_depth: int = CLV_FOREST["max_depth"]) -> Pipeline:
     """M6: scale + random forest regressor."""
     num = VectorAssembler(inputCols=CLV_FEATURES, outputCol="num_vec")
     scaler = StandardScaler(inputCol="num_vec", outputCol="features", withMean=True, withStd=True)
@@ -201,12 +215,11 @@ def churn_score(model: PipelineModel, features: DataFrame) -> DataFrame:
     """M8: churn probability (4 places), status and recommended action at p > 0.5."""
     s = model.transform(_cast_numeric(features, CHURN_NUMERIC))
     p = F.round(vector_to_array("probability")[1], 4)
-    churn = p > 0.5
+    churn = p > CHURN_THRESHOLD
     return s.select(
         "merchant_id", p.alias("churn_probability"),
-        F.when(churn, "High Risk (Churn)").otherwise("Low Risk (Healthy)").alias("predicted_status"),
-        F.when(churn, "Assign Dedicated Merchant Success Manager & Issue Discount Voucher")
-        .otherwise("Merchant Healthy").alias("action_recommendation"),
+        F.when(churn, STATUS_CHURN).otherwise(STATUS_HEALTHY).alias("predicted_status"),
+        F.when(churn, ACTION_CHURN).otherwise(ACTION_HEALTHY).alias("action_recommendation"),
     )
 
 
