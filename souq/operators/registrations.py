@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..queries import register
 from ..sources.adapter import OLTP_TABLES
+from ..sources.constraints import WAREHOUSE_KEYS
 from . import dashboard as B
 from . import quality as G
 from . import semantic as L
@@ -30,8 +31,7 @@ register("dq_warehouse_parity")(lambda s: G.dq_warehouse_parity(s.d.orders, s.fa
 register("dq_scorecard")(
     lambda s: G.dq_scorecard(s.d.orders, s.d.order_items, s.d.payments, s.fact_orders, s.as_of))
 register("dq_unique")(lambda s: G.dq_unique(_oltp(s)))
-register("dq_unique_warehouse")(lambda s: G.dq_unique(s.tables(), __import__(
-    "souq.sources.constraints", fromlist=["x"]).WAREHOUSE_KEYS))
+register("dq_unique_warehouse")(lambda s: G.dq_unique(s.tables(), WAREHOUSE_KEYS))
 register("dq_domain")(lambda s: G.dq_domain(_oltp(s)))
 MISSING_COLUMNS = {
     "customers": ["customer_id", "store_id", "full_name", "email", "phone_number", "region_id", "gender"],
@@ -164,11 +164,14 @@ def _merchant_health(s):
         .withColumnRenamed("merchant_health_score", "health_score")
 
 
-def _risk_table(s):
-    from ..operators import growth as _GR
+def _risk_inputs(s):
     churn = _churn_scores(s).join(s.dim_merchant.select("merchant_id", "merchant_name"), "merchant_id")
-    growth = _GR.gmv_trajectory(s.fact_orders, s.dim_store, s.as_of).select("merchant_id", "gmv_growth")
-    return B.merchant_risk_table(_merchant_health(s), growth, churn)
+    growth = GR.gmv_trajectory(s.fact_orders, s.dim_store, s.as_of).select("merchant_id", "gmv_growth")
+    return _merchant_health(s), growth, churn
+
+
+def _risk_table(s, **filters):
+    return B.merchant_risk_table(*_risk_inputs(s), **filters)
 
 
 register("churn_features")(_churn_features)
@@ -181,12 +184,7 @@ register("churn_score")(_churn_scores)
 register("model_save_load")(lambda s: _churn_scores(s, persist=True))
 register("merchant_health_by_merchant")(_merchant_health)
 register("merchant_risk_table")(_risk_table)
-register("merchant_risk_filtered")(lambda s: B.merchant_risk_table(
-    _merchant_health(s),
-    __import__("souq.operators.growth", fromlist=["x"]).gmv_trajectory(
-        s.fact_orders, s.dim_store, s.as_of).select("merchant_id", "gmv_growth"),
-    _churn_scores(s).join(s.dim_merchant.select("merchant_id", "merchant_name"), "merchant_id"),
-    risk="Healthy", min_health=90.0))
+register("merchant_risk_filtered")(lambda s: _risk_table(s, risk=B.RISK_HEALTHY, min_health=90.0))
 register("risk_level_counts")(lambda s: B.risk_level_counts(_risk_table(s)))
 
 # ---- access log, streams, sources and sinks ------------------------------------------
