@@ -32,7 +32,9 @@ def salted_row_number(df: DataFrame, part_cols: list[str], order_cols: list[Colu
     sizes = x.groupBy(*part_cols, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*part_cols).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.select(*part_cols, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return x.join(offs, [*part_cols, "_salt"]).withColumn(out, F.col("_off") + F.col("_rn")) \
+    # left join on a side that is unique per (group, salt): when the number
+    # is not used downstream, Catalyst removes the join and the window
+    return x.join(offs, [*part_cols, "_salt"], "left").withColumn(out, F.col("_off") + F.col("_rn")) \
         .drop("_salt", "_rn", "_off")
 
 
