@@ -157,11 +157,14 @@ def customer_segments(rfm: DataFrame) -> DataFrame:
         above = sum((F.col(c).cast("double") > cut[i]).cast("int") for i in range(4))
         return (5 - above) if reverse else (above + 1)
 
-    rc, fc, mc = cuts("recency_days"), cuts("frequency_orders"), cuts("monetary_value")
-    s = rfm.select("customer_id", "recency_days", "frequency_orders", "monetary_value",
-                   score("recency_days", rc, reverse=True).alias("r"),
-                   score("frequency_orders", fc).alias("f"),
-                   score("monetary_value", mc).alias("m"))
+    # each measure's cut points are bound once, so the plan holds one
+    # subquery per measure however often the scores read them
+    x = rfm.withColumns({"_rc": cuts("recency_days"), "_fc": cuts("frequency_orders"),
+                         "_mc": cuts("monetary_value")})
+    s = x.select("customer_id", "recency_days", "frequency_orders", "monetary_value",
+                 score("recency_days", F.col("_rc"), reverse=True).alias("r"),
+                 score("frequency_orders", F.col("_fc")).alias("f"),
+                 score("monetary_value", F.col("_mc")).alias("m"))
     label = F.lit("Others")
     for name, cond in reversed(SEGMENT_RULES):
         label = F.when(F.expr(cond), name).otherwise(label)
