@@ -335,3 +335,19 @@ med AS {_quantile_sql('s', ['industry_category'], 'gmv', {'industry_median_gmv':
 SELECT s.store_id, s.merchant_id, s.industry_category, s.gmv, med.industry_median_gmv,
        {ratio('s.gmv', 'med.industry_median_gmv')} AS vs_median
 FROM s JOIN med ON s.industry_category = med.industry_category"""
+
+
+def _split(src: str, id_col: str, label: str | None) -> str:
+    part = f"PARTITION BY {label} " if label else ""
+    h = f"CAST((({id_col} % 4294967296) * 2654435761::HUGEINT + 42) % 4294967296 AS BIGINT)"
+    sel = f"{label}, " if label else ""
+    return f"""
+SELECT {sel}is_test, COUNT(*) AS rows FROM (
+  SELECT {sel}row_number() OVER ({part}ORDER BY {h}) - 1
+           < ROUND(CAST(COUNT(*) OVER ({part.strip()}) AS DOUBLE) * 0.2) AS is_test
+  FROM {src}) x GROUP BY ALL"""
+
+
+BODIES["stratified_split"] = "WITH cf AS (" + BODIES["churn_features"] + ")" + _split("cf", "merchant_id", "is_churned")
+BODIES["stratified_split_customers"] = "WITH cf AS (" + BODIES["clv_features"].strip() + ")" + _split(
+    "cf", "customer_id", None)

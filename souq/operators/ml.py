@@ -1,9 +1,9 @@
 """Churn and customer-value models (M1-M8) with ``pyspark.ml``.
 
 Training, scoring and evaluation run distributed.  Features are built with
-partial aggregates; the split is a per-row hash threshold (no window over a
-class, no driver sampling), repeatable across partitionings and task
-retries.  Forests will not be bit-identical to other libraries: compare on
+partial aggregates; the split is exact per class (round(0.2 n) test rows of
+each class, chosen by a repeatable id hash, positioned with the skew-safe
+bucketed ranks), repeatable across partitionings and task retries.  Forests will not be bit-identical to other libraries: compare on
 metric ranges, never per row.
 """
 
@@ -18,10 +18,11 @@ from pyspark.ml.evaluation import (BinaryClassificationEvaluator, MulticlassClas
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import DEC_SUM, safe_ratio
+from ..functions.ranks import value_ranks
 from .dashboard import intervention, risk_level
 
 # ---------------------------------------------------------------------------
@@ -76,12 +77,41 @@ def clv_features(rfm: DataFrame) -> DataFrame:
 
 
 # ---- M3: split ------------------------------------------------------------------
+HASH_MULT = 2654435761          # odd: x -> x * HASH_MULT mod 2^32 is a bijection
+HASH_MOD = 4294967296
+
+
+def id_hash(id_col: str, seed: int = SEED) -> Column:
+    """Repeatable pseudo-random order of ids: ((id mod 2^32) x K + seed) mod 2^32.
+
+    Exact decimal arithmetic (no overflow for any bigint id); distinct for
+    distinct ids below 2^32, so ranks by it have no ties.
+    """
+    x = F.pmod(F.col(id_col), F.lit(HASH_MOD)).cast("decimal(20,0)")
+    return F.pmod(x * F.lit(HASH_MULT) + F.lit(seed), F.lit(HASH_MOD)).cast("long")
+
+
+def stratified_split(df: DataFrame, id_col: str, strata: list[str] | None = None,
+                     test_fraction: float = 0.2, seed: int = SEED) -> DataFrame:
+    """M3: adds ``is_test``; exactly round(fraction x n) rows of every stratum
+    (the first ones in ``id_hash`` order) form the test set.
+
+    Positions come from :func:`value_ranks`, which splits each stratum into
+    value buckets, so a class holding most rows is never ranked in one task.
+    Repeatable across partitionings and task retries.
+    """
+    strata = strata or []
+    x = df.withColumn("_h", id_hash(id_col, seed))
+    r = value_ranks(x, strata, "_h").select(*strata, "_h", "n_before", "n_group")
+    x = x.join(r, [*strata, "_h"])
+    k = F.round(F.col("n_group").cast("double") * F.lit(float(test_fraction)))
+    return x.withColumn("is_test", F.col("n_before") < k).drop("_h", "n_before", "n_group")
+
+
 def hash_split(df: DataFrame, id_col: str, test_fraction: float = 0.2, seed: int = SEED,
                buckets: int = 10000) -> DataFrame:
-    """M3: adds ``is_test``: a row is in the test set when its id hashes below
-    the fraction.  Per-row and deterministic, so each class is split in the
-    same proportion in expectation (stratified by construction) without a
-    window over the class or a sample on the driver."""
+    """Cheaper per-row alternative to :func:`stratified_split`: test when the
+    id hashes below the fraction (proportions hold in expectation only)."""
     h = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(buckets))
     return df.withColumn("is_test", h < int(test_fraction * buckets))
 
@@ -146,13 +176,13 @@ def stable_layout(df: DataFrame, id_col: str, partitions: int = TRAIN_PARTITIONS
 
 def train_churn(features: DataFrame, **kw) -> tuple[PipelineModel, DataFrame]:
     """Fit on the training split; returns (model, split frame)."""
-    split = hash_split(_cast_numeric(features, CHURN_NUMERIC), "merchant_id")
+    split = stratified_split(_cast_numeric(features, CHURN_NUMERIC), "merchant_id", ["is_churned"])
     train = stable_layout(with_balanced_weights(split.where(~F.col("is_test"))), "merchant_id")
     return churn_pipeline(**kw).fit(train), split
 
 
 def train_clv(features: DataFrame, **kw) -> tuple[PipelineModel, DataFrame]:
-    split = hash_split(_cast_numeric(features, CLV_FEATURES), "customer_id")
+    split = stratified_split(_cast_numeric(features, CLV_FEATURES), "customer_id")
     return clv_pipeline(**kw).fit(stable_layout(split.where(~F.col("is_test")), "customer_id")), split
 
 

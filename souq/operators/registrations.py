@@ -176,8 +176,10 @@ def _risk_table(s, **filters):
 
 register("churn_features")(_churn_features)
 register("clv_features")(_clv_features)
-register("stratified_split")(lambda s: ML.split_summary(ML.hash_split(_churn_features(s), "merchant_id"),
-                                                       "is_churned"))
+register("stratified_split")(lambda s: ML.split_summary(
+    ML.stratified_split(_churn_features(s), "merchant_id", ["is_churned"]), "is_churned"))
+register("stratified_split_customers")(lambda s: ML.split_summary(
+    ML.stratified_split(_clv_features(s).withColumn("_all", F.lit(1)), "customer_id"), "_all").drop("_all"))
 register("churn_train_evaluate")(_churn_train_eval)
 register("clv_train_evaluate")(_clv_train_eval)
 register("churn_score")(_churn_scores)

@@ -37,15 +37,17 @@ def test_churn_pipeline_metrics_and_unknown_plan(spark):
     assert vec.numNonzeros() == 0
 
 
-def test_split_is_repeatable_and_stratified(spark):
+def test_split_is_repeatable_and_exactly_stratified(spark):
     s = star_for(spark, "/root/testdata/sf0.01")
     feats = ML.churn_features(s.dim_merchant, s.dim_store, s.fact_orders, s.d.support_tickets)
-    a = sorted(tuple(r) for r in ML.hash_split(feats, "merchant_id").select("merchant_id", "is_test").collect())
-    b = sorted(tuple(r) for r in ML.hash_split(feats.repartition(7), "merchant_id")
-               .select("merchant_id", "is_test").collect())
+    a = sorted(tuple(r) for r in ML.stratified_split(feats, "merchant_id", ["is_churned"])
+               .select("merchant_id", "is_churned", "is_test").collect())
+    b = sorted(tuple(r) for r in ML.stratified_split(feats.repartition(7), "merchant_id", ["is_churned"])
+               .select("merchant_id", "is_churned", "is_test").collect())
     assert a == b
-    frac = sum(t for _, t in a) / len(a)
-    assert 0.1 < frac < 0.3
+    for label in (0, 1):
+        rows = [t for _, y, t in a if y == label]
+        assert sum(rows) == round(0.2 * len(rows))
 
 
 def test_clv_pipeline_r2(spark):
