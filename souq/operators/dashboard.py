@@ -2,8 +2,8 @@
 
 All panels are aggregates over ``order_wide``: filters are ``where``
 clauses that Catalyst pushes through the view's joins to the scans, and
-each panel returns tens of rows.  Share-of-total windows run on the
-already-grouped frame (one row per region), never on order rows.
+each panel returns tens of rows.  Shares of a total divide by a scalar
+subquery over the grouped frame.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import DEC_SUM, safe_ratio
@@ -148,8 +148,9 @@ def region_share_geo(df: DataFrame) -> DataFrame:
     g = (df.where(F.col("merchant_region").isNotNull()).groupBy("merchant_region")
          .agg(F.count("order_id").alias("order_count"),
               F.sum("order_amount_sar").cast(DEC_SUM).alias("order_amount_sar")))
-    # one row per region: a window over the whole grouped frame is tiny
-    total = F.sum("order_count").over(Window.partitionBy())
+    # total orders as a scalar subquery over the grouped frame (no
+    # single-partition window)
+    total = g.select(F.sum("order_count")).scalar()
     lat = F.create_map(*[x for k, (la, _) in REGION_COORDS.items() for x in (F.lit(k), F.lit(la))])
     lon = F.create_map(*[x for k, (_, lo) in REGION_COORDS.items() for x in (F.lit(k), F.lit(lo))])
     return g.select(
