@@ -140,3 +140,22 @@ def test_work_paths_live_under_checkpoint_dir(spark):
     from souq.session import checkpoint_dir
     p = S.work_path(spark, "x")
     assert p.startswith(checkpoint_dir(spark)) and uuid.UUID(os.path.basename(p))
+
+
+def test_access_stream_drops_repeats_within_watermark(spark):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    src = _tmp(spark, "events_src")
+    os.makedirs(src)
+    t0 = dt.datetime(2024, 1, 1, 0, 0, 10)
+    rows = [(1, t0, 7, "click", 1.0), (2, t0 + dt.timedelta(seconds=30), 7, "view", 2.0),
+            (3, t0 + dt.timedelta(minutes=5), 7, "click", 3.0), (4, t0, 8, "error", 0.0)]
+    tbl = pa.table({"event_id": [r[0] for r in rows], "ts": [r[1] for r in rows],
+                    "user_id": [r[2] for r in rows], "event_type": [r[3] for r in rows],
+                    "value": [r[4] for r in rows], "props": ['{"k": 1}'] * len(rows)})
+    pq.write_table(tbl, os.path.join(src, "events.parquet"))
+    out = T.stream_access_log(spark, src, _tmp(spark, "sink"), _tmp(spark, "ck"))
+    keys = sorted((r.user_id, r.consent_status, r.login_minute.minute) for r in out.collect())
+    # events 1 and 2: same user, status and minute -> one row; event 3 a later minute
+    assert keys == [("HW-00000007", "ACCEPTED", 0), ("HW-00000007", "ACCEPTED", 5),
+                    ("HW-00000008", "REJECTED", 0)]
