@@ -89,3 +89,16 @@ def compile_metric(sources: dict[str, DataFrame], name: str, group_by: str = "st
 def metric_query_api(sources: dict[str, DataFrame], name: str, n: int = 10) -> DataFrame:
     """The metric by store, first ``n`` stores by id (ordered, Q15)."""
     return compile_metric(sources, name, "store_id").orderBy("store_id").limit(n)
+
+
+def metric_catalog_values(sources: dict[str, DataFrame], catalog: dict[str, Metric] | None = None) -> DataFrame:
+    """L1 as a query: every contract of the catalogue with its platform-wide
+    value (one aggregate per metric over its source, no grouping)."""
+    from functools import reduce
+    parts = []
+    for m in metric_catalog(catalog).values():
+        v = sources[m.data_source].agg(F.expr(m.formula).cast("double").alias("value"))
+        parts.append(v.select(F.lit(m.name).alias("metric_name"), F.lit(m.label).alias("label"),
+                              F.lit(m.owner).alias("owner"), F.lit(m.type).alias("metric_type"),
+                              F.lit(m.data_source).alias("data_source"), "value"))
+    return reduce(DataFrame.unionByName, parts)
