@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .minhash_dedup import op8_minhash_dedup
 from .mixing import OP3_SQL, op3_mix_sources
 
 QUERIES = {
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op3_mix_sources": op3_mix_sources,
 }
 
