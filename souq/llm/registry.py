@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .minhash_dedup import op8_minhash_dedup
 from .mixing import OP3_SQL, op3_mix_sources
+from .permutation_index import op5_permutation_index
 
 QUERIES = {
+    "op5_permutation_index": op5_permutation_index,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op3_mix_sources": op3_mix_sources,
 }
