@@ -5,9 +5,11 @@ from __future__ import annotations
 from .minhash_dedup import op8_minhash_dedup
 from .mixing import OP3_SQL, op3_mix_sources
 from .permutation_index import op5_permutation_index
+from .quality import op6_quality_vote
 
 QUERIES = {
     "op5_permutation_index": op5_permutation_index,
+    "op6_quality_vote": op6_quality_vote,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op3_mix_sources": op3_mix_sources,
 }
