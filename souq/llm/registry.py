@@ -6,10 +6,12 @@ from .minhash_dedup import op8_minhash_dedup
 from .mixing import OP3_SQL, op3_mix_sources
 from .permutation_index import op5_permutation_index
 from .quality import op6_quality_vote
+from .toxicity import op10_subword_toxicity
 
 QUERIES = {
     "op5_permutation_index": op5_permutation_index,
     "op6_quality_vote": op6_quality_vote,
+    "op10_subword_toxicity": op10_subword_toxicity,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op3_mix_sources": op3_mix_sources,
 }
