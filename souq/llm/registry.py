@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP1_SQL, op1_decontaminate
 from .minhash_dedup import op8_minhash_dedup
 from .mixing import OP3_SQL, op3_mix_sources
 from .permutation_index import op5_permutation_index
@@ -9,6 +10,7 @@ from .quality import op6_quality_vote
 from .toxicity import op10_subword_toxicity
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op5_permutation_index": op5_permutation_index,
     "op6_quality_vote": op6_quality_vote,
     "op10_subword_toxicity": op10_subword_toxicity,
@@ -17,5 +19,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_decontaminate": OP1_SQL,
     "op3_mix_sources": OP3_SQL,
 }
