@@ -8,8 +8,10 @@ from .mixing import OP3_SQL, op3_mix_sources
 from .permutation_index import op5_permutation_index
 from .quality import op6_quality_vote
 from .toxicity import op10_subword_toxicity
+from .url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
+    "op2_url_filter": op2_url_filter,
     "op1_decontaminate": op1_decontaminate,
     "op5_permutation_index": op5_permutation_index,
     "op6_quality_vote": op6_quality_vote,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_url_filter": OP2_SQL,
     "op1_decontaminate": OP1_SQL,
     "op3_mix_sources": OP3_SQL,
 }
