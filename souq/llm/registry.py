@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat_repair import op4_chat_repair
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .minhash_dedup import op8_minhash_dedup
 from .mixing import OP3_SQL, op3_mix_sources
@@ -11,6 +12,7 @@ from .toxicity import op10_subword_toxicity
 from .url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
+    "op4_chat_repair": op4_chat_repair,
     "op2_url_filter": op2_url_filter,
     "op1_decontaminate": op1_decontaminate,
     "op5_permutation_index": op5_permutation_index,
