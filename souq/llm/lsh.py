@@ -120,7 +120,7 @@ def _signature_filter(percent: int, hashes: int, slack: float = 4.5):
     p = percent / 100
     need = p - slack * math.sqrt(p * (1 - p) / hashes)
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(t):
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, hashes)
         ok = np.zeros(t.num_rows, bool)
         for i in range(t.num_rows - 1):
@@ -143,13 +143,13 @@ def _sets(t: pa.Table) -> list[np.ndarray]:
 
 
 def _link_group(percent: int):
-    def run(t: pa.Table) -> pa.Table:
+    def run(t):
         return _links_table(link_sets(t.column("id").to_numpy(), _sets(t), percent))
     return run
 
 
 def _link_blocks(percent: int):
-    def run(t: pa.Table) -> pa.Table:
+    def run(t):
         return _links_table(link_sets(t.column("id").to_numpy(), _sets(t), percent,
                                       t.column("root").to_numpy(), t.column("loose").to_numpy(zero_copy_only=False)))
     return run

@@ -71,7 +71,7 @@ def _permute(pivots: np.ndarray, prefix: int):
 def _search(pivots: int, dim: int, k: int, share: float, least: int):
     schema = pa.schema([("query_id", pa.int64()), ("q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+    def run(rows, queries):
         out: list[list] = [[], [], [], []]
         n = rows.num_rows
         if n and queries.num_rows:

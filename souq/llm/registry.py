@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_repair import op4_chat_repair
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .kneser_ney import op7_kneser_ney
 from .minhash_dedup import op8_minhash_dedup
 from .mixing import OP3_SQL, op3_mix_sources
 from .permutation_index import op5_permutation_index
@@ -12,6 +13,7 @@ from .toxicity import op10_subword_toxicity
 from .url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
+    "op7_kneser_ney": op7_kneser_ney,
     "op4_chat_repair": op4_chat_repair,
     "op2_url_filter": op2_url_filter,
     "op1_decontaminate": op1_decontaminate,
