@@ -134,48 +134,57 @@ def _signature_filter(percent: int, hashes: int, slack: float = 4.5):
 LINK_SCHEMA = "a long, b long"
 
 
-def _links_table(links: list[tuple[int, int]]) -> pa.Table:
-    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-
-def _sets(t: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
-
-
-def _link_group(percent: int):
-    def run(t):
-        return _links_table(link_sets(t.column("id").to_numpy(), _sets(t), percent))
+def _links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+
+def _link_runs(percent: int, key: tuple[str, ...]):
+    """Link the groups of equal key in sorted rows.  A group that a batch boundary cuts is carried
+    over; groups are bounded by the chunking before."""
+    def links_of(t: pa.Table) -> list[tuple[int, int]]:
+        named = "root" in t.column_names
+        return link_sets(t.column("id").to_numpy(), [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()], percent,
+                         t.column("root").to_numpy() if named else None,
+                         t.column("loose").to_numpy(zero_copy_only=False) if named else None)
+
+    def run(batches):
+        carried = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if carried is None else pa.concat_tables([carried, t]).combine_chunks()
+            if not t.num_rows:
+                continue
+            k = np.stack([t.column(c).to_numpy() for c in key])
+            cut = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist()]
+            out = []
+            for i, j in zip(cut[:-1], cut[1:]):
+                if j - i > 1:
+                    out += links_of(t.slice(i, j - i))
+            carried = t.slice(cut[-1])
+            yield _links_batch(out)
+        if carried is not None and carried.num_rows > 1:
+            yield _links_batch(links_of(carried))
     return run
 
 
-def _link_blocks(percent: int):
-    def run(t):
-        return _links_table(link_sets(t.column("id").to_numpy(), _sets(t), percent,
-                                      t.column("root").to_numpy(), t.column("loose").to_numpy(zero_copy_only=False)))
-    return run
+def _linked(rows: DataFrame, percent: int, *key: str) -> DataFrame:
+    return rows.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(_link_runs(percent, key), LINK_SCHEMA)
 
 
-def near_links(reps: DataFrame, fetch_sets, percent: int, hashes: int,
-               group_rows: int = 4096, chunk_shingles: int = 1_000_000) -> DataFrame:
-    """Links (a, b) that span the similarity graph of the given sets.
+def verified_members(reps: DataFrame, percent: int, hashes: int, group_rows: int = 4096) -> DataFrame:
+    """(leader, id, n): which sets to compare with which, after banding and signatures.
 
     ``reps`` has id long, n int (set size), bands array<long>, sig binary (one
     byte of each minimum), one row per different set; it should be
-    materialised.  ``fetch_sets(ids)`` returns (id, set binary) for the ids in
-    a frame.
-
-    1. Buckets: every bucket names the member with the smallest hash as its
-       leader (a map-side combined minimum).  Members that share a bucket
-       share its leader, so comparing within the leaders' groups covers every
-       pair that collides in any band.
-    2. Signature verification drops members that agree with nobody in the
-       group (groups of up to ``group_rows``; a larger group goes on whole).
-    3. Exact comparison on full sets, by group.  A group of more than
-       ``chunk_shingles`` shingles is cut into chunks, each with the leader.
-    4. Only for cut groups: members outside the group's largest component so
-       far are compared with every chunk, block by block.
-
-    No step emits pairs other than the spanning links.
+    materialised.
+
+    Every bucket names the member with the smallest hash as its leader (a
+    map-side combined minimum).  Members that share a bucket share its leader,
+    so comparing within the leaders' groups covers every pair that collides in
+    any band.  Signature verification then drops members that agree with
+    nobody in the group (groups of up to ``group_rows``; a larger group goes
+    on whole).
     """
     band = reps.select("id", F.explode("bands").alias("bucket"))
     lead = band.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("l")) \
@@ -183,19 +192,32 @@ def near_links(reps: DataFrame, fetch_sets, percent: int, hashes: int,
     members = persist_shared(band.join(lead, "bucket").select("leader", "id").distinct())
     size = members.groupBy("leader").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     full = members.join(size, "leader").join(reps.select("id", "n", "sig"), "id")
-    kept = persist_shared(
+    return persist_shared(
         full.where(F.col("c") <= group_rows).groupBy("leader")
         .applyInArrow(_signature_filter(percent, hashes), "leader long, id long, n int")
         .union(full.where(F.col("c") > group_rows).select("leader", "id", "n")))
+
+
+def exact_links(members: DataFrame, fetch_sets, percent: int, chunk_shingles: int = 1_000_000) -> DataFrame:
+    """Links (a, b) that span the similarity graph within the groups of ``members`` (leader, id, n).
+
+    ``fetch_sets(ids)`` returns (id, set binary) for the ids in a frame.
+
+    1. Exact comparison on full sets, by group.  A group of more than
+       ``chunk_shingles`` shingles is cut into chunks, each with the leader.
+    2. Only for cut groups: members outside the group's largest component so
+       far are compared with every chunk, block by block.
+
+    No step emits pairs other than the spanning links.
+    """
     # an id with two different texts has two sets; both are compared
-    chunks = kept.groupBy("leader").agg(F.ceil(F.sum("n") / chunk_shingles).cast("int").alias("chunks"))
-    sets = fetch_sets(kept.select("id").distinct())
-    cut = kept.select("leader", "id").distinct().join(chunks, "leader")
-    rows = cut.join(sets, "id").withColumn(
-        "chunk", F.explode(F.when(F.col("id") == F.col("leader"), F.sequence(F.lit(0), F.col("chunks") - 1))
-                           .otherwise(F.array(F.pmod(F.xxhash64("id", F.lit(3)), F.col("chunks")).cast("int")))))
-    links = persist_shared(rows.select("leader", "chunk", "id", "set").groupBy("leader", "chunk")
-                           .applyInArrow(_link_group(percent), LINK_SCHEMA))
+    chunks = members.groupBy("leader").agg(F.ceil(F.sum("n") / chunk_shingles).cast("int").alias("chunks"))
+    sets = fetch_sets(members.select("id").distinct())
+    cut = members.select("leader", "id").distinct().join(chunks, "leader")
+    part = F.pmod(F.xxhash64("id", F.lit(3)), F.col("chunks")).cast("int")
+    rows = cut.join(sets, "id").withColumn("chunk", F.explode(
+        F.when(F.col("id") == F.col("leader"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(part))))
+    links = persist_shared(_linked(rows.select("leader", "chunk", "id", "set"), percent, "leader", "chunk"))
     large = persist_shared(cut.where("chunks > 1"))
     if large.isEmpty():
         return links
@@ -205,14 +227,13 @@ def near_links(reps: DataFrame, fetch_sets, percent: int, hashes: int,
     main = named.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("leader") \
         .agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("members"), F.max("c").alias("most"))
     open_ = named.join(main.where("members > most"), "leader")
-    part = F.pmod(F.xxhash64("id", F.lit(3)), F.col("chunks")).cast("int")
     loose = open_.where("root <> main").withColumn("k", part)
     # blocks: chunk j of all members against chunk k of the loose ones
     blocks = loose.select("leader", "k").distinct()
     every = open_.withColumn("j", part).join(blocks, "leader").select("leader", "j", "k", "id", "root", F.lit(False).alias("loose"))
     some = loose.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))) \
         .select("leader", "j", "k", "id", "root", F.lit(True).alias("loose"))
-    more = every.union(some).join(sets, "id").groupBy("leader", "j", "k").applyInArrow(_link_blocks(percent), LINK_SCHEMA)
+    more = _linked(every.union(some).join(sets, "id"), percent, "leader", "j", "k")
     return persist_shared(links.union(more))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import persist_shared, small_batches, table
 from .components import connected_components
-from .lsh import band_hashes, hash_family, minima, near_links, rows_with_ids, tune
+from .lsh import band_hashes, exact_links, hash_family, minima, rows_with_ids, tune, verified_members
 from .textops import fmix, shingle_hashes, slices, to_batch, word_bounds, word_hashes
 
 
@@ -70,7 +70,8 @@ def _sets_of(words: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, **limits) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, group_rows: int = 4096,
+                    chunk_shingles: int = 1_000_000) -> DataFrame:
     """Components of documents whose ``words``-word shingle sets have Jaccard >= percent/100.
 
     ``docs`` has doc_id long and text (other columns are ignored).  Returns
@@ -97,8 +98,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, **limits
         found = rows_with_ids(docs, ids.withColumnRenamed("id", "doc_id"), "doc_id")
         return persist_shared(found.mapInArrow(_sets_of(words), "id long, set binary"))
 
-    links = near_links(classes.select("id", "n", "bands", "sig"), fetch, percent, bands * rows, **limits)
-    comp = connected_components(links)
+    members = verified_members(classes.select("id", "n", "bands", "sig"), percent, bands * rows, group_rows)
+    comp = connected_components(exact_links(members, fetch, percent, chunk_shingles))
     named = classes.select(*key, "id").join(comp.withColumnRenamed("node", "id"), "id", "left") \
         .select(*key, F.coalesce("root", "id").alias("root"))
     out = scan.select("doc_id", *key).join(named, key, "left")

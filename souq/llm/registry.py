@@ -7,12 +7,14 @@ from .decontaminate import OP1_SQL, op1_decontaminate
 from .kneser_ney import op7_kneser_ney
 from .minhash_dedup import op8_minhash_dedup
 from .mixing import OP3_SQL, op3_mix_sources
+from .paragraph_dedup import op9_paragraph_dedup
 from .permutation_index import op5_permutation_index
 from .quality import op6_quality_vote
 from .toxicity import op10_subword_toxicity
 from .url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
+    "op9_paragraph_dedup": op9_paragraph_dedup,
     "op7_kneser_ney": op7_kneser_ney,
     "op4_chat_repair": op4_chat_repair,
     "op2_url_filter": op2_url_filter,
