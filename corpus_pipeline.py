@@ -1,8 +1,93 @@
-"""Corpus pipeline: the stages that turn raw documents into a training mix."""
+"""Corpus pipeline: from raw documents to a training mix.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+what a stage returns as Parquet in the shared folder and gives it to the next.
+All stages but the last return the columns of documents; the last adds size,
+source_size, target, taken and epochs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from souq.llm.common import checked_broadcast, persist_shared, table, write_shared
+from souq.llm.decontaminate import remove_documents
+from souq.llm.labelled import with_score
+from souq.llm.minhash_dedup import near_duplicates
+from souq.llm.mixing import mix
+from souq.llm.paragraph_dedup import remove_passages
+from souq.llm.quality import fit_quality
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject (score >= 0.7)."""
+    docs = docs.select(*COLUMNS)
+    model = fit_quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return with_score(docs, model, "_score").where("_score >= 0.7").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8.
+
+    Rows that repeat an id with the same text, or a text without id, are one document.
+    """
+    docs = docs.select(*COLUMNS)
+    found = persist_shared(near_duplicates(docs, words=5, percent=80))
+    gone = found.where("not kept").select("doc_id").distinct()
+    left = docs.join(checked_broadcast(persist_shared(gone)), "doc_id", "left_anti").select(*COLUMNS)
+    repeated = persist_shared(docs.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    n = repeated.count()
+    if not n:
+        return left
+    same = left["doc_id"].eqNullSafe(repeated["doc_id"]) & (F.xxhash64(left["text"]) == repeated["h"])
+    once = left.join(checked_broadcast(repeated, n), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(checked_broadcast(repeated, n), same, "left_anti").union(once.select(*COLUMNS))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that repeat across them."""
+    return remove_passages(docs.select(*COLUMNS))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark does not contaminate."""
+    return remove_documents(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it.
+
+    Rows that repeat an id and text share what the mix takes of them.
+    """
+    docs = docs.select(*COLUMNS)
+    taken = mix(docs).groupBy("doc_id", "tie").agg(
+        *[F.any_value(c).alias(c) for c in ("size", "source_size", "target", "epochs")],
+        F.floor(F.sum("taken") / F.count(F.lit(1))).cast("long").alias("taken")) \
+        .withColumnRenamed("doc_id", "_id")
+    same = docs["doc_id"].eqNullSafe(taken["_id"]) & (F.xxhash64(docs["text"]) == taken["tie"])
+    return docs.join(taken, same).select(*COLUMNS, "size", "source_size", "target", "taken", "epochs")
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
+
+#: the stages train a model and iterate over a graph, which SQL cannot express
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = write_shared(docs, name)
+    return docs

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,13 +41,25 @@ def persist_shared(df: DataFrame) -> DataFrame:
 
 
 def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Write as Parquet into a new folder under ``spark.checkpoint.dir`` and read it back."""
+    """Write as Parquet into a new folder under ``spark.checkpoint.dir`` and read it back.
+
+    The folder goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a shared folder while the session still lives."""
+    with contextlib.suppress(Exception):
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checked_broadcast(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when the (materialised) frame has at most ``bound`` rows."""
     n = df.count() if rows is None else rows

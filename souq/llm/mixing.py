@@ -75,7 +75,8 @@ def mix(docs: DataFrame, weight: DataFrame | None = None, cap: int = 3, seed: in
 
     ``docs`` has doc_id, source, text and possibly more columns (ignored).
     Returns one row per input row: doc_id, source, size, source_size, target,
-    taken, epochs.
+    taken, epochs, tie (xxhash64 of the
+    text).
 
     Defined cases: null text has size 0 and takes 0; null source is a source
     of its own, last in order; null doc_id takes part like any id; repeated
@@ -115,11 +116,11 @@ def mix(docs: DataFrame, weight: DataFrame | None = None, cap: int = 3, seed: in
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     out = placed.alias("r").join(
         start.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bucket") == F.col("b.bucket"))) \
-        .select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", "epochs", "rest",
+        .select("doc_id", F.col("r.source").alias("source"), "size", "tie", "source_size", "target", "epochs", "rest",
                 (F.col("start") + F.col("inside")).alias("before"))
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("before")))
     return out.select("doc_id", "source", "size", "source_size", "target",
-                      (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "epochs")
+                      (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "epochs", "tie")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
