@@ -26,16 +26,6 @@ def money(c: Column | str, scale: Decimal = MONEY_SCALE) -> Column:
     return F.round(c.cast("decimal(12,2)") * F.lit(scale), 2).cast(DEC)
 
 
-def money_sum(c: Column | str) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.sum(c).cast(DEC_SUM)
-
-
-def to_double(c: Column | str) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return c.cast("double")
-
-
 def safe_ratio(num: Column, den: Column) -> Column:
     """num / den as double, NULL when den is 0 or NULL (ANSI-safe)."""
     return num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0))

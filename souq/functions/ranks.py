@@ -9,13 +9,19 @@ group before any per-group ordering:
   rows per group).
 * :func:`value_ranks` works on the (group, value) histogram (ties collapse
   map-side), splits every group into value buckets at cut points from a
-  bounded ``percentile_approx`` sketch, and combines per-bucket counts (at
-  most ``buckets`` rows per group) with a window inside each bucket.  The
-  result is exact; the sketch only balances the buckets.
+  bounded ``percentile_approx`` sketch, deals the rows out anew by (group,
+  bucket), and combines per-bucket counts (at most ``buckets`` rows per group)
+  with a window inside each bucket.  The number of buckets follows the
+  histogram's measured size.  The result is exact; the sketch only balances
+  the buckets.
+
+Groups are compared null-safely: the NULL group is a group.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +44,19 @@ def salted_row_number(df: DataFrame, part_cols: list[str], order_cols: list[Colu
         .drop("_salt", "_rn", "_off")
 
 
+def join_groups(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal or both-NULL columns; the right side's copies of them are dropped."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in cols})
+    cond = reduce(lambda a, b: a & b, [left[c].eqNullSafe(renamed[f"_r_{c}"]) for c in cols])
+    return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in cols])
+
+
+#: values of a histogram that one bucket holds on average
+BUCKET_VALUES = 100_000
+
+
 def value_ranks(df: DataFrame, group_cols: list[str], value_col: str, descending: bool = False,
-                buckets: int = 32, accuracy: int = 1000) -> DataFrame:
+                buckets: int | None = None, accuracy: int = 1000) -> DataFrame:
     """One row per (group, distinct non-NULL value) with
 
     * ``n_before``: rows of the group strictly before the value in the
@@ -53,16 +70,21 @@ def value_ranks(df: DataFrame, group_cols: list[str], value_col: str, descending
     # window: materialise it once (reliable checkpoint, shared folder) so the
     # upstream plan is not recomputed for every branch
     hist = cut_lineage(hist)
+    if buckets is None:
+        buckets = max(8, -(-hist.count() // BUCKET_VALUES))
     fr = [i / buckets for i in range(1, buckets)]
     sketch = F.percentile_approx(F.col("_v").cast("double"), fr, accuracy)
     if group_cols:
         cuts = hist.groupBy(*group_cols).agg(sketch.alias("_cuts"), F.sum("_c").alias("n_group"))
-        h = hist.join(cuts, group_cols)
+        h = join_groups(hist, cuts, group_cols)
     else:  # one global group: cut points and size are scalar subqueries
         h = hist.withColumns({"_cuts": hist.select(sketch).scalar(),
                               "n_group": hist.select(F.sum("_c")).scalar()})
     vd = F.col("_v").cast("double")
     h = h.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < vd))).drop("_cuts")
+    # The join above may leave a group in one task, which would satisfy the
+    # windows below without an exchange: deal the buckets out explicitly.
+    h = h.repartition(*group_cols, "_b")
     per_b = h.groupBy(*group_cols, "_b").agg(F.sum("_c").alias("_bc"))
     b_order = F.desc("_b") if descending else F.asc("_b")
     w_b = Window.partitionBy(*group_cols).orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)
@@ -70,7 +92,7 @@ def value_ranks(df: DataFrame, group_cols: list[str], value_col: str, descending
     v_order = F.desc("_v") if descending else F.asc("_v")
     w_v = Window.partitionBy(*group_cols, "_b").orderBy(v_order).rowsBetween(Window.unboundedPreceding, -1)
     h = h.withColumn("_in", F.coalesce(F.sum("_c").over(w_v), F.lit(0)))
-    return h.join(offs, [*group_cols, "_b"]).select(
+    return join_groups(h, offs, [*group_cols, "_b"]).select(
         *group_cols, F.col("_v").alias(value_col),
         (F.col("_off") + F.col("_in")).cast("long").alias("n_before"),
         F.col("_c").alias("n_equal"), F.col("n_group").cast("long").alias("n_group"))
@@ -85,4 +107,4 @@ def skew_safe_rank(df: DataFrame, group_cols: list[str], value_col: str, descend
     """
     r = value_ranks(df, group_cols, value_col, descending, **kw)
     r = r.select(*group_cols, value_col, (F.col("n_before") + 1).cast("int").alias(out))
-    return df.join(r, [*group_cols, value_col], "left")
+    return join_groups(df, r, [*group_cols, value_col], "left")

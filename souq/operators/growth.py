@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from ..functions.dates import date_from_key
 from ..functions.money import DEC_SUM, safe_ratio
 from ..functions.quantiles import exact_quantiles
-from ..session import cut_lineage
 from ..functions.ranks import skew_safe_rank
+from ..plans.warehouse import season_flags
+from ..session import cut_lineage
 
 
 def _order_day(fact_orders: DataFrame) -> DataFrame:
@@ -184,7 +185,7 @@ def retention_cohort(fact_orders: DataFrame) -> DataFrame:
     cohort = F.min("month").over(Window.partitionBy("customer_id"))
     x = cm.withColumn("cohort_month", cohort)
     x = x.withColumn("months_since", F.months_between("month", "cohort_month").cast("int"))
-    return x.groupBy("cohort_month", "months_since").agg(F.countDistinct("customer_id").alias("active_customers"))
+    return x.groupBy("cohort_month", "months_since").agg(F.count("customer_id").alias("active_customers"))
 
 
 # ---- X17, X18 ------------------------------------------------------------------------
@@ -301,16 +302,18 @@ def coupon_usage(coupons: DataFrame, orders: DataFrame) -> DataFrame:
     o = orders.where(F.col("coupon_id").isNotNull()).select(
         "coupon_id", F.to_date("order_date").alias("d"), "discount_amount")
     c = coupons.select("coupon_id", "store_id", "coupon_code", "start_date", "end_date")
+    # one row per coupon and day before the join: a coupon on a third of the orders is combined map-side
+    o = o.groupBy("coupon_id", "d").agg(F.count(F.lit(1)).alias("n"), F.sum("discount_amount").alias("given"))
     j = c.join(o, (c.coupon_id == o.coupon_id) & o.d.between(c.start_date, c.end_date), "left").drop(o.coupon_id)
     return j.groupBy("coupon_id", "store_id", "coupon_code").agg(
-        F.count("d").alias("uses"), F.coalesce(F.sum("discount_amount"), F.lit(0)).cast(DEC_SUM).alias("discount_given"))
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("uses"),
+        F.coalesce(F.sum("given"), F.lit(0)).cast(DEC_SUM).alias("discount_given"))
 
 
-def seasonal_sales(fact_orders: DataFrame, d_date: DataFrame) -> DataFrame:
-    """Orders and GMV by weekend / Ramadan / national-day flags."""
+def seasonal_sales(fact_orders: DataFrame) -> DataFrame:
+    """Orders and GMV by weekend / Ramadan / national-day flags (of the calendar, W5)."""
     daily = fact_orders.groupBy("date_id").agg(F.count(F.lit(1)).alias("n"), F.sum("gross_amount").alias("g"))
-    dd = F.broadcast(d_date.select("date_id", "is_weekend", "is_ramadan_season", "is_national_day_season"))
-    return (daily.join(dd, "date_id")
+    return (daily.withColumns(season_flags(date_from_key("date_id")))
             .groupBy("is_weekend", "is_ramadan_season", "is_national_day_season")
             .agg(F.sum("n").cast("long").alias("orders"), F.sum("g").cast(DEC_SUM).alias("gmv")))
 

@@ -10,6 +10,7 @@ metric ranges, never per row.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -22,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import DEC_SUM, safe_ratio
-from ..functions.ranks import value_ranks
-from .dashboard import intervention, risk_level
+from ..functions.ranks import join_groups, value_ranks
+from ..session import checkpoint_dir
 
 # ---------------------------------------------------------------------------
 # Scoring threshold and the labels returned with a score.
@@ -101,21 +102,15 @@ def stratified_split(df: DataFrame, id_col: str, strata: list[str] | None = None
     Repeatable across partitionings and task retries.
     """
     strata = strata or []
-    x = df.withColumn("_h", id_hash(id_col, seed))
+    # beyond 2^32 ids can share a hash: the id's upper part orders them
+    x = df.withColumn("_h", id_hash(id_col, seed).cast("decimal(20,0)") * F.lit(HASH_MOD)
+                      + F.shiftright(F.col(id_col).cast("long"), 32))
     r = value_ranks(x, strata, "_h").select(*strata, "_h", "n_before", "n_group")
-    x = x.join(r, [*strata, "_h"])
+    x = join_groups(x, r, [*strata, "_h"])
     k = F.round(F.col("n_group").cast("double") * F.lit(float(test_fraction)))
     return x.withColumn("is_test", F.col("n_before") < k).drop("_h", "n_before", "n_group")
 
 
-def hash_split(df: DataFrame, id_col: str, test_fraction: float = 0.2, seed: int = SEED,
-               buckets: int = 10000) -> DataFrame:
-    """Cheaper per-row alternative to :func:`stratified_split`: test when the
-    id hashes below the fraction (proportions hold in expectation only)."""
-    h = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(buckets))
-    return df.withColumn("is_test", h < int(test_fraction * buckets))
-
-
 def split_summary(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label, "is_test").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -161,28 +156,38 @@ def _cast_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in cols})
 
 
-TRAIN_PARTITIONS = 16
+ROWS_PER_PARTITION = 100_000
 
 
-def stable_layout(df: DataFrame, id_col: str, partitions: int = TRAIN_PARTITIONS) -> DataFrame:
+def stable_layout(df: DataFrame, id_col: str, rows: int | None = None) -> DataFrame:
     """Hash-partition by id and sort inside partitions.
 
-    Forest bagging draws per partition, so a fixed layout makes a refit
-    (after an executor loss or on another day) give the same model no
-    matter how the upstream plan happened to partition the rows.
+    Forest bagging draws per partition, so a layout that depends on the rows
+    alone makes a refit (after an executor loss or on another day) give the
+    same model no matter how the upstream plan happened to partition them.
+    The number of partitions follows the row count.
     """
-    return df.repartition(partitions, id_col).sortWithinPartitions(id_col)
+    rows = df.count() if rows is None else rows
+    return df.repartition(max(8, -(-rows // ROWS_PER_PARTITION)), id_col).sortWithinPartitions(id_col)
+
+
+def churn_split(features: DataFrame) -> DataFrame:
+    return stratified_split(_cast_numeric(features, CHURN_NUMERIC), "merchant_id", ["is_churned"])
+
+
+def clv_split(features: DataFrame) -> DataFrame:
+    return stratified_split(_cast_numeric(features, CLV_FEATURES), "customer_id")
 
 
 def train_churn(features: DataFrame, **kw) -> tuple[PipelineModel, DataFrame]:
     """Fit on the training split; returns (model, split frame)."""
-    split = stratified_split(_cast_numeric(features, CHURN_NUMERIC), "merchant_id", ["is_churned"])
+    split = churn_split(features)
     train = stable_layout(with_balanced_weights(split.where(~F.col("is_test"))), "merchant_id")
     return churn_pipeline(**kw).fit(train), split
 
 
 def train_clv(features: DataFrame, **kw) -> tuple[PipelineModel, DataFrame]:
-    split = stratified_split(_cast_numeric(features, CLV_FEATURES), "customer_id")
+    split = clv_split(features)
     return clv_pipeline(**kw).fit(stable_layout(split.where(~F.col("is_test")), "customer_id")), split
 
 
@@ -206,7 +211,7 @@ def churn_evaluate(model: PipelineModel, test: DataFrame) -> DataFrame:
     auc = None
     if counts["n_classes"] == 2:
         auc = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="rawPrediction",
-                                            metricName="areaUnderROC").evaluate(scored)
+                                            metricName="areaUnderROC", numBins=0).evaluate(scored)
     rows = [("auc", None, auc)]
     for c in (0, 1):
         tp, fp, fn = counts[f"tp{c}"], counts[f"fp{c}"], counts[f"fn{c}"]
@@ -236,24 +241,27 @@ def load_model(path: str) -> PipelineModel:
 
 
 def model_path(spark, name: str) -> str:
-    """Models live next to the shared checkpoint folder (cluster-visible)."""
-    from ..session import checkpoint_dir
-    return os.path.join(checkpoint_dir(spark), "models", name)
+    """Models live in the shared checkpoint folder (cluster-visible), one folder for each application."""
+    return os.path.join(checkpoint_dir(spark), "models", spark.sparkContext.applicationId, uuid.uuid4().hex, name)
+
+
+def clv_score(model: PipelineModel, features: DataFrame) -> DataFrame:
+    """M7: predicted spend of the next 12 months per customer."""
+    s = model.transform(_cast_numeric(features, CLV_FEATURES))
+    return s.select("customer_id", F.round("prediction", 2).alias("predicted_12m_spend"))
 
 
 def churn_score(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """M8: churn probability (4 places), status and recommended action at p > 0.5."""
+    """M8: churn probability (4 places), status and recommended action at p > 0.5.
+
+    The threshold is applied to the unrounded probability.
+    """
     s = model.transform(_cast_numeric(features, CHURN_NUMERIC))
-    p = F.round(vector_to_array("probability")[1], 4)
+    p = vector_to_array("probability")[1]
     churn = p > CHURN_THRESHOLD
     return s.select(
-        "merchant_id", p.alias("churn_probability"),
+        "merchant_id", F.round(p, 4).alias("churn_probability"),
         F.when(churn, STATUS_CHURN).otherwise(STATUS_HEALTHY).alias("predicted_status"),
         F.when(churn, ACTION_CHURN).otherwise(ACTION_HEALTHY).alias("action_recommendation"),
     )
 
-
-def churn_risk_labels(scores: DataFrame) -> DataFrame:
-    """Risk level and intervention of a churn probability (B15 labels)."""
-    r = risk_level(F.col("churn_probability"))
-    return scores.withColumn("risk_status", r).withColumn("recommended_intervention", intervention(r))

@@ -172,15 +172,31 @@ def dq_freshness(tables: dict[str, DataFrame], as_of: dt.date) -> DataFrame:
 
 
 def dq_fk_all(tables: dict[str, DataFrame]) -> DataFrame:
-    """Orphans for every declared foreign key (NULL keys skipped)."""
-    parts = []
-    for child, fk, parent, rule in FOREIGN_KEYS:
-        o = orphan_count(tables[child], fk, tables[parent], PRIMARY_KEYS[parent])
-        parts.append(o.select(F.lit(child).alias("child_table"), F.lit(fk).alias("fk_column"),
-                              F.lit(parent).alias("parent_table"),
-                              F.lit("CASCADE" if rule == "C" else "SET NULL").alias("on_delete"),
-                              F.col("n").alias("orphan_rows")))
-    return reduce(DataFrame.unionByName, parts)
+    """Orphans for every declared foreign key (NULL keys skipped).
+
+    Every child is read once: its keys become rows (foreign key, value) that
+    are counted map-side.  Every parent's keys are read once, and one anti
+    join finds the values without a parent.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    by_child: dict[str, list[tuple[int, str, str]]] = {}
+    for i, (child, fk, parent, _) in enumerate(FOREIGN_KEYS):
+        by_child.setdefault(child, []).append((i, fk, parent))
+    keys = reduce(DataFrame.union, [
+        tables[child].select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(parent).alias("parent"),
+                                                         F.col(fk).cast("long").alias("value")) for i, fk, parent in fks])))
+        for child, fks in by_child.items()]).where("value is not null") \
+        .groupBy("i", "parent", "value").agg(F.count(F.lit(1)).alias("n"))
+    known = reduce(DataFrame.union, [
+        tables[p].select(F.lit(p).alias("parent"), F.col(PRIMARY_KEYS[p]).cast("long").alias("value"))
+        for p in sorted({p for _, _, p, _ in FOREIGN_KEYS})])
+    orphans = keys.join(known, ["parent", "value"], "left_anti").groupBy("i").agg(F.sum("n").alias("n"))
+    declared = spark.createDataFrame(
+        [(i, c, fk, p, "CASCADE" if rule == "C" else "SET NULL") for i, (c, fk, p, rule) in enumerate(FOREIGN_KEYS)],
+        "i int, child_table string, fk_column string, parent_table string, on_delete string")
+    return declared.join(orphans, "i", "left").select(
+        "child_table", "fk_column", "parent_table", "on_delete",
+        F.coalesce("n", F.lit(0)).cast("long").alias("orphan_rows"))
 
 
 def dq_cardinality(orders: DataFrame, payments: DataFrame, shipments: DataFrame,
@@ -221,20 +237,12 @@ def _cascade_order(root: str) -> list[str]:
     return order
 
 
-def fk_delete_propagation(tables: dict[str, DataFrame], root: str, deleted_keys: DataFrame) -> DataFrame:
-    """Effect of deleting ``deleted_keys`` (one column, the root's key).
-
-    CASCADE edges remove child rows whose parent was removed (transitively);
-    SET NULL edges keep the child row with the key nulled.  Returns one row
-    per affected table: rows before, rows deleted, rows whose key is nulled.
-    Each table's deleted key set is a union of semi joins with its parents'
-    deleted sets, all one lazy plan.
-    """
+def _deleted_keys(tables: dict[str, DataFrame], root: str, deleted_keys: DataFrame) -> dict[str, DataFrame]:
+    """The keys that go from every table reached over CASCADE edges, as lazy semi joins."""
     pk_root = PRIMARY_KEYS[root]
     deleted: dict[str, DataFrame] = {root: deleted_keys.select(F.col(deleted_keys.columns[0]).alias(pk_root))
                                      .join(tables[root].select(pk_root), pk_root, "left_semi").distinct()}
-    order = _cascade_order(root)
-    for t in order[1:]:
+    for t in _cascade_order(root)[1:]:
         pk = PRIMARY_KEYS[t]
         hits = []
         for child, fk, parent, rule in FOREIGN_KEYS:
@@ -242,23 +250,45 @@ def fk_delete_propagation(tables: dict[str, DataFrame], root: str, deleted_keys:
                 par = deleted[parent].select(F.col(PRIMARY_KEYS[parent]).alias(fk))
                 hits.append(tables[t].select(pk, fk).join(par, fk, "left_semi").select(pk))
         deleted[t] = reduce(DataFrame.union, hits).distinct()
+    return deleted
+
+
+def _nulled_edges(t: str, deleted: dict[str, DataFrame]) -> list[tuple[str, str]]:
+    return [(fk, parent) for child, fk, parent, rule in FOREIGN_KEYS if child == t and rule == "N" and parent in deleted]
+
+
+def erase(tables: dict[str, DataFrame], root: str, deleted_keys: DataFrame) -> dict[str, DataFrame]:
+    """The affected tables as they are after deleting ``deleted_keys`` (one column, the root's key).
+
+    CASCADE edges remove child rows whose parent was removed (transitively);
+    SET NULL edges keep the child row with the key nulled.
+    """
+    deleted = _deleted_keys(tables, root, deleted_keys)
+    out = {}
+    for t in sorted(set(deleted) | {c for c, _, p, r in FOREIGN_KEYS if r == "N" and p in deleted}):
+        left = propagate_delete(tables[t], PRIMARY_KEYS[t], deleted[t], "CASCADE") if t in deleted else tables[t]
+        for fk, parent in _nulled_edges(t, deleted):
+            left = propagate_delete(left, fk, deleted[parent], "SET NULL")
+        out[t] = left
+    return out
+
+
+def fk_delete_propagation(tables: dict[str, DataFrame], root: str, deleted_keys: DataFrame) -> DataFrame:
+    """G11 as a report: per affected table rows before, rows deleted, rows with a key newly nulled."""
+    deleted = _deleted_keys(tables, root, deleted_keys)
+    erased = erase(tables, root, deleted_keys)
     parts = []
-    affected = set(order) | {c for c, _, p, r in FOREIGN_KEYS if r == "N" and p in deleted}
-    for t in sorted(affected):
-        pk = PRIMARY_KEYS[t]
-        base = tables[t]
-        n_del = deleted[t].select(F.count(F.lit(1))).scalar() if t in deleted else F.lit(0).cast("long")
-        survivors = base.join(deleted[t], pk, "left_anti") if t in deleted else base
-        null_conds = []
-        for child, fk, parent, rule in FOREIGN_KEYS:
-            if child == t and rule == "N" and parent in deleted:
-                par = deleted[parent].select(F.col(PRIMARY_KEYS[parent]).alias("_p"), F.lit(True).alias(f"_hit_{fk}"))
-                survivors = survivors.join(par.withColumnRenamed("_p", fk), fk, "left")
-                null_conds.append(F.col(f"_hit_{fk}").isNotNull())
-        nulled = F.count_if(reduce(lambda a, b: a | b, null_conds)) if null_conds else F.lit(0).cast("long")
-        before = base.select(F.count(F.lit(1))).scalar()
-        parts.append(survivors.agg(nulled.alias("rows_set_null")).select(
-            F.lit(t).alias("table_name"), before.alias("rows_before"), n_del.cast("long").alias("rows_deleted"),
+    for t, left in erased.items():
+        fks = [fk for fk, _ in _nulled_edges(t, deleted)]
+        before = tables[t].agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+        nulled = F.lit(0).cast("long")
+        if fks:
+            # rows that stay and had a key which is null now
+            old = tables[t].select(PRIMARY_KEYS[t], *[F.col(fk).isNotNull().alias(f"_had_{fk}") for fk in fks])
+            left = left.select(PRIMARY_KEYS[t], *fks).join(old, PRIMARY_KEYS[t])
+            nulled = F.count_if(reduce(lambda a, b: a | b, [F.col(f"_had_{fk}") & F.col(fk).isNull() for fk in fks]))
+        parts.append(left.agg(F.count(F.lit(1)).alias("_left"), nulled.alias("rows_set_null")).select(
+            F.lit(t).alias("table_name"), before.alias("rows_before"), (before - F.col("_left")).cast("long").alias("rows_deleted"),
             F.col("rows_set_null").cast("long")))
     return reduce(DataFrame.unionByName, parts)
 

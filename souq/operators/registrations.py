@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..queries import register
+from ..sources import sinks as S
 from ..sources.adapter import OLTP_TABLES
 from ..sources.constraints import WAREHOUSE_KEYS
 from . import dashboard as B
@@ -28,29 +32,34 @@ register("dq_financial_reconciliation")(lambda s: G.dq_financial_reconciliation(
 register("dq_referential_integrity")(
     lambda s: G.dq_referential_integrity(s.d.order_items, s.d.payments, s.d.orders))
 register("dq_boundary")(lambda s: G.dq_boundary(s.d.orders, s.as_of))
-register("dq_warehouse_parity")(lambda s: G.dq_warehouse_parity(s.d.orders, s.fact_orders))
+
+
+def _stored_fact_orders(s):
+    """The stored order fact of a load that ended before the last month of orders."""
+    path = S.work_path(s.d.spark, "stored", "dw_fact_orders")
+    S.append_sink(S.conform(s.fact_orders.where(F.col("date_id") < 20010701), S.WAREHOUSE_SCHEMAS["dw_fact_orders"]), path)
+    return S.scan_table(s.d.spark, path, S.WAREHOUSE_SCHEMAS["dw_fact_orders"])
+
+
+register("dq_warehouse_parity")(lambda s: G.dq_warehouse_parity(s.d.orders, _stored_fact_orders(s)))
 register("dq_scorecard")(
-    lambda s: G.dq_scorecard(s.d.orders, s.d.order_items, s.d.payments, s.fact_orders, s.as_of))
+    lambda s: G.dq_scorecard(s.d.orders, s.d.order_items, s.d.payments, _stored_fact_orders(s), s.as_of))
 register("dq_unique")(lambda s: G.dq_unique(_oltp(s)))
 register("dq_unique_warehouse")(lambda s: G.dq_unique(s.tables(), WAREHOUSE_KEYS))
 register("dq_domain")(lambda s: G.dq_domain(_oltp(s)))
-MISSING_COLUMNS = {
-    "customers": ["customer_id", "store_id", "full_name", "email", "phone_number", "region_id", "gender"],
-    "orders": ["order_id", "store_id", "customer_id", "coupon_id", "order_status", "gross_amount",
-               "discount_amount", "vat_amount", "shipping_fee", "net_amount", "order_date"],
-    "payments": ["payment_id", "order_id", "payment_gateway", "payment_status", "transaction_reference",
-                 "amount_paid", "paid_at"],
-    "shipments": ["shipment_id", "order_id", "courier_partner", "tracking_number", "shipment_status",
-                  "shipped_at", "delivered_at"],
-}
-register("dq_missing_pct")(lambda s: G.dq_missing_all(
-    {t: s.d.table(t).select(*cols) for t, cols in MISSING_COLUMNS.items()}))
+register("dq_missing_pct")(lambda s: G.dq_missing_all(_oltp(s)))
 register("dq_freshness")(lambda s: G.dq_freshness(_oltp(s), s.as_of))
 register("dq_fk_all")(lambda s: G.dq_fk_all(_oltp(s)))
 register("dq_cardinality")(
     lambda s: G.dq_cardinality(s.d.orders, s.d.payments, s.d.shipments, s.d.products, s.d.inventory))
 register("fk_delete_propagation")(lambda s: G.fk_delete_propagation(
     _oltp(s), "merchants", s.d.merchants.where(F.col("status") == "Churned").select("merchant_id")))
+register("fk_delete_orders")(lambda s: G.erase(
+    _oltp(s), "merchants", s.d.merchants.where(F.col("status") == "Churned").select("merchant_id"))["orders"]
+    .select("order_id", "store_id", "customer_id", "coupon_id", "net_amount"))
+register("fk_delete_sessions")(lambda s: G.erase(
+    _oltp(s), "merchants", s.d.merchants.where(F.col("status") == "Churned").select("merchant_id"))["customer_sessions"]
+    .select("session_id", "store_id", "customer_id", "device_type"))
 
 
 # ---- dashboard ----------------------------------------------------------------
@@ -91,7 +100,7 @@ from ..plans import marts as _M  # noqa: E402
 
 
 def _rfm(s):
-    return _M.mart_customer_rfm(s.dim_customer, s.fact_orders, s.dim_date, s.as_of)
+    return _M.mart_customer_rfm(s.dim_customer, s.fact_orders, s.as_of)
 
 
 register("session_funnel")(lambda s: GR.session_funnel(s.d.customer_sessions))
@@ -114,7 +123,7 @@ register("review_rating_summary")(lambda s: GR.review_rating_summary(s.d.reviews
 register("support_ticket_summary")(lambda s: GR.support_ticket_summary(s.d.support_tickets))
 register("merchant_benchmark")(lambda s: GR.merchant_benchmark(s.fact_orders, s.dim_store))
 register("coupon_usage")(lambda s: GR.coupon_usage(s.d.coupons, s.d.orders))
-register("seasonal_sales")(lambda s: GR.seasonal_sales(s.fact_orders, s.dim_date))
+register("seasonal_sales")(lambda s: GR.seasonal_sales(s.fact_orders))
 register("customer_churn_risk")(lambda s: GR.customer_churn_risk(s.fact_orders, s.as_of))
 
 register("ab_rates")(lambda s: X.ab_rates(s.d.raw("events")))
@@ -140,23 +149,42 @@ def _clv_features(s):
     return ML.clv_features(_rfm(s))
 
 
+def _stored_model(s, name, fit):
+    """Path of the model fitted on this star's data: fitted and saved on first use, then only loaded."""
+    paths = s.__dict__.setdefault("model_paths", {})
+    if name not in paths:
+        paths[name] = ML.save_model(fit()[0], ML.model_path(s.d.spark, name))
+    return paths[name]
+
+
+def _churn_model(s):
+    return ML.load_model(_stored_model(s, "merchant_churn", lambda: ML.train_churn(_churn_features(s))))
+
+
+def _clv_model(s):
+    return ML.load_model(_stored_model(s, "customer_clv", lambda: ML.train_clv(_clv_features(s))))
+
+
 def _churn_train_eval(s):
-    model, split = ML.train_churn(_churn_features(s))
-    return ML.churn_evaluate(model, split.where("is_test"))
+    return ML.churn_evaluate(_churn_model(s), ML.churn_split(_churn_features(s)).where("is_test"))
 
 
 def _clv_train_eval(s):
-    model, split = ML.train_clv(_clv_features(s))
-    return ML.clv_evaluate(model, split.where("is_test"))
+    return ML.clv_evaluate(_clv_model(s), ML.clv_split(_clv_features(s)).where("is_test"))
+
+
+def _churn_scores(s):
+    return ML.churn_score(_churn_model(s), _churn_features(s))
 
 
-def _churn_scores(s, persist=False):
-    feats = _churn_features(s)
-    model, _ = ML.train_churn(feats)
-    if persist:
-        path = ML.save_model(model, ML.model_path(s.d.spark, "merchant_churn"))
-        model = ML.load_model(path)
-    return ML.churn_score(model, feats)
+def _churn_labels(s):
+    """What a score says whatever the model: every merchant once, a probability, a label that fits it."""
+    p = F.col("churn_probability")
+    sure = F.when(p > ML.CHURN_THRESHOLD, ML.STATUS_CHURN).when(p < ML.CHURN_THRESHOLD, ML.STATUS_HEALTHY)
+    action = F.when(F.col("predicted_status") == ML.STATUS_CHURN, ML.ACTION_CHURN).otherwise(ML.ACTION_HEALTHY)
+    return _churn_scores(s).select("merchant_id", p.between(0, 1).alias("is_probability"),
+                                   (F.coalesce(sure, "predicted_status") == F.col("predicted_status")).alias("label_fits"),
+                                   (F.col("action_recommendation") == action).alias("action_fits"))
 
 
 def _merchant_health(s):
@@ -184,7 +212,8 @@ register("stratified_split_customers")(lambda s: ML.split_summary(
 register("churn_train_evaluate")(_churn_train_eval)
 register("clv_train_evaluate")(_clv_train_eval)
 register("churn_score")(_churn_scores)
-register("model_save_load")(lambda s: _churn_scores(s, persist=True))
+register("churn_score_labels")(_churn_labels)
+register("model_save_load")(lambda s: ML.clv_score(_clv_model(s), _clv_features(s)))
 register("merchant_health_by_merchant")(_merchant_health)
 register("merchant_risk_table")(_risk_table)
 register("merchant_risk_filtered")(lambda s: _risk_table(s, risk=B.RISK_HEALTHY, min_health=90.0))
@@ -196,7 +225,6 @@ import os as _os  # noqa: E402
 from pyspark.sql import types as _T  # noqa: E402
 
 from ..plans import warehouse as _W  # noqa: E402
-from ..sources import sinks as S  # noqa: E402
 from ..streaming import streams as T  # noqa: E402
 from . import access_log as AL  # noqa: E402
 
@@ -264,21 +292,15 @@ def _scan_whole(s):
 
 register("scan_whole_table")(_scan_whole)
 
-_OVERVIEW_SQL = """
-SELECT m.merchant_id, m.merchant_name, m.subscription_plan, m.status,
-       CAST(COALESCE(SUM(f.gross_amount), 0) AS DECIMAL(20,2)) AS total_gmv_sar,
-       CAST(COALESCE(SUM(f.net_amount), 0) AS DECIMAL(20,2)) AS total_net_revenue_sar,
-       CAST(COALESCE(COUNT(DISTINCT f.order_id), 0) AS BIGINT) AS total_orders
-FROM dw_dim_merchant m
-LEFT JOIN dw_dim_store s ON m.merchant_id = s.merchant_id
-LEFT JOIN dw_fact_orders f ON s.store_id = f.store_id
-WHERE m.merchant_id = :merchant_id
-GROUP BY m.merchant_id, m.merchant_name, m.subscription_plan, m.status"""
+_STORE_DAYS_SQL = """
+SELECT date_id, order_id, payment_gateway, net_amount
+FROM dw_fact_orders
+WHERE store_id = :store AND date_id BETWEEN :first_day AND :last_day"""
 
 
 def _param_scan(s):
-    S.register_views({k: v for k, v in s.tables().items() if k != "dim_date"})
-    return S.param_scan(s.d.spark, _OVERVIEW_SQL, merchant_id=7)
+    S.register_views({"dw_fact_orders": s.fact_orders})
+    return S.param_scan(s.d.spark, _STORE_DAYS_SQL, store=7, first_day=19960101, last_day=19981231)
 
 
 register("param_scan")(_param_scan)
@@ -295,20 +317,23 @@ def _append_sink(s):
 register("append_sink")(_append_sink)
 
 
-def _counts(spark, paths, fmt="parquet"):
-    from functools import reduce
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    parts = [reader.format(fmt).load(p).agg(F.count(F.lit(1)).alias("row_count"))
-             .select(F.lit(n).alias("table_name"), "row_count") for n, p in paths.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def _contents(tables):
+    """Row count, sum of the keys and sum of the hashes' low parts of each table, whatever the row order."""
+    keys = dict(WAREHOUSE_KEYS)
+    parts = [df.agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.col(keys[n]).cast("decimal(20,0)")).alias("key_sum"),
+                    F.sum(F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(F.col(f.name).cast("string"), F.lit("~"))
+                                                                      for f in S.WAREHOUSE_SCHEMAS[n]])), 1, 8), 16, 10)
+                          .cast("decimal(20,0)")).alias("content_sum"))
+             .select(F.lit(n).alias("table_name"), "row_count", "key_sum", "content_sum") for n, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _truncate_reload(s):
     base = S.work_path(s.d.spark, "reload")
-    tables = {k: s.tables()[k] for k in ("dw_fact_orders", "dw_fact_sales", "dw_dim_store", "dw_dim_merchant")}
-    paths = S.truncate_reload(s.d.spark, tables, base)
+    tables = {k: S.conform(s.tables()[k], S.WAREHOUSE_SCHEMAS[k]) for k, _ in WAREHOUSE_KEYS}
+    S.truncate_reload(s.d.spark, tables, base)
     paths = S.truncate_reload(s.d.spark, tables, base)  # reloading again replaces, never duplicates
-    return _counts(s.d.spark, paths)
+    return _contents({n: S.scan_table(s.d.spark, p, S.WAREHOUSE_SCHEMAS[n]) for n, p in paths.items()})
 
 
 register("truncate_reload")(_truncate_reload)
@@ -316,10 +341,9 @@ register("truncate_reload")(_truncate_reload)
 
 def _csv_export(s):
     base = S.work_path(s.d.spark, "lake")
-    t = s.tables()
-    paths = S.csv_lake_export({k: t[k] for k in ("dw_fact_orders", "dw_dim_merchant", "dw_dim_customer",
-                                                  "dw_dim_store")}, base)
-    return _counts(s.d.spark, paths, "csv")
+    tables = {k: S.conform(s.tables()[k], S.WAREHOUSE_SCHEMAS[k]) for k, _ in WAREHOUSE_KEYS}
+    paths = S.csv_lake_export(tables, base)
+    return _contents({n: s.d.spark.read.schema(S.WAREHOUSE_SCHEMAS[n]).option("header", True).csv(p) for n, p in paths.items()})
 
 
 register("csv_lake_export")(_csv_export)
@@ -329,19 +353,34 @@ def _parquet_export(s):
     path = S.work_path(s.d.spark, "lake_parquet")
     f = s.fact_orders.withColumn("year_month", F.substring(F.col("date_id").cast("string"), 1, 6))
     S.parquet_lake_export(f, path, ["year_month"])
-    return s.d.spark.read.parquet(path).where(F.col("year_month") == "199703").drop("year_month")
+    return s.d.spark.read.parquet(path).drop("year_month")
 
 
 register("parquet_lake_export")(_parquet_export)
 
 
+def _ensure_tables(s):
+    """Create the tables, load one, create again (which must not touch it), read it back."""
+    base = S.work_path(s.d.spark, "ensured")
+    paths = S.ensure_tables(s.d.spark, base)
+    S.append_sink(S.conform(s.dim_store, S.WAREHOUSE_SCHEMAS["dw_dim_store"]), paths["dw_dim_store"])
+    S.ensure_tables(s.d.spark, base)
+    return S.scan_table(s.d.spark, paths["dw_dim_store"], S.WAREHOUSE_SCHEMAS["dw_dim_store"])
+
+
+register("ensure_tables")(_ensure_tables)
+
+
 def _upsert(s):
+    """Stored rows with keys the batch lacks (kept), with shared keys (replaced), and new keys."""
     items = s.d.order_items.select("order_item_id", "order_id", "line_number", "product_id", "quantity",
-                                   "unit_price", "total_price", "ship_date")
-    target = items.where(F.col("ship_date") < F.lit("1998-01-01").cast("timestamp"))
+                                   "unit_price", "total_price", F.to_date("ship_date").alias("ship_date"))
     keys = ["order_id", "line_number"]
-    once = _W.upsert_by_key(target, items, keys, "order_item_id")
-    twice = _W.upsert_by_key(once, items, keys, "order_item_id")
+    stored = items.where(F.col("ship_date") < F.lit(_dt.date(1998, 1, 1))).withColumn("quantity", F.col("quantity") + 1)
+    foreign = stored.withColumn("order_id", -F.col("order_id") - 1)
+    batch = items.where(F.col("ship_date") >= F.lit(_dt.date(1997, 1, 1)))
+    once = _W.upsert_by_key(stored.union(foreign), batch, keys, "order_item_id")
+    twice = _W.upsert_by_key(once, batch, keys, "order_item_id")
     return twice.drop("ship_date")
 
 
@@ -349,8 +388,17 @@ register("upsert_by_key")(_upsert)
 
 
 def _views(s):
-    S.register_views({"vw_fct_customer_rfm": _rfm(s)})
-    return s.d.spark.sql("SELECT * FROM vw_fct_customer_rfm")
+    """All three analytics views deployed, and read by name."""
+    S.register_views({
+        "vw_merchant_daily": _M.mart_merchant_daily(s.fact_orders, s.dim_store, s.dim_merchant),
+        "vw_product_performance": _M.mart_product_performance(s.fact_sales, s.dim_product),
+        "vw_customer_rfm": _rfm(s)})
+    return s.d.spark.sql("""
+        SELECT 'merchant_daily' AS view_name, COUNT(*) AS row_count, CAST(SUM(net_revenue) AS DECIMAL(24,2)) AS amount
+        FROM vw_merchant_daily
+        UNION ALL SELECT 'product_performance', COUNT(*), CAST(SUM(total_gross_revenue) AS DECIMAL(24,2))
+        FROM vw_product_performance
+        UNION ALL SELECT 'customer_rfm', COUNT(*), CAST(SUM(monetary_value) AS DECIMAL(24,2)) FROM vw_customer_rfm""")
 
 
 register("register_views")(_views)
@@ -364,9 +412,33 @@ from ..plans import build as _BLD  # noqa: E402
 def _written(s):
     base = S.work_path(s.d.spark, "warehouse")
     _BLD.build_warehouse(s, base)
-    return _BLD.WrittenStar(s.d.spark, base, s.as_of, s.d.order_date_bounds)
+    return _BLD.WrittenStar(s.d.spark, base, s.as_of)
 
 
 register("warehouse_build_marts")(lambda s: (lambda ws: _M.mart_merchant_daily(
-    ws.fact_orders, ws.dim_store, ws.dim_merchant, ws.dim_date))(_written(s)))
+    ws.fact_orders, ws.dim_store, ws.dim_merchant))(_written(s)))
 register("fact_orders_month_pruned")(lambda s: _written(s).fact_orders_between(199703, 199706))
+
+
+class _EarlierLoad:
+    """A stored state that differs: facts up to 1997 with other amounts, and orders the source lost since."""
+
+    def __init__(self, star):
+        self.d, self.as_of, self._star = star.d, star.as_of, star
+
+    def tables(self):
+        t = self._star.tables()
+        old = t["dw_fact_orders"].where(F.col("date_id") < 19980101) \
+            .withColumn("net_amount", (F.col("net_amount") + 1).cast("decimal(10,2)"))
+        lost = old.withColumn("order_id", -F.col("order_id") - 1)
+        return {**t, "dw_fact_orders": old.union(lost)}
+
+
+def _incremental(s):
+    base = S.work_path(s.d.spark, "incremental")
+    _BLD.build_warehouse(_EarlierLoad(s), base)
+    _BLD.build_warehouse(s, base, incremental=True)
+    return _BLD.WrittenStar(s.d.spark, base, s.as_of).fact_orders
+
+
+register("warehouse_incremental")(_incremental)

@@ -8,8 +8,11 @@ SQL text, and the group column is validated against the source schema
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
+from functools import reduce
 
+import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,35 +34,23 @@ class Metric:
         return self.spark_formula or self.sql_formula
 
 
-# ---------------------------------------------------------------------------
-# The metric contracts (names, formulas, sources, types).
-# ---------------------------------------------------------------------------
-CATALOG: dict[str, Metric] = {m.name: m for m in [
-    Metric("gmv", "Gross Merchandise Value", "Platform Analytics Team",
-           "Total value of merchandise sold before applying discounts, shipping, or VAT.",
-           "SUM(gross_sales)", "dw_fact_sales", "additive", "SAR",
-           "CAST(SUM(gross_sales) AS DECIMAL(20,2))"),
-    Metric("net_revenue", "Net Revenue", "Finance & Analytics",
-           "Actual recognized revenue after discounts, including VAT and shipping fees collected.",
-           "SUM(net_amount)", "dw_fact_orders", "additive", "SAR",
-           "CAST(SUM(net_amount) AS DECIMAL(20,2))"),
-    Metric("total_orders", "Total Orders Count", "Core Product Team",
-           "Count of distinct orders placed across all merchant stores.",
-           "COUNT(DISTINCT order_id)", "dw_fact_orders", "additive"),
-    Metric("average_order_value", "Average Order Value (AOV)", "Growth & Analytics",
-           "Average monetary amount spent per completed order.",
-           "SUM(net_amount) / COUNT(DISTINCT order_id)", "dw_fact_orders", "derived", "SAR",
-           "CAST(SUM(net_amount) AS DOUBLE) / COUNT(DISTINCT order_id)"),
-    Metric("merchant_health_score", "Merchant Health Score", "Merchant Success Team",
-           "A weighted composite score (0-100) evaluating GMV volume, order fulfillment velocity, "
-           "and active catalog breadth.",
-           "LEAST(100, GREATEST(0, (LOG10(COALESCE(SUM(gross_sales), 1)) * 20) + (COUNT(DISTINCT order_id) * 0.1)))",
-           "dw_fact_sales", "composite", None,
-           # NULL guard: LEAST/GREATEST skip NULLs in Spark, while the
-           # contract's engine returns NULL when LOG10 has no value (sum <= 0).
-           "CASE WHEN COALESCE(SUM(gross_sales), 1) > 0 THEN ROUND(LEAST(100, GREATEST(0, "
-           "(LOG10(COALESCE(SUM(gross_sales), 1)) * 20) + (COUNT(DISTINCT order_id) * 0.1))), 6) END"),
-]}
+CONTRACTS = os.path.join(os.path.dirname(__file__), "metrics.yaml")
+
+
+def load_catalog(path: str = CONTRACTS) -> dict[str, Metric]:
+    """L1: the metric contracts of a YAML file, by name; a missing file is an empty catalogue.
+
+    The file holds a list ``metrics`` of mappings with the fields of
+    :class:`Metric`; an unknown or missing field is an error.
+    """
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        entries = (yaml.safe_load(f) or {}).get("metrics") or []
+    return {m.name: m for m in (Metric(**e) for e in entries)}
+
+
+CATALOG = load_catalog()
 
 
 def metric_catalog(catalog: dict[str, Metric] | None = None) -> dict[str, Metric]:
@@ -93,12 +84,16 @@ def metric_query_api(sources: dict[str, DataFrame], name: str, n: int = 10) -> D
 
 def metric_catalog_values(sources: dict[str, DataFrame], catalog: dict[str, Metric] | None = None) -> DataFrame:
     """L1 as a query: every contract of the catalogue with its platform-wide
-    value (one aggregate per metric over its source, no grouping)."""
-    from functools import reduce
-    parts = []
+    value, in one aggregate per source table."""
+    by_source: dict[str, list[Metric]] = {}
     for m in metric_catalog(catalog).values():
-        v = sources[m.data_source].agg(F.expr(m.formula).cast("double").alias("value"))
-        parts.append(v.select(F.lit(m.name).alias("metric_name"), F.lit(m.label).alias("label"),
-                              F.lit(m.owner).alias("owner"), F.lit(m.type).alias("metric_type"),
-                              F.lit(m.data_source).alias("data_source"), "value"))
+        by_source.setdefault(m.data_source, []).append(m)
+    parts = []
+    for source, ms in by_source.items():
+        one = sources[source].agg(*[F.expr(m.formula).cast("double").alias(f"v{i}") for i, m in enumerate(ms)])
+        rows = F.array(*[F.struct(F.lit(m.name).alias("metric_name"), F.lit(m.label).alias("label"),
+                                  F.lit(m.owner).alias("owner"), F.lit(m.type).alias("metric_type"),
+                                  F.lit(source).alias("data_source"), F.col(f"v{i}").alias("value"))
+                         for i, m in enumerate(ms)])
+        parts.append(one.select(F.inline(rows)))
     return reduce(DataFrame.unionByName, parts)

@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.sinks import WAREHOUSE_SCHEMAS, conform
+from ..functions.dates import date_from_key
+from ..sources.constraints import WAREHOUSE_KEYS
+from ..sources.sinks import WAREHOUSE_SCHEMAS, conform, exists, swap
 from . import warehouse as W
 from .star import Star
 
@@ -26,27 +28,32 @@ MONTH_COL = "order_month"
 FACTS = ("dw_fact_sales", "dw_fact_orders")
 
 
-def build_warehouse(star: Star, base: str) -> dict[str, str]:
-    """Write dims then facts; returns table name -> path."""
+def build_warehouse(star: Star, base: str, incremental: bool = False) -> dict[str, str]:
+    """Write dims then facts; returns table name -> path.
+
+    ``incremental`` upserts the star's rows into the stored tables by their
+    keys instead of replacing them: stored rows whose key the star lacks stay,
+    shared keys take the star's row, new keys are added.
+    """
     spark = star.d.spark
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    keys = dict(WAREHOUSE_KEYS)
+    stored = WrittenStar(spark, base, star.as_of)
     paths = {}
     for name, df in star.tables().items():
         if name == "dim_date":
             continue
         df = conform(df, WAREHOUSE_SCHEMAS[name])
         final, staging = os.path.join(base, name), os.path.join(base, f"_{name}__staging")
-        w = df.write.mode("overwrite")
+        if incremental and exists(spark, final):
+            df = W.upsert_by_key(stored._read(name), df, [keys[name]])
         if name in FACTS:
-            df = df.withColumn(MONTH_COL, (F.col("date_id") / 100).cast("int"))
-            w = df.write.mode("overwrite").partitionBy(MONTH_COL)
-        w.parquet(staging)
-        p_final, p_stage = jvm.org.apache.hadoop.fs.Path(final), jvm.org.apache.hadoop.fs.Path(staging)
-        fs = p_final.getFileSystem(conf)
-        if fs.exists(p_final):
-            fs.delete(p_final, True)
-        fs.rename(p_stage, p_final)
+            # rows of a month meet in few tasks, so a month is few files; the
+            # rebalance splits a month too large for one task
+            df = df.withColumn(MONTH_COL, (F.col("date_id") / 100).cast("int")).hint("rebalance", MONTH_COL)
+            df.write.mode("overwrite").partitionBy(MONTH_COL).parquet(staging)
+        else:
+            df.write.mode("overwrite").parquet(staging)
+        swap(spark, staging, final)
         paths[name] = final
     return paths
 
@@ -54,16 +61,15 @@ def build_warehouse(star: Star, base: str) -> dict[str, str]:
 class WrittenStar:
     """Star-schema accessors over tables written by :func:`build_warehouse`."""
 
-    def __init__(self, spark: SparkSession, base: str, as_of, date_bounds):
+    def __init__(self, spark: SparkSession, base: str, as_of):
         self.spark, self.base, self.as_of = spark, base, as_of
-        self._bounds = date_bounds
 
-    def _read(self, name: str) -> DataFrame:
+    def _read(self, name: str, keep_month: bool = False) -> DataFrame:
         schema = WAREHOUSE_SCHEMAS[name]
         if name in FACTS:  # a copy: StructType.add mutates in place
             schema = T.StructType(list(schema.fields) + [T.StructField(MONTH_COL, T.IntegerType())])
         df = self.spark.read.schema(schema).parquet(os.path.join(self.base, name))
-        return df.drop(MONTH_COL) if name in FACTS else df
+        return df if keep_month or name not in FACTS else df.drop(MONTH_COL)
 
     @cached_property
     def dim_merchant(self) -> DataFrame:
@@ -91,10 +97,9 @@ class WrittenStar:
 
     @cached_property
     def dim_date(self) -> DataFrame:
-        lo, hi = W.year_horizon(*self._bounds)
-        return W.dim_date(self.spark, lo, hi)
+        return W.dim_date_for(self.fact_orders, date_from_key("date_id"))
 
     def fact_orders_between(self, first_month: int, last_month: int) -> DataFrame:
         """Orders of months [first, last] (yyyyMM): only those partitions are read."""
-        df = self.spark.read.parquet(os.path.join(self.base, "dw_fact_orders"))
+        df = self._read("dw_fact_orders", keep_month=True)
         return df.where(F.col(MONTH_COL).between(first_month, last_month)).drop(MONTH_COL)

@@ -36,9 +36,8 @@ class Star:
 
     @cached_property
     def dim_date(self) -> DataFrame:
-        """Whole years around the first and last order (data-derived horizon)."""
-        lo, hi = W.year_horizon(*self.d.order_date_bounds)
-        return W.dim_date(self.d.spark, lo, hi)
+        """Whole years around the first and last order; the horizon is derived inside the plan."""
+        return W.dim_date_for(self.d.orders)
 
     @cached_property
     def fact_sales(self) -> DataFrame:

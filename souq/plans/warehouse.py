@@ -86,25 +86,25 @@ def dim_date(spark: SparkSession, start: dt.date | Column, end: dt.date | Column
         F.date_format(d, "MMMM").alias("month_name"),
         F.concat(F.lit("Q"), F.quarter(d).cast("string")).alias("quarter"),
         F.year(d).alias("year"),
-        F.weekday(d).isin(4, 5).alias("is_weekend"),
-        F.month(d).isin(3, 4).alias("is_ramadan_season"),
-        ((F.month(d) == 9) & F.dayofmonth(d).between(15, 25)).alias("is_national_day_season"),
+        *[c.alias(n) for n, c in season_flags(d).items()],
     )
 
 
-def year_horizon(first: dt.date, last: dt.date) -> tuple[dt.date, dt.date]:
-    """Whole calendar years covering [first, last]."""
-    return dt.date(first.year, 1, 1), dt.date(last.year, 12, 31)
+def season_flags(d: Column) -> dict[str, Column]:
+    """Calendar flags of a date."""
+    return {"is_weekend": F.weekday(d).isin(4, 5), "is_ramadan_season": F.month(d).isin(3, 4),
+            "is_national_day_season": (F.month(d) == 9) & F.dayofmonth(d).between(15, 25)}
 
 
-def dim_date_for(orders: DataFrame) -> DataFrame:
+def dim_date_for(orders: DataFrame, day: Column | None = None) -> DataFrame:
     """Calendar covering whole years from the first to the last order (Q10).
 
     The horizon comes from the data through scalar subqueries, so the
-    calendar never silently drops an order date.
+    calendar never silently drops an order date.  ``day`` is the rows' date,
+    by default that of ``order_date``.
     """
-    bounds = orders.select(F.struct(F.min(F.to_date("order_date")).alias("lo"),
-                                    F.max(F.to_date("order_date")).alias("hi"))).scalar()
+    day = F.to_date("order_date") if day is None else day
+    bounds = orders.select(F.struct(F.min(day).alias("lo"), F.max(day).alias("hi"))).scalar()
     lo = F.trunc(bounds["lo"], "year")
     hi = F.date_sub(F.add_months(F.trunc(bounds["hi"], "year"), 12), 1)
     return dim_date(orders.sparkSession, lo, hi)

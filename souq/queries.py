@@ -26,9 +26,13 @@ def star_for(spark: SparkSession, sf_dir: str) -> Star:
     """One lazy star (logical plans only, no data) per session and directory.
 
     Plans are immutable, so queries share the already-built dimension and
-    fact plans instead of rebuilding them through the JVM gateway.
+    fact plans instead of rebuilding them through the JVM gateway.  The key
+    holds the directory's size and file count (one file-system call), so data
+    added later is never planned with counts of the old.
     """
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    now = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, now.getLength(), now.getFileCount())
     if key not in _STARS:
         # dates, day windows and date keys are defined in UTC (the driver's
         # timestamps carry no zone)
@@ -62,10 +66,10 @@ register("order_wide")(lambda s: s.order_wide)
 
 # ---- marts ------------------------------------------------------------------
 register("mart_merchant_daily")(
-    lambda s: M.mart_merchant_daily(s.fact_orders, s.dim_store, s.dim_merchant, s.dim_date))
+    lambda s: M.mart_merchant_daily(s.fact_orders, s.dim_store, s.dim_merchant))
 register("mart_product_performance")(lambda s: M.mart_product_performance(s.fact_sales, s.dim_product))
 register("mart_customer_rfm")(
-    lambda s: M.mart_customer_rfm(s.dim_customer, s.fact_orders, s.dim_date, s.as_of))
+    lambda s: M.mart_customer_rfm(s.dim_customer, s.fact_orders, s.as_of))
 register("merchant_overview")(lambda s: M.merchant_overview(s.dim_merchant, s.dim_store, s.fact_orders))
 register("order_pricing")(lambda s: M.order_pricing(s.d.order_items, s.d.order_discount_rates))
 register("lineage_rollup_region_gateway")(lambda s: M.lineage_rollup_region_gateway(s.order_wide))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +29,8 @@ SCALE_CONF = {
     # no Python call-site capture per DataFrame call (4 extra JVM round trips
     # per function); plans are built with fewer driver RPCs
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # checkpoint files go with the frames that hold them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -59,18 +64,32 @@ def get_spark(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) is a folder created and
-    registered; a cluster always names a shared location.
+    Only in local mode is a folder created when the setting is absent; on a
+    cluster a folder of this machine would be lost to the executors, so the
+    missing setting is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="souq-ckpt-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder on the cluster's file system when the driver ends."""
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone already
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    atexit.register(remove)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     checkpoint_dir(df.sparkSession)

@@ -22,7 +22,7 @@ inventory          one per part whose key%40 != 7
 orders             store = key % S; discount 0/10/15 % by key%3; VAT 15 %;
                    shipping 25; defects: VAT +2.00 when key%97=0, net +1.00
                    when key%101=0
-order_items        one per line; id = orderkey*1000 + number of the line in the order
+order_items        one per line; id = orderkey*10^7 + number of the line in the order
                    (ordered by (partkey+suppkey+linenumber) % 16, then all columns)
 payments           none when key%17=0; a second later one when key%13=0;
                    orphan (order id negated) when key%1009=5
@@ -70,8 +70,8 @@ TICKET_STATUSES = ["Open", "In_Progress", "Resolved", "Closed"]
 SESSION_CHANNELS = ["Direct", "Instagram", "Google", "TikTok", "Snapchat"]
 
 DEFAULT_AS_OF = dt.date(2001, 8, 2)
-_SIZES: dict = {}
 ITEM_SALTS = 16
+LINES_PER_ORDER = 10_000_000
 BASE_DATE = dt.date(1995, 1, 1)
 
 
@@ -112,7 +112,7 @@ def access_requests(events: DataFrame) -> DataFrame:
     octet = lambda c: (c % 256).cast("string")
     return events.select(
         i.alias("log_id"),
-        F.concat(F.lit("HW-"), F.lpad(u.cast("string"), 8, "0")).alias("user_id"),
+        F.concat(F.lit("USR-"), F.lpad(u.cast("string"), 8, "0")).alias("user_id"),
         F.when(F.col("event_type") == "error", "REJECTED").otherwise("ACCEPTED").alias("consent_status"),
         F.when(i % 3 == 0, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("agent-"), i.cast("string"), F.lit(" "), F.repeat(F.lit("x"), (i % 300).cast("int"))))
@@ -147,24 +147,17 @@ class Domain:
         return self._raw[name]
 
     # -- table cardinalities -------------------------------------------------
-    # Adapter parameters (store count, key moduli, calendar bounds) depend on
-    # the size of small driver tables.  They are measured once per session
-    # and directory with a single aggregate job and enter the plans as
-    # literals, so every later plan is constant-folded and launches no
-    # subquery jobs.
+    # Adapter parameters (store count, key moduli) depend on the row counts
+    # of three small driver tables.  They are measured once per Domain with a
+    # single aggregate job and enter the plans as literals; ``star_for`` makes
+    # a new Domain whenever the files of the directory change.
     @cached_property
     def sizes(self) -> dict:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _SIZES:
-            one = self.spark.range(1).select(
-                self.raw("supplier").select(F.count(F.lit(1))).scalar().alias("n_m"),
-                self.raw("part").select(F.count(F.lit(1))).scalar().alias("n_p"),
-                self.raw("customer").select(F.count(F.lit(1))).scalar().alias("n_c"),
-                self.raw("orders").select(F.min(F.to_date("o_orderdate"))).scalar().alias("lo"),
-                self.raw("orders").select(F.max(F.to_date("o_orderdate"))).scalar().alias("hi"),
-            ).first()
-            _SIZES[key] = one.asDict()
-        return _SIZES[key]
+        return self.spark.range(1).select(
+            self.raw("supplier").select(F.count(F.lit(1))).scalar().alias("n_m"),
+            self.raw("part").select(F.count(F.lit(1))).scalar().alias("n_p"),
+            self.raw("customer").select(F.count(F.lit(1))).scalar().alias("n_c"),
+        ).first().asDict()
 
     @property
     def n_merchants(self) -> Column:
@@ -182,10 +175,6 @@ class Domain:
     def n_customers(self) -> Column:
         return F.lit(int(self.sizes["n_c"]))
 
-    @property
-    def order_date_bounds(self) -> tuple[dt.date, dt.date]:
-        return self.sizes["lo"], self.sizes["hi"]
-
     def _nation_region(self) -> DataFrame:
         # 25 rows by the TPC-H spec: a bounded broadcast.
         return F.broadcast(self.raw("nation").select(
@@ -389,7 +378,10 @@ class Domain:
         unit = money(F.col("l_extendedprice"))
         qty = F.col("l_quantity").cast("int")
         return li.select(
-            (F.col("l_orderkey") * 1000 + F.col("_line_no")).alias("order_item_id"),
+            # an order with more lines than its ids would run into the next one's: fail loudly
+            F.when(F.col("_line_no") < LINES_PER_ORDER, F.col("l_orderkey") * LINES_PER_ORDER + F.col("_line_no"))
+            .otherwise(F.raise_error(F.lit(f"an order has {LINES_PER_ORDER} lines or more")).cast("long"))
+            .alias("order_item_id"),
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("product_id"),
             qty.alias("quantity"),

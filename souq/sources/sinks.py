@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, remove_at_exit
 
 
 def work_path(spark: SparkSession, *parts: str) -> str:
-    """A fresh location under the shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), "souq-work", *parts, uuid.uuid4().hex)
+    """A fresh location under the shared checkpoint folder; it goes when the driver ends."""
+    path = os.path.join(checkpoint_dir(spark), "souq-work", *parts, uuid.uuid4().hex)
+    remove_at_exit(spark, path)
+    return path
 
 
 # ---- S1-S3: scans -------------------------------------------------------------
@@ -48,25 +50,46 @@ def append_sink(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("append").format(fmt).save(path)
 
 
+def _fs(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _fs(spark, path)
+    return fs.exists(at)
+
+
+def swap(spark: SparkSession, staging: str, final: str) -> None:
+    """Put a completely written table in place of the old one.
+
+    The old table is renamed aside, the new one renamed in, and only then is
+    the old one deleted: after a crash at any point one of them is whole, and
+    the next swap finishes the exchange.
+    """
+    new, fs = _fs(spark, staging)
+    at, _ = _fs(spark, final)
+    old, _ = _fs(spark, f"{final}__old")
+    if fs.exists(at):
+        fs.delete(old, True)
+        fs.rename(at, old)
+    if not fs.rename(new, at):
+        raise OSError(f"cannot rename {staging} to {final}")
+    fs.delete(old, True)
+
+
 def truncate_reload(spark: SparkSession, tables: dict[str, DataFrame], base: str,
                     order: list[str] | None = None) -> dict[str, str]:
     """Full reload, child tables first.
 
     Each table is written completely to a staging directory and only then
-    swapped into place (delete + rename on the cluster file system), so a
-    failed write never leaves a half-written table behind.
+    swapped into place, so a failed write never leaves a half-written table.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     out = {}
     for name in (order or list(tables)):
         final, staging = os.path.join(base, name), os.path.join(base, f"_{name}__staging")
         tables[name].write.mode("overwrite").parquet(staging)
-        p_final, p_stage = jvm.org.apache.hadoop.fs.Path(final), jvm.org.apache.hadoop.fs.Path(staging)
-        fs = p_final.getFileSystem(conf)
-        if fs.exists(p_final):
-            fs.delete(p_final, True)
-        fs.rename(p_stage, p_final)
+        swap(spark, staging, final)
         out[name] = final
     return out
 
@@ -84,12 +107,17 @@ def csv_lake_export(tables: dict[str, DataFrame], base: str) -> dict[str, str]:
 
 
 def parquet_lake_export(df: DataFrame, path: str, partition_cols: list[str]) -> str:
-    """Partitioned Parquet; readers prune partitions from filters."""
-    df.write.mode("overwrite").partitionBy(*partition_cols).parquet(path)
+    """Partitioned Parquet; readers prune partitions from filters.
+
+    Rows are first brought together by the partition columns (large ones are
+    split), so a partition is few files instead of one per task.
+    """
+    df.hint("rebalance", *partition_cols).write.mode("overwrite").partitionBy(*partition_cols).parquet(path)
     return path
 
 
 # ---- S9, S10: table definitions and views -------------------------------------------------
+# The warehouse tables and the audit log's columns.
 DEC = T.DecimalType(10, 2)
 WAREHOUSE_SCHEMAS = {
     "dw_dim_merchant": T.StructType([
@@ -130,13 +158,10 @@ WAREHOUSE_SCHEMAS = {
 def ensure_tables(spark: SparkSession, base: str, schemas: dict[str, T.StructType] | None = None) -> dict[str, str]:
     """Create each warehouse table as an empty Parquet dataset with its
     declared schema when it does not exist yet (CREATE TABLE IF NOT EXISTS)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     out = {}
     for name, schema in (schemas or WAREHOUSE_SCHEMAS).items():
         path = os.path.join(base, name)
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        if not p.getFileSystem(conf).exists(p):
+        if not exists(spark, path):
             spark.createDataFrame([], schema).write.parquet(path)
         out[name] = path
     return out

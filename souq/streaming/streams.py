@@ -22,12 +22,22 @@ from ..sources.adapter import access_requests, order_money
 from ..sources.driver import DRIVER_SCHEMAS
 
 
-def file_stream(spark: SparkSession, source_dir: str, table: str, max_files: int = 1) -> DataFrame:
-    """Stream the ``{table}.parquet`` files of a directory (declared schema)."""
-    schema = DRIVER_SCHEMAS.get(table) or spark.read.parquet(os.path.join(source_dir, f"{table}.parquet")).schema
-    return (spark.readStream.format("parquet").schema(schema)
-            .option("pathGlobFilter", f"{table}.parquet").option("maxFilesPerTrigger", max_files)
-            .load(source_dir))
+def file_stream(spark: SparkSession, source_dir: str, table: str, max_files: int | None = None) -> DataFrame:
+    """Stream a table: the part files of the folder ``{table}.parquet``, or that one file.
+
+    ``max_files`` bounds the files of a micro-batch; by default a trigger
+    takes all that are new, so late rows are judged against the watermark of
+    earlier triggers, not of neighbouring files.
+    """
+    path = os.path.join(source_dir, f"{table}.parquet")
+    schema = DRIVER_SCHEMAS.get(table) or spark.read.parquet(path).schema
+    stream = spark.readStream.format("parquet").schema(schema)
+    if max_files:
+        stream = stream.option("maxFilesPerTrigger", max_files)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return stream.load(path)
+    return stream.option("pathGlobFilter", f"{table}.parquet").load(source_dir)
 
 
 def _run(writer, checkpoint: str) -> None:

@@ -24,7 +24,7 @@ def test_item_ids_unique_and_dense_per_order(spark):
     it = star_for(spark, SMOKE_DIR).d.order_items
     assert it.select("order_item_id").distinct().count() == it.count()
     per = it.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"),
-                                     F.max(F.col("order_item_id") - F.col("order_id") * 1000).alias("mx"))
+                                     F.max(F.col("order_item_id") - F.col("order_id") * 10_000_000).alias("mx"))
     assert per.where("n != mx").count() == 0
 
 
@@ -37,7 +37,7 @@ def test_written_facts_prune_month_partitions(spark):
     s = star_for(spark, SMOKE_DIR)
     base = S.work_path(spark, "tests", "wh")
     BLD.build_warehouse(s, base)
-    ws = BLD.WrittenStar(spark, base, s.as_of, s.d.order_date_bounds)
+    ws = BLD.WrittenStar(spark, base, s.as_of)
     df = ws.fact_orders_between(199703, 199706)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "order_month" in plan

@@ -53,7 +53,7 @@ def test_split_is_repeatable_and_exactly_stratified(spark):
 def test_clv_pipeline_r2(spark):
     s = star_for(spark, SMOKE_DIR)
     from souq.plans import marts as M
-    rfm = M.mart_customer_rfm(s.dim_customer, s.fact_orders, s.dim_date, s.as_of)
+    rfm = M.mart_customer_rfm(s.dim_customer, s.fact_orders, s.as_of)
     model, split = ML.train_clv(ML.clv_features(rfm), num_trees=10, max_depth=4)
     m = {r.metric: r.value for r in ML.clv_evaluate(model, split.where("is_test")).collect()}
     assert m["r2"] <= 1.0 and m["rmse"] >= 0
@@ -157,5 +157,5 @@ def test_access_stream_drops_repeats_within_watermark(spark):
     out = T.stream_access_log(spark, src, _tmp(spark, "sink"), _tmp(spark, "ck"))
     keys = sorted((r.user_id, r.consent_status, r.login_minute.minute) for r in out.collect())
     # events 1 and 2: same user, status and minute -> one row; event 3 a later minute
-    assert keys == [("HW-00000007", "ACCEPTED", 0), ("HW-00000007", "ACCEPTED", 5),
-                    ("HW-00000008", "REJECTED", 0)]
+    assert keys == [("USR-00000007", "ACCEPTED", 0), ("USR-00000007", "ACCEPTED", 5),
+                    ("USR-00000008", "REJECTED", 0)]
