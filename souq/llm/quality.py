@@ -21,6 +21,7 @@ from .textops import slices, word_bounds, word_hashes
 
 BUCKETS = 2048
 EXTRA = 3
+REPETITION = 3      # how much more a count of repetition weighs than one trigram
 WIDTH = BUCKETS + EXTRA
 
 # character classes: letters of either case, digits and bytes beyond ASCII each count as one
@@ -71,6 +72,7 @@ class NeighbourVote:
                  power: float = 8.0):
         self.neighbours, self.power = neighbours, power
         self.idf = (np.log((len(x) + 1) / ((x > 0).sum(axis=0) + 1)) + 1).astype(np.float32)
+        self.idf[BUCKETS:BUCKETS + 2] *= REPETITION
         t = _unit(np.log1p(x) * self.idf)
         # right singular vectors of the sample, from its bounded Gram matrix
         self.directions = np.linalg.eigh(t.T @ t)[1][:, -rank:].astype(np.float32)
