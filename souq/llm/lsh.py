@@ -85,6 +85,9 @@ def link_sets(ids: np.ndarray, sets: list[np.ndarray], percent: int,
     others at once through a table of the group's shingles; members that are
     already connected to all that is left are not compared again.
     """
+    if len(ids) == 2 and labels is None:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return [(int(ids[0]), int(ids[1]))] if ids[0] != ids[1] and similar(both, len(sets[0]), len(sets[1]), percent) else []
     n = np.array([len(s) for s in sets], np.int64)
     first = np.concatenate(([0], np.cumsum(n)[:-1]))
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)

@@ -1,15 +1,22 @@
 """Substring dedup by paragraph MinHash banding (operator 9).
 
-A repeated passage may stand anywhere in a text, so paragraphs are not taken
-from the layout: they are stretches of ``SIZE`` words that begin where the
-content says so (the smallest shingle hash of every ``GAP`` positions).  Two
-texts that share ``SIZE + GAP - 1`` words in a row share such a paragraph.
-
-Paragraphs are banded by MinHash, colliding ones are joined and verified by
-exact Jaccard similarity, and components of equal or similar paragraphs are
-formed.  In every component the occurrence in the smallest document stays.
-Each other occurrence is widened word by word as far as it agrees with the
-one that stays, and the resulting spans are the removals.
+Two kinds of paragraphs are taken from a text.  Its lines: they are banded by
+MinHash over five-word shingles, colliding ones are joined and verified by
+exact Jaccard similarity.  And, since a repeated passage may stand in the
+middle of a line, stretches of ``SIZE`` words that begin where the content
+says so (the smallest shingle hash of every ``GAP`` positions): two texts that
+share ``SIZE + GAP - 1`` words in a row share such a stretch.
+
+Equal or similar paragraphs form components.  In every component the
+occurrence in the smallest document stays.  Consecutive paragraphs that repeat
+the same document at the same distance are one chain, and a chain is widened
+word by word, across small edits, as far as it agrees with the one that stays.
+The resulting spans are the removals.
+
+Scale: the texts are read once for the paragraphs, which are written as narrow
+rows (document, place, id, bands); only documents with repetitions are read
+again.  Buckets are reduced to a minimum and maximum map-side, so a passage on
+a third of all documents costs one row per task.
 """
 
 from __future__ import annotations
@@ -19,18 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, persist_shared, small_batches, table
+from .common import checked_broadcast, persist_shared, small_batches, table, write_shared
 from .components import connected_components
 from .lsh import band_hashes, exact_links, hash_family
-from .textops import fmix, shingle_hashes, slices, to_batch, word_bounds, word_hashes
+from .textops import Slice, fmix, shingle_hashes, slices, to_batch, word_bounds, word_hashes
 
 U = np.uint64
 WORDS = 5          # words of a shingle
-SIZE = 20          # words of a paragraph
-GAP = 30           # positions of which one begins a paragraph
+SIZE = 16          # words of a stretch, and of the shortest line taken
+GAP = 34           # positions of which one begins a stretch
 SHINGLES = SIZE - WORDS + 1
-BANDS, ROWS = 4, 2  # 98 % of paragraphs at similarity 0.8; a passage holds several
+BANDS, ROWS = 6, 3  # finds 98 % of lines at similarity 0.8 and more above; a line's neighbours widen into it
 LEAST = 40         # words of a repeated passage that is reported
+AROUND = 64        # words on either side of a chain of paragraphs that are compared with the one that stays
 
 
 def _anchors(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -54,77 +62,106 @@ def _anchors(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.unique((np.concatenate(out) & low).astype(np.int64))
 
 
-def _paragraphs(column: pa.Array):
-    """Per slice: its first text, the text, first word and id of each paragraph, its shingles (a row
-    each), the words' hashes and the texts' first words."""
-    for s in slices(column):
-        starts, ends, first = word_bounds(s)
-        w = word_hashes(s, starts, ends)
-        h, at = shingle_hashes(w, first, WORDS)
-        n = np.maximum(np.diff(first) - SIZE + 1, 0)
-        text = np.repeat(np.arange(s.n), n)
+class _Words:
+    """The words of a slice of texts, its shingles, and its paragraphs by place."""
+
+    def __init__(self, s: Slice):
+        self.first_text, self.n = s.first, s.n
+        starts, ends, self.first = word_bounds(s)
+        self.words = word_hashes(s, starts, ends)
+        self.shingles, self.at = shingle_hashes(self.words, self.first, WORDS)
+        self.newlines = np.cumsum(s.data == 0x0A)[starts] if len(starts) else np.zeros(0, np.int64)
+        # a word's text and place, and the shingle that begins with it
+        self.text = np.repeat(np.arange(s.n), np.diff(self.first))
+        self.pos = np.arange(len(self.words)) - self.first[self.text]
+
+    def stretches(self) -> tuple[np.ndarray, np.ndarray]:
+        """Text and first word of the stretches placed by content."""
+        n = np.maximum(np.diff(self.first) - SIZE + 1, 0)
+        text = np.repeat(np.arange(self.n), n)
         pos = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-        a = _anchors(h[at[text] + pos], n) if len(text) else np.zeros(0, np.int64)
-        text, pos = text[a], pos[a]
-        own = h[(at[text] + pos)[:, None] + np.arange(SHINGLES)] if len(a) else np.zeros((0, SHINGLES), np.uint64)
-        weight = fmix(np.arange(1, SHINGLES + 1, dtype=np.uint64)) | U(1)
-        ids = (fmix((own * weight).sum(axis=1, dtype=np.uint64)) | U(1)).view(np.int64)
-        # a paragraph that a text repeats counts once
-        _, once = np.unique(np.stack([text, ids]), axis=1, return_index=True)
-        yield s.first, text[once], pos[once], ids[once], own[once], w, first
-
-
-def _banded(own: np.ndarray) -> np.ndarray:
-    """Even bucket numbers (a row for each paragraph); ids of equal paragraphs are odd."""
+        a = _anchors(self.shingles[self.at[text] + pos], n)
+        return text[a], pos[a]
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, first word and number of words of the lines of at least SIZE words."""
+        if not len(self.words):
+            return (np.zeros(0, np.int64),) * 3
+        new = np.ones(len(self.words), bool)
+        new[1:] = (self.newlines[1:] != self.newlines[:-1]) | (self.text[1:] != self.text[:-1])
+        begin = np.flatnonzero(new)
+        n = np.diff(np.append(begin, len(self.words)))
+        begin, n = begin[n >= SIZE], n[n >= SIZE]
+        return self.text[begin], self.pos[begin], n
+
+    def runs(self, text: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the shingles of each paragraph, one after the other, and where each begins."""
+        count = n - WORDS + 1
+        begin = np.cumsum(count) - count
+        return np.repeat(self.at[text] + pos - begin, count) + np.arange(int(count.sum())), begin
+
+
+def _ids(w: _Words, text: np.ndarray, pos: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hash of the words of each paragraph in their order."""
+    if not len(text):
+        return np.zeros(0, np.int64)
+    index, begin = w.runs(text, pos, n)
+    order = np.arange(len(index)) - np.repeat(begin, n - WORDS + 1)
+    h = fmix(w.shingles[index] + order.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+    return fmix(np.add.reduceat(h, begin) + n.astype(np.uint64)).view(np.int64)
+
+
+def _banded(w: _Words, text: np.ndarray, pos: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The buckets of each paragraph, a row each."""
+    if not len(text):
+        return np.zeros((0, BANDS), np.int64)
     a, b = hash_family(BANDS * ROWS)
-    sig = np.empty((len(own), len(a)), np.uint32)
+    index, begin = w.runs(text, pos, n)
+    h = w.shingles[index]
+    sig = np.empty((len(text), len(a)), np.uint32)
     for k in range(len(a)):
-        sig[:, k] = ((own * a[k] + b[k]).min(axis=1) >> U(32)).astype(np.uint32)
-    return band_hashes(sig, BANDS, ROWS) & ~np.int64(1)
+        sig[:, k] = (np.minimum.reduceat(h * a[k] + b[k], begin) >> U(32)).astype(np.uint32)
+    return band_hashes(sig, BANDS, ROWS)
 
 
-KEYS = pa.schema([("bucket", pa.int64()), ("value", pa.int64())])
+PLACES = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("id", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
-def _keys(batches):
-    """(id, document) of every paragraph and (bucket, id) of its bands."""
+def _places(batches):
     for b in batches:
         doc = b.column("doc_id").to_numpy()
-        key, value = [], []
-        for first, text, _, ids, own, _, _ in _paragraphs(b.column("text")):
-            key += [ids, _banded(own).ravel()]
-            value += [doc[first + text], np.repeat(ids, BANDS)]
-        if key:
-            yield to_batch(KEYS, [np.concatenate(key), np.concatenate(value)])
-
-
-PLACES = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("id", pa.int64()), ("bands", pa.list_(pa.int64()))])
-PLACES_DDL = "doc_id long, pos int, id long, bands array<long>"
-
-
-def _places(with_bands: bool):
-    def run(batches):
-        for b in batches:
-            doc = b.column("doc_id").to_numpy()
-            for first, text, pos, ids, own, _, _ in _paragraphs(b.column("text")):
-                bands = pa.ListArray.from_arrays(np.arange(0, len(ids) * BANDS + 1, BANDS, dtype=np.int32), _banded(own).ravel()) \
-                    if with_bands else pa.nulls(len(ids), pa.list_(pa.int64()))
-                yield to_batch(PLACES, [doc[first + text], pos.astype(np.int32), ids, bands])
-    return run
-
-
-def _paragraph_sets(batches):
+        for s in slices(b.column("text")):
+            w = _Words(s)
+            text, pos, n = w.lines()
+            bands = _banded(w, text, pos, n)
+            other, at = w.stretches()
+            size = np.full(len(other), SIZE)
+            ids = np.concatenate([_ids(w, text, pos, n), _ids(w, other, at, size)])
+            ends = np.minimum(np.arange(len(ids) + 1), len(text)) * BANDS
+            lists = pa.ListArray.from_arrays(ends.astype(np.int32), bands.ravel())
+            text, pos, n = np.concatenate([text, other]), np.concatenate([pos, at]), np.concatenate([n, size])
+            # a paragraph that a text repeats counts once, at its first place
+            _, once = np.unique(np.stack([text, ids]), axis=1, return_index=True)
+            yield to_batch(PLACES, [doc[w.first_text + text[once]], pos[once].astype(np.int32), n[once].astype(np.int32), ids[once],
+                                    lists.take(pa.array(once))])
+
+
+def _line_sets(batches):
     for b in batches:
-        for _, _, _, ids, own, _, _ in _paragraphs(b.column("text")):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array([np.unique(x).tobytes() for x in own], pa.binary())], ["id", "set"])
+        for s in slices(b.column("text")):
+            w = _Words(s)
+            text, pos, n = w.lines()
+            index, begin = w.runs(text, pos, n)
+            sets = [np.unique(x).tobytes() for x in np.split(w.shingles[index], begin[1:])] if len(text) else []
+            yield pa.RecordBatch.from_arrays([pa.array(_ids(w, text, pos, n), pa.int64()), pa.array(sets, pa.binary())], ["id", "set"])
 
 
-CONTEXT = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("root", pa.int64()), ("words", pa.binary()), ("left", pa.int32())])
+CONTEXT = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])
+CONTEXT_DDL = "doc_id long, first int, end int, before binary, after binary"
 
 
 def _contexts(batches):
-    """The words around each wanted paragraph: up to GAP before it, its own and up to GAP after it."""
+    """The hashes of the words before (nearest first) and after each wanted stretch."""
     for b in batches:
         doc, wanted = b.column("doc_id").to_numpy(), b.column("at").to_pylist()
         rows: list[list] = [[], [], [], [], []]
@@ -132,35 +169,72 @@ def _contexts(batches):
             starts, ends, first = word_bounds(s)
             w = word_hashes(s, starts, ends)
             for i in range(s.n):
+                mine = w[first[i]:first[i + 1]]
                 for x in wanted[s.first + i]:
-                    p = int(first[i]) + x["pos"]
-                    if p + SIZE > first[i + 1]:
-                        continue  # another text of the same id has the paragraph
-                    a = max(int(first[i]), p - GAP)
-                    for c, v in zip(rows, (doc[s.first + i], x["pos"], x["root"], w[a:min(int(first[i + 1]), p + SIZE + GAP)].tobytes(), p - a)):
-                        c.append(v)
+                    if x["end"] <= len(mine):  # else another text of the same id has it
+                        before = mine[max(0, x["first"] - AROUND):x["first"]][::-1]
+                        for c, v in zip(rows, (doc[s.first + i], x["first"], x["end"], before.tobytes(),
+                                               mine[x["end"]:x["end"] + AROUND].tobytes())):
+                            c.append(v)
         yield to_batch(CONTEXT, rows)
 
 
+#: edits that an agreement may cross (words passed on either side), if then five words agree
+_EDITS = ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2), (3, 3))
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """How many words of a and of b agree from their beginnings, across small edits."""
+    i = j = 0
+    while True:
+        n = min(len(a) - i, len(b) - j)
+        same = a[i:i + n] == b[j:j + n]
+        run = n if same.all() else int(same.argmin())
+        i, j = i + run, j + run
+        for x, y in _EDITS:
+            u, v = a[i + x:i + x + 5], b[j + y:j + y + 5]
+            if len(u) == 5 and len(v) == 5 and (u == v).all():
+                i, j = i + x, j + y
+                break
+        else:
+            return i, j
+
+
+WIDE = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("end", pa.int32()),
+                  ("keeper", pa.int64()), ("k_first", pa.int32()), ("k_end", pa.int32())])
+WIDE_DDL = "doc_id long, first int, end int, keeper long, k_first int, k_end int"
+
+
 def _widened(batches):
-    """Spans of repeated occurrences, as far as their words agree with the one that stays."""
-    schema = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("root", pa.int64()),
-                        ("keeper", pa.int64()), ("k_first", pa.int32()), ("k_end", pa.int32())])
     for b in batches:
-        out: list[list] = [[] for _ in schema]
+        out: list[list] = [[] for _ in WIDE]
         for r in b.to_pylist():
-            mine, kept = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["k_words"], np.uint64)
-            m, k = r["left"], r["k_left"]
-            n = min(m, k)
-            same = mine[m - n:m][::-1] == kept[k - n:k][::-1]
-            before = n if same.all() else int(same.argmin())
-            n = min(len(mine) - m, len(kept) - k) - SIZE
-            same = mine[m + SIZE:m + SIZE + n] == kept[k + SIZE:k + SIZE + n]
-            after = n if same.all() else int(same.argmin())
-            for c, v in zip(out, (r["doc_id"], r["pos"] - before, r["pos"] + SIZE + after, r["root"], r["keeper"],
-                                  r["k_pos"] - before, r["k_pos"] + SIZE + after)):
+            x, kx = agreement(*(np.frombuffer(r[c], np.uint64) for c in ("before", "k_before")))
+            y, ky = agreement(*(np.frombuffer(r[c], np.uint64) for c in ("after", "k_after")))
+            for c, v in zip(out, (r["doc_id"], r["first"] - x, r["end"] + y, r["keeper"], r["k_first"] - kx, r["k_end"] + ky)):
                 c.append(v)
-        yield to_batch(schema, out)
+        yield to_batch(WIDE, out)
+
+
+def _similar(docs: DataFrame, units: DataFrame, percent: int, chunk_shingles: int) -> DataFrame:
+    """(id, root) of lines that are similar, but not equal, to another: banding, then exact Jaccard."""
+    band = units.where(F.size("bands") > 0).select(F.explode("bands").alias("bucket"), "id", "doc_id", "n")
+    # buckets with different lines of different documents
+    near = persist_shared(band.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("hi"),
+                                                     F.min("doc_id").alias("d"), F.max("doc_id").alias("e"))
+                          .where("leader <> hi and d <> e").select("bucket", "leader"))
+    members = persist_shared(band.select("bucket", "id", "n").join(checked_broadcast(near), "bucket")
+                             .select("leader", "id", "n").distinct())
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        ids = persist_shared(ids)
+        few = checked_broadcast(ids)
+        source = persist_shared(units.select("id", "doc_id").join(few, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+                                .select("doc_id").distinct())
+        return docs.join(checked_broadcast(source), "doc_id", "left_semi").mapInArrow(_line_sets, "id long, set binary") \
+            .join(few, "id", "left_semi").groupBy("id").agg(F.any_value("set").alias("set"))
+
+    return connected_components(exact_links(members, fetch, percent, chunk_shingles)).select(F.col("node").alias("id"), "root")
 
 
 def repeated_passages(docs: DataFrame, percent: int = 80, least: int = LEAST, bridge: int = 5,
@@ -183,45 +257,36 @@ def repeated_passages(docs: DataFrame, percent: int = 80, least: int = LEAST, br
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    # one shuffle of (bucket, value) pairs: equal paragraphs by document, bands by paragraph
-    shared = persist_shared(docs.mapInArrow(_keys, "bucket long, value long").groupBy("bucket")
-                            .agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi").select("bucket", "lo"))
-    near = persist_shared(shared.where("bucket % 2 = 0"))
-    equal = persist_shared(shared.where("bucket % 2 <> 0").select(F.col("bucket").alias("id")))
-    n_near = near.count()
-    if n_near:
-        places = docs.mapInArrow(_places(True), PLACES_DDL)
-        members = persist_shared(places.select("id", F.explode("bands").alias("bucket"))
-                                 .join(checked_broadcast(near, n_near), "bucket").select(F.col("lo").alias("leader"), "id")
-                                 .distinct().withColumn("n", F.lit(SHINGLES)))
-
-        def fetch(ids: DataFrame) -> DataFrame:
-            return docs.mapInArrow(_paragraph_sets, "id long, set binary") \
-                .join(checked_broadcast(persist_shared(ids)), "id", "left_semi").groupBy("id").agg(F.any_value("set").alias("set"))
-
-        similar = connected_components(exact_links(members, fetch, percent, chunk_shingles))
-        similar = similar.select(F.col("node").alias("id"), "root")
-        wanted = equal.join(similar, "id", "full_outer").select("id", F.coalesce("root", "id").alias("root"))
-    else:
-        wanted = equal.select("id", F.col("id").alias("root"))
-    wanted = persist_shared(wanted)
-    where = persist_shared(docs.mapInArrow(_places(False), PLACES_DDL).select("doc_id", "pos", "id")
-                           .join(checked_broadcast(wanted), "id").select("doc_id", "pos", "root").distinct())
-    keeper = persist_shared(where.groupBy("root").agg(F.min(F.struct("doc_id", "pos")).alias("k"), F.max("doc_id").alias("hi"))
-                            .where("k.doc_id <> hi").select("root", F.col("k.doc_id").alias("keeper"), F.col("k.pos").alias("k_pos")))
-    # occurrences by document (at most one per GAP / 2 words of it), and the words around them
-    by_doc = persist_shared(where.join(keeper.select("root"), "root").groupBy("doc_id")
-                            .agg(F.collect_list(F.struct("pos", "root")).alias("at")))
-    some = docs.join(checked_broadcast(by_doc.select("doc_id")), "doc_id", "left_semi")
-    context = some.join(by_doc, "doc_id").select("doc_id", "text", "at") \
-        .mapInArrow(_contexts, "doc_id long, pos int, root long, words binary, left int")
-    stays = context.join(keeper, "root").where("doc_id = keeper and pos = k_pos").groupBy("root").agg(
-        F.any_value("keeper").alias("keeper"), F.any_value("k_pos").alias("k_pos"),
-        F.max(F.struct(F.col("words").alias("k_words"), F.col("left").alias("k_left"))).alias("k"))
-    spans = persist_shared(
-        context.join(stays.select("root", "keeper", "k_pos", "k.k_words", "k.k_left"), "root")
-        .where("doc_id <> keeper").select("doc_id", "pos", "root", "words", "left", "keeper", "k_pos", "k_words", "k_left")
-        .mapInArrow(_widened, "doc_id long, first int, end int, root long, keeper long, k_first int, k_end int"))
+    units = write_shared(docs.mapInArrow(_places, "doc_id long, pos int, n int, id long, bands array<long>"), "paragraphs")
+    equal = units.groupBy("id").agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("e")).where("d <> e").select("id")
+    similar = _similar(docs, units, percent, chunk_shingles)
+    wanted = persist_shared(equal.join(similar, "id", "full_outer").select("id", F.coalesce("root", "id").alias("root")))
+    where = persist_shared(units.select("doc_id", "pos", "n", "id").join(checked_broadcast(wanted), "id")
+                           .select("doc_id", "pos", "n", "root").distinct())
+    keeper = where.groupBy("root").agg(F.min(F.struct("doc_id", "pos", "n")).alias("k"), F.max("doc_id").alias("hi")) \
+        .where("k.doc_id <> hi").select("root", F.col("k.doc_id").alias("keeper"), F.col("k.pos").alias("k_pos"), F.col("k.n").alias("k_n"))
+    # chains: paragraphs of a document, in order, that repeat the same one at the same distance
+    near = Window.partitionBy("doc_id", "keeper", "shift").orderBy("pos", "n")
+    reach = F.max(F.col("pos") + F.col("n")).over(near.rowsBetween(Window.unboundedPreceding, -1))
+    chains = where.join(keeper, "root").where("doc_id <> keeper").withColumn("shift", F.col("k_pos") - F.col("pos")) \
+        .withColumn("new", F.coalesce(F.col("pos") > reach + GAP, F.lit(True)).cast("int")) \
+        .withColumn("chain", F.sum("new").over(near)).groupBy("doc_id", "keeper", "shift", "chain") \
+        .agg(F.min("pos").alias("first"), F.max(F.col("pos") + F.col("n")).alias("end"),
+             F.min("k_pos").alias("k_first"), F.max(F.col("k_pos") + F.col("k_n")).alias("k_end")) \
+        .select("doc_id", "first", "end", "keeper", "k_first", "k_end")
+    chains = persist_shared(chains)
+    # the words around both ends, once for each different stretch, from the documents that have any
+    asked = chains.select("doc_id", "first", "end").union(chains.select("keeper", "k_first", "k_end")) \
+        .groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("at"))
+    asked = persist_shared(asked)
+    some = docs.join(checked_broadcast(asked.select("doc_id")), "doc_id", "left_semi")
+    context = persist_shared(some.join(asked, "doc_id").select("doc_id", "text", "at").mapInArrow(_contexts, CONTEXT_DDL)
+                             .dropDuplicates(["doc_id", "first", "end"]))
+    kept = context.select(F.col("doc_id").alias("keeper"), F.col("first").alias("k_first"), F.col("end").alias("k_end"),
+                          F.col("before").alias("k_before"), F.col("after").alias("k_after"))
+    spans = persist_shared(chains.join(context, ["doc_id", "first", "end"]).join(kept, ["keeper", "k_first", "k_end"])
+                           .select("doc_id", "first", "end", "keeper", "k_first", "k_end", "before", "after", "k_before", "k_after")
+                           .mapInArrow(_widened, WIDE_DDL))
     gone = _merged(spans.select("doc_id", "first", "end", F.col("keeper").alias("component_id")), bridge, least)
     stay = _merged(spans.select(F.col("keeper").alias("doc_id"), F.col("k_first").alias("first"), F.col("k_end").alias("end"),
                                 F.col("keeper").alias("component_id")).distinct(), bridge, least)
