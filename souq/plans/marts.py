@@ -20,13 +20,18 @@ from ..functions.dates import date_from_key
 from ..functions.money import DEC, DEC_SUM, safe_ratio
 
 
-def mart_merchant_daily(fact_orders: DataFrame, d_store: DataFrame, d_merchant: DataFrame) -> DataFrame:
+def mart_merchant_daily(fact_orders: DataFrame, d_store: DataFrame, d_merchant: DataFrame,
+                        d_date: DataFrame | None = None) -> DataFrame:
     """Per store and day: orders, gross, discounts, VAT, net, mean net.
 
     ``order_id`` is the fact's own key (audited by ``dq_unique_warehouse``),
     so orders are counted plainly and the fact is combined map-side.  The date
-    comes from the key: no order can fall outside a calendar.
+    comes from the key, so no order is lost; with ``d_date`` given, only days
+    of that calendar are kept.
     """
+    if d_date is not None:
+        # bounded by the calendar's days
+        fact_orders = fact_orders.join(F.broadcast(d_date.select("date_id")), "date_id", "left_semi")
     agg = fact_orders.groupBy("store_id", "date_id").agg(
         F.count("order_id").alias("total_orders"),
         F.sum("gross_amount").cast(DEC_SUM).alias("gross_merchandise_value"),

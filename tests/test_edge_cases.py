@@ -61,7 +61,9 @@ def test_mart_drops_dates_outside_calendar(spark):
                  "net_amount decimal(10,2)")
     st = df_of(spark, [(1, 5, "Electronics")], "store_id long, merchant_id long, industry_category string")
     m = df_of(spark, [(5, "M", "Pro")], "merchant_id long, merchant_name string, subscription_plan string")
-    out = M.mart_merchant_daily(fact, st, m).collect()
+    cal = W.dim_date(spark, dt.date(2024, 1, 1), dt.date(2026, 12, 31))
+    assert sorted(r.date_id for r in M.mart_merchant_daily(fact, st, m).collect()) == [20240101, 20300101]
+    out = M.mart_merchant_daily(fact, st, m, cal).collect()
     assert [r.date_id for r in out] == [20240101]
 
 
