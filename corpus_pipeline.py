@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 what a stage returns as Parquet in the shared folder and gives it to the next.
-All stages but the last return the columns of documents; the last adds size,
-source_size, target, taken and epochs.
+All stages but the last return the columns of documents, whatever more than
+doc_id, text, lang, source and n_chars they are; the last adds size,
+source_size, target, taken and epochs (and drops columns that had these names).
 """
 
 from __future__ import annotations
@@ -19,14 +20,13 @@ from souq.llm.mixing import mix
 from souq.llm.paragraph_dedup import remove_passages
 from souq.llm.quality import fit_quality
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+ADDED = ("size", "source_size", "target", "taken", "epochs")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject (score >= 0.7)."""
-    docs = docs.select(*COLUMNS)
     model = fit_quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
-    return with_score(docs, model, "_score").where("_score >= 0.7").select(*COLUMNS)
+    return with_score(docs, model, "__quality").where("__quality >= 0.7").drop("__quality")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,27 +34,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat an id with the same text, or a text without id, are one document.
     """
-    docs = docs.select(*COLUMNS)
     found = persist_shared(near_duplicates(docs, words=5, percent=80))
     gone = found.where("not kept").select("doc_id").distinct()
-    left = docs.join(checked_broadcast(persist_shared(gone)), "doc_id", "left_anti").select(*COLUMNS)
+    left = docs.join(checked_broadcast(persist_shared(gone)), "doc_id", "left_anti").select(*docs.columns)
     repeated = persist_shared(docs.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     n = repeated.count()
     if not n:
         return left
     same = left["doc_id"].eqNullSafe(repeated["doc_id"]) & (F.xxhash64(left["text"]) == repeated["h"])
     once = left.join(checked_broadcast(repeated, n), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(checked_broadcast(repeated, n), same, "left_anti").union(once.select(*COLUMNS))
+    return left.join(checked_broadcast(repeated, n), same, "left_anti").union(once)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that repeat across them."""
-    return remove_passages(docs.select(*COLUMNS))
+    return remove_passages(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark does not contaminate."""
-    return remove_documents(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return remove_documents(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,13 +61,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat an id and text share what the mix takes of them.
     """
-    docs = docs.select(*COLUMNS)
     taken = mix(docs).groupBy("doc_id", "tie").agg(
         *[F.any_value(c).alias(c) for c in ("size", "source_size", "target", "epochs")],
         F.floor(F.sum("taken") / F.count(F.lit(1))).cast("long").alias("taken")) \
-        .withColumnRenamed("doc_id", "_id")
-    same = docs["doc_id"].eqNullSafe(taken["_id"]) & (F.xxhash64(docs["text"]) == taken["tie"])
-    return docs.join(taken, same).select(*COLUMNS, "size", "source_size", "target", "taken", "epochs")
+        .select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), *ADDED)
+    same = docs["doc_id"].eqNullSafe(taken["__id"]) & (F.xxhash64(docs["text"]) == taken["__tie"])
+    return docs.drop(*ADDED).join(taken, same).drop("__id", "__tie")
 
 
 STAGES = [

@@ -116,9 +116,9 @@ def contaminated(percent_words: int = 20) -> Column:
 def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any other columns) that are not contaminated."""
     bad = scan(docs, benchmark).where(contaminated()).select(
-        F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
+        F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct()
     # the same id and text is the same document; the rest stays, whatever its columns
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs["text"]) == F.col("_bad_hash")),
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad_id")) & (F.xxhash64(docs["text"]) == F.col("__bad_hash")),
                      "left_anti")
 
 

@@ -324,7 +324,7 @@ def _cut(text_at: int, cuts_at: int):
                         after = x["first_word"] + x["n_words"]
                         at = int(starts[first[i] + after]) if after < n else end
                     out.append(b"".join([*parts, raw[at:end]]).decode("utf-8"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "_left"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "__left"])
     return run
 
 
@@ -335,16 +335,16 @@ def remove_passages(docs: DataFrame, least: int = LEAST, **params) -> DataFrame:
     empty and null texts as they were.
     """
     removals = persist_shared(repeated_passages(docs, least=least, **params).where("not kept").groupBy("doc_id")
-                              .agg(F.collect_list(F.struct("first_word", "n_words")).alias("_cuts"))
-                              .withColumnRenamed("doc_id", "_doc"))
+                              .agg(F.collect_list(F.struct("first_word", "n_words")).alias("__cuts"))
+                              .withColumnRenamed("doc_id", "__doc"))
     columns = docs.columns
-    joined = docs.join(checked_broadcast(removals), docs["doc_id"] == removals["_doc"], "left")
-    touched = joined.where("_doc is not null").drop("_doc")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in touched.schema) + ", _left string"
-    cut = touched.mapInArrow(_cut(columns.index("text"), len(columns)), schema).where(F.trim(F.regexp_replace("_left", r"[\x09-\x0D]", " ")) != "")
-    new = {"text": F.col("_left"), "n_chars": F.length("_left").cast("long")}
+    joined = docs.join(checked_broadcast(removals), docs["doc_id"] == removals["__doc"], "left")
+    touched = joined.where("__doc is not null").drop("__doc")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in touched.schema) + ", __left string"
+    cut = touched.mapInArrow(_cut(columns.index("text"), len(columns)), schema).where(F.trim(F.regexp_replace("__left", r"[\x09-\x0D]", " ")) != "")
+    new = {"text": F.col("__left"), "n_chars": F.length("__left").cast("long")}
     cut = cut.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
-    return joined.where("_doc is null").select(*columns).union(cut)
+    return joined.where("__doc is null").select(*columns).union(cut)
 
 
 def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
