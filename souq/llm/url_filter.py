@@ -91,21 +91,42 @@ def log_ratios(train: DataFrame, wanted: DataFrame) -> DataFrame:
     return p.select("gram", F.round((F.log("p_a") - F.log("p_r")) * UNIT).cast("long").alias("ratio"))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, keep: float = 0.99, folds: int = 5) -> DataFrame:
+def threshold_of(scores: DataFrame) -> float:
+    """Where accepted (label 1) and rejected (0) scores part best, from (score, label).
+
+    Scores are put into bins of 1/1000, some thousand rows whatever the
+    corpus.  The bin that keeps the largest share of accepted plus the largest
+    share of rejected on its sides wins, the lowest on ties; the threshold
+    lies midway between it and the next occupied bin below.
+    """
+    bins = scores.groupBy(F.floor(F.col("score") * STEP).alias("bin")).agg(
+        F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("r"))
+    order, everything = Window.orderBy("bin"), Window.partitionBy()
+    below = order.rowsBetween(Window.unboundedPreceding, -1)
+    share = [(1 - F.coalesce(F.sum("a").over(below), F.lit(0)) / F.greatest(F.sum("a").over(everything), F.lit(1))),
+             F.coalesce(F.sum("r").over(below), F.lit(0)) / F.greatest(F.sum("r").over(everything), F.lit(1))]
+    best = bins.select("bin", F.lag("bin").over(order).alias("before"), (share[0] + share[1]).alias("gain")) \
+        .orderBy(F.desc("gain"), "bin").limit(1).collect()
+    if not best:
+        return 0.0
+    b = best[0]
+    return (b.bin if b.before is None else (b.bin + b.before + 1) / 2) / STEP
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, folds: int = 5) -> DataFrame:
     """Verdict on every page's URL: page_id, host, path, rule, verdict, score.
 
     ``pages`` has page_id and url; other columns are ignored.  One fold of the
-    judged URLs, by a digest of the URL, is kept from training; the threshold
-    is the largest that lets ``keep`` of its accepted URLs through, in steps
-    of 1/1000.  ``score`` is the log-likelihood difference per character
-    (null where a rule decided).
+    judged URLs, by a digest of the URL, is kept from training and calibrates
+    the threshold (``threshold_of``).  ``score`` is the log-likelihood
+    difference per character (null where a rule decided).
 
     Defined cases: a null URL, or one without ``://``, has empty host and path
     and fits no rule; null and empty URLs have score 0 and are allowed;
     repeated URLs train once and every row gets its verdict; a null page_id is
     kept; without judged URLs of one kind the ratio rests on the other model's
-    smoothing, without any the score is 0, and without accepted held-out URLs
-    the threshold is 0; an empty table gives an empty result.
+    smoothing, without any the score is 0; without held-out URLs the threshold
+    is 0; an empty table gives an empty result.
     """
     page = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -118,18 +139,14 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, keep:
         urls.where("by_rule is not null and not held").select(F.explode(_grams("url")).alias("gram"), "by_rule")
         .groupBy("gram").agg(F.sum((F.col("by_rule") == "allow").cast("long")).alias("a"),
                              F.sum((F.col("by_rule") == "block").cast("long")).alias("r")))
-    open_ = urls.where("by_rule is null or (held and by_rule = 'allow')") \
+    open_ = urls.where("by_rule is null or held") \
         .select("url", "by_rule", F.explode(_grams("url")).alias("gram"))
     ratio = persist_shared(log_ratios(train, open_.select("gram").distinct()))
     scores = persist_shared(
         open_.join(checked_broadcast(ratio), "gram").groupBy("url", "by_rule")
         .agg((F.sum("ratio") / F.count(F.lit(1)) / UNIT).alias("score")))
-    # the scores of held-out accepted URLs in bins: some thousand rows whatever the corpus
-    bins = scores.where("by_rule is not null").groupBy(F.floor(F.col("score") * STEP).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    above = Window.orderBy(F.desc("bin"))
-    threshold = bins.withColumn("kept", F.sum("n").over(above)).withColumn("of", F.sum("n").over(Window.partitionBy())) \
-        .where(F.col("kept") >= keep * F.col("of")).agg(F.coalesce(F.max("bin") / STEP, F.lit(0.0)).alias("threshold")) \
-        .first().threshold
+    threshold = threshold_of(scores.where("by_rule is not null")
+                             .select("score", (F.col("by_rule") == "allow").cast("int").alias("label")))
     rest = scores.where("by_rule is null").select("url", "score")
     return page.join(rest, "url", "left").select(
         "page_id", "host", "path", "rule",
@@ -179,16 +196,21 @@ cut AS (SELECT url, by_rule, held, substr(t, i, 5) AS gram
         FROM (SELECT *, unnest(range(1, length(url) + 1)) AS i FROM urls)),
 train AS (SELECT gram, sum((by_rule = 'allow')::BIGINT) AS a, sum((by_rule = 'block')::BIGINT) AS r
           FROM cut WHERE by_rule IS NOT NULL AND NOT held GROUP BY gram),
-open_ AS (SELECT * FROM cut WHERE by_rule IS NULL OR (held AND by_rule = 'allow')),
+open_ AS (SELECT * FROM cut WHERE by_rule IS NULL OR held),
 even AS (SELECT 1.0::DOUBLE / (count(DISTINCT right(gram, 1)) + 1) AS p FROM train),
 p0 AS (SELECT gram, p AS p_a, p AS p_r FROM (SELECT DISTINCT gram FROM open_), even),""" + "".join(_level_sql(k) for k in range(1, ORDER + 1)) + r"""
 ratio AS (SELECT gram, round((ln(p_a) - ln(p_r)) * 1000000)::BIGINT AS ratio FROM p5),
 scores AS (SELECT url, by_rule, sum(ratio)::DOUBLE / count(*) / 1000000 AS score
            FROM open_ JOIN ratio USING (gram) GROUP BY url, by_rule),
-bins AS (SELECT floor(score * 1000) AS bin, count(*) AS n FROM scores WHERE by_rule IS NOT NULL GROUP BY 1),
-limits AS (SELECT coalesce(max(bin) / 1000, 0) AS threshold
-           FROM (SELECT bin, sum(n) OVER (ORDER BY bin DESC) AS kept, sum(n) OVER () AS total FROM bins)
-           WHERE kept >= 0.99 * total)
+bins AS (SELECT floor(score * 1000) AS bin, count_if(by_rule = 'allow') AS a, count_if(by_rule = 'block') AS r
+         FROM scores WHERE by_rule IS NOT NULL GROUP BY 1),
+gains AS (SELECT bin, (SELECT max(y.bin) FROM bins y WHERE y.bin < x.bin) AS prior,
+                 (1 - ifnull((SELECT sum(y.a) FROM bins y WHERE y.bin < x.bin), 0)::DOUBLE
+                      / greatest((SELECT sum(a) FROM bins), 1))
+                 + ifnull((SELECT sum(y.r) FROM bins y WHERE y.bin < x.bin), 0)::DOUBLE
+                   / greatest((SELECT sum(r) FROM bins), 1) AS gain FROM bins x),
+limits AS (SELECT ifnull((SELECT ifnull((bin + prior + 1) / 2, bin) / 1000 FROM gains ORDER BY gain DESC, bin LIMIT 1), 0)
+             AS threshold)
 SELECT page_id, host, path, rule,
        coalesce(page.by_rule, CASE WHEN score < (SELECT threshold FROM limits) THEN 'block' ELSE 'allow' END) AS verdict,
        CASE WHEN rule IS NULL THEN coalesce(score, 0) END AS score
