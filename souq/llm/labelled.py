@@ -48,8 +48,10 @@ def collect_features(sample: DataFrame, features: Callable[[pa.Array], np.ndarra
     small_batches(sample.sparkSession)
     t = sample.select(F.col("doc_id").cast("long"), F.col("y").cast("int"), "text") \
         .mapInArrow(run, "doc_id long, y int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
-    x = [np.frombuffer(r, np.float32) for r in t.column("x").to_pylist()]
-    return (np.stack(x) if x else np.zeros((0, 1), np.float32)), t.column("y").to_numpy().astype(np.int64)
+    if not t.num_rows:
+        return np.zeros((0, 1), np.float32), np.zeros(0, np.int64)
+    x = np.concatenate([np.frombuffer(r.as_py(), np.float32) for r in t.column("x")])
+    return x.reshape(t.num_rows, -1), t.column("y").to_numpy().astype(np.int64)
 
 
 def with_score(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], name: str = "score") -> DataFrame:

@@ -19,7 +19,8 @@ from .common import table
 from .labelled import collect_features, held_out, labelled_sample, with_score
 from .textops import slices, word_bounds, word_hashes
 
-BUCKETS = 2048
+BITS = 10
+BUCKETS = 1 << BITS
 EXTRA = 3
 REPETITION = 3      # how much more a count of repetition weighs than one trigram
 WIDTH = BUCKETS + EXTRA
@@ -44,7 +45,7 @@ def features(column: pa.Array) -> np.ndarray:
             h = c[:-2] * np.uint32(2654435761) + c[1:-1] * np.uint32(2246822519) + c[2:] * np.uint32(3266489917)
             h ^= h >> np.uint32(15)
             h *= np.uint32(0x2C1B3C6D)
-            h >>= np.uint32(32 - 11)
+            h >>= np.uint32(32 - BITS)
             ok = doc[:-2] == doc[2:]
             x[:, :BUCKETS] = np.bincount(doc[:-2][ok] * BUCKETS + h[ok], minlength=s.n * BUCKETS).reshape(s.n, BUCKETS)
         starts, ends, first = word_bounds(s)
@@ -71,9 +72,12 @@ class NeighbourVote:
     def __init__(self, x: np.ndarray, y: np.ndarray, counts: dict[int, int], rank: int = 32, neighbours: int = 15,
                  power: float = 8.0):
         self.neighbours, self.power = neighbours, power
-        self.idf = (np.log((len(x) + 1) / ((x > 0).sum(axis=0) + 1)) + 1).astype(np.float32)
+        self.idf = (np.log((len(x) + 1) / (np.count_nonzero(x, axis=0) + 1)) + 1).astype(np.float32)
         self.idf[BUCKETS:BUCKETS + 2] *= REPETITION
-        t = _unit(np.log1p(x) * self.idf)
+        # in place: the sample is the largest thing the driver holds
+        t = np.log1p(x, out=x)
+        t *= self.idf
+        t /= np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-9)
         # right singular vectors of the sample, from its bounded Gram matrix
         self.directions = np.linalg.eigh(t.T @ t)[1][:, -rank:].astype(np.float32)
         self.vectors = _unit(t @ self.directions).astype(np.float32)
@@ -97,14 +101,14 @@ class NeighbourVote:
         return np.clip(out, 0, 1)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> NeighbourVote:
+def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> NeighbourVote:
     """Fit on at most ``per_class`` labelled documents of each class, outside the held-out fold."""
     sample, counts = labelled_sample(docs, labels, "quality", per_class)
     x, y = collect_features(sample, features)
     return NeighbourVote(x, y, counts)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= 0.7) of every row of ``docs``.
 
     Only the text enters the score.  Defined cases: null text counts as empty
