@@ -145,10 +145,11 @@ d_orders AS (
   FROM o_priced
 ),
 d_order_items AS (
-  SELECT l_orderkey * 10000000 + row_number() OVER (
-           PARTITION BY l_orderkey ORDER BY (l_partkey + l_suppkey + l_linenumber) % 16,
-                                            l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
-                                            l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS order_item_id,
+  SELECT l_orderkey * 10000000 + (l_partkey + l_suppkey + l_linenumber) % 256 + 1
+         + 256 * (row_number() OVER (
+             PARTITION BY l_orderkey, (l_partkey + l_suppkey + l_linenumber) % 256
+             ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
+                      l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1) AS order_item_id,
          l_orderkey AS order_id, l_partkey AS product_id,
          CAST(l_quantity AS INTEGER) AS quantity,
          {_money('l_extendedprice')} AS unit_price,

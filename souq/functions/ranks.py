@@ -1,19 +1,14 @@
 """Skew-safe positions within groups.
 
 A window ``partitionBy(g)`` runs each group in one task, so a group holding
-a third of the rows lands whole in one task.  The helpers here split each
-group before any per-group ordering:
-
-* :func:`salted_row_number` numbers rows within (group, salt) and adds the
-  row counts of the group's earlier salts (a window over at most ``n`` salt
-  rows per group).
-* :func:`value_ranks` works on the (group, value) histogram (ties collapse
-  map-side), splits every group into value buckets at cut points from a
-  bounded ``percentile_approx`` sketch, deals the rows out anew by (group,
-  bucket), and combines per-bucket counts (at most ``buckets`` rows per group)
-  with a window inside each bucket.  The number of buckets follows the
-  histogram's measured size.  The result is exact; the sketch only balances
-  the buckets.
+a third of the rows lands whole in one task.  :func:`value_ranks` splits each
+group before any per-group ordering.  It works on the (group, value) histogram
+(ties collapse map-side), splits every group into value buckets at cut points
+from a bounded ``percentile_approx`` sketch, deals the rows out anew by
+(group, bucket), and combines per-bucket counts (at most ``buckets`` rows per
+group) with a window inside each bucket.  The number of buckets follows the
+histogram's measured size.  The result is exact; the sketch only balances the
+buckets.
 
 Groups are compared null-safely: the NULL group is a group.
 """
@@ -22,28 +17,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 
-def salted_row_number(df: DataFrame, part_cols: list[str], order_cols: list[Column | str], salt: Column,
-                      out: str = "row_number") -> DataFrame:
-    """row_number() over (partition by part_cols order by salt, order_cols),
-    computed per (group, salt) plus the sizes of the group's earlier salts."""
-    x = df.withColumn("_salt", salt)
-    local = F.row_number().over(Window.partitionBy(*part_cols, "_salt").orderBy(*order_cols))
-    x = x.withColumn("_rn", local)
-    sizes = x.groupBy(*part_cols, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*part_cols).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sizes.select(*part_cols, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    # left join on a side that is unique per (group, salt): when the number
-    # is not used downstream, Catalyst removes the join and the window
-    return x.join(offs, [*part_cols, "_salt"], "left").withColumn(out, F.col("_off") + F.col("_rn")) \
-        .drop("_salt", "_rn", "_off")
-
-
 def join_groups(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
     """Join on equal or both-NULL columns; the right side's copies of them are dropped."""
     renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in cols})

@@ -22,8 +22,9 @@ inventory          one per part whose key%40 != 7
 orders             store = key % S; discount 0/10/15 % by key%3; VAT 15 %;
                    shipping 25; defects: VAT +2.00 when key%97=0, net +1.00
                    when key%101=0
-order_items        one per line; id = orderkey*10^7 + number of the line in the order
-                   (ordered by (partkey+suppkey+linenumber) % 16, then all columns)
+order_items        one per line; id = orderkey*10^7 + number of the line in the order:
+                   s = (partkey+suppkey+linenumber) % 256, then
+                   (place among the lines of the order with that s - 1) * 256 + s + 1
 payments           none when key%17=0; a second later one when key%13=0;
                    orphan (order id negated) when key%1009=5
 shipments          none for status P; a second one when key%11=0
@@ -41,11 +42,10 @@ import datetime as dt
 from decimal import Decimal
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import DEC, money
-from ..functions.ranks import salted_row_number
 from .driver import read_table
 
 # ---------------------------------------------------------------------------
@@ -70,7 +70,7 @@ TICKET_STATUSES = ["Open", "In_Progress", "Resolved", "Closed"]
 SESSION_CHANNELS = ["Direct", "Instagram", "Google", "TikTok", "Snapchat"]
 
 DEFAULT_AS_OF = dt.date(2001, 8, 2)
-ITEM_SALTS = 16
+ITEM_SALTS = 256
 LINES_PER_ORDER = 10_000_000
 BASE_DATE = dt.date(1995, 1, 1)
 
@@ -370,11 +370,13 @@ class Domain:
         li = self.raw("lineitem")
         others = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                   "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-        # Lines are numbered within (order, salt) and offset by the order's
-        # earlier salts, so one order holding a third of all lines is still
-        # numbered by 16 tasks.  Numbering order: salt, then the columns.
+        # Lines are numbered within (order, salt), and the salt is the number's
+        # remainder: unique within the order after one scan and one shuffle,
+        # and an order holding a third of all lines is spread over its salts.
+        # A query that does not output the id drops the window with it.
         salt = (F.col("l_partkey") + F.col("l_suppkey") + F.col("l_linenumber")) % ITEM_SALTS
-        li = salted_row_number(li, ["l_orderkey"], others, salt, out="_line_no")
+        within = F.row_number().over(Window.partitionBy("l_orderkey", "_salt").orderBy(*others))
+        li = li.withColumn("_salt", salt).withColumn("_line_no", (within - 1) * ITEM_SALTS + F.col("_salt") + 1)
         unit = money(F.col("l_extendedprice"))
         qty = F.col("l_quantity").cast("int")
         return li.select(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from souq.functions.quantiles import exact_quantiles
-from souq.functions.ranks import salted_row_number, skew_safe_rank, value_ranks
+from souq.functions.ranks import skew_safe_rank, value_ranks
 
 
 def skewed_frame(seed: int, n: int = 3000) -> pd.DataFrame:
@@ -56,15 +56,3 @@ def test_value_ranks_counts(spark):
     for g, part in r.groupby("g"):
         part = part.sort_values("v")
         assert (part["n_before"].to_numpy() == np.concatenate([[0], np.cumsum(part["n_equal"])[:-1]])).all()
-
-
-def test_salted_row_number_is_a_permutation(spark):
-    pdf = skewed_frame(8)
-    df = spark.createDataFrame(pdf.fillna(0.0))
-    out = salted_row_number(df, ["g"], ["v", "id"], (F.col("id") % 5), out="rn").toPandas()
-    for g, part in out.groupby("g"):
-        assert sorted(part["rn"]) == list(range(1, len(part) + 1))
-        # within one salt the numbering follows the order columns
-        for _, s in part.assign(salt=part["id"] % 5).groupby("salt"):
-            s = s.sort_values("rn")
-            assert s[["v", "id"]].apply(tuple, axis=1).is_monotonic_increasing
