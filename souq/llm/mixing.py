@@ -70,7 +70,7 @@ def targets(sizes: DataFrame, weight: DataFrame | None = None, cap: int = 3) ->
 
 
 def mix(docs: DataFrame, weight: DataFrame | None = None, cap: int = 3, seed: int = 17,
-        bucket_rows: int = 20_000) -> DataFrame:
+        bucket_rows: int = 2_000) -> DataFrame:
     """Choose how many words of each document the mix takes.
 
     ``docs`` has doc_id, source, text and possibly more columns (ignored).
