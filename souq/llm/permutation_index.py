@@ -38,8 +38,7 @@ def choose_pivots(vectors: DataFrame, pivots: int, sample: int = 2048, apart: fl
     taken exceeds ``apart``: a group of near copies would otherwise fill the
     permutations with pivots that say the same.
     """
-    rows = vectors.groupBy(F.xxhash64("vec_id", "embedding").alias("h")).agg(F.any_value("embedding").alias("embedding")) \
-        .orderBy("h").limit(sample).collect()
+    rows = vectors.select(F.xxhash64("vec_id", "embedding").alias("h"), "embedding").orderBy("h").limit(sample).collect()
     v = np.array([r.embedding for r in rows], np.float64)
     v = v / np.linalg.norm(v, axis=1, keepdims=True)
     chosen: list[int] = []
