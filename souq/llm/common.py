@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage, remove_at_exit
 
 # Rows per Arrow batch of the Python stages: texts can be long, so batches are
 # kept small enough for a worker to hold several of them.
@@ -36,8 +34,7 @@ def persist_shared(df: DataFrame) -> DataFrame:
     A lost executor re-reads the files; Spark's context cleaner removes them
     when ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return cut_lineage(df)
 
 
 def write_shared(df: DataFrame, name: str) -> DataFrame:
@@ -47,19 +44,11 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    remove_at_exit(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    """Delete a shared folder while the session still lives."""
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def checked_broadcast(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when the (materialised) frame has at most ``bound`` rows."""
     n = df.count() if rows is None else rows

@@ -114,12 +114,14 @@ def _bags(kept: np.ndarray):
 
 
 def _train(bags: list[np.ndarray], n: np.ndarray, y: np.ndarray, weight: np.ndarray, width: int, dim: int, steps: int,
-           batch: int, rate: float, decay: float, seed: int) -> tuple[np.ndarray, float]:
+           batch: int, rate: float, decay: float, dropout: float, seed: int) -> tuple[np.ndarray, float]:
     """Embeddings and softmax trained jointly by Adam; returns each subword's weight in the log-odds, and the bias.
 
     A text's vector is the mean of its subword vectors, each different one
     counted once, times the square root of the text's number of subwords, so
-    long texts keep the evidence of a few words.
+    long texts keep the evidence of a few words.  A share of each bag is left
+    out at every step, so that no word rests on all of its subwords: those that
+    a misspelling keeps have to be enough.
     """
     g = np.random.default_rng(seed)
     par = [g.normal(0, 0.1, (width, dim)), g.normal(0, 0.1, (dim, 2)), np.zeros(2)]
@@ -130,7 +132,7 @@ def _train(bags: list[np.ndarray], n: np.ndarray, y: np.ndarray, weight: np.ndar
         if len(order) < min(batch, len(y)):
             order = g.permutation(len(y))
         take, order = order[:batch], order[batch:]
-        x = np.stack([np.bincount(bags[i], minlength=width) * scale[i] for i in take])
+        x = np.stack([np.bincount(bags[i][g.random(len(bags[i])) >= dropout], minlength=width) * scale[i] for i in take])
         hidden = x @ par[0]
         z = hidden @ par[1] + par[2]
         p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -142,11 +144,13 @@ def _train(bags: list[np.ndarray], n: np.ndarray, y: np.ndarray, weight: np.ndar
             m[i] = 0.9 * m[i] + 0.1 * d
             v[i] = 0.999 * v[i] + 0.001 * d * d
             par[i] -= rate * (m[i] / (1 - 0.9 ** t)) / (np.sqrt(v[i] / (1 - 0.999 ** t)) + 1e-8)
-    return par[0] @ (par[1][:, 1] - par[1][:, 0]), par[2][1] - par[2][0]
+    # a whole bag is scored between the share seen in training, which keeps the
+    # probabilities of known words, and its full weight, which favours misspelt ones
+    return (1 - 0.75 * dropout) * (par[0] @ (par[1][:, 1] - par[1][:, 0])), par[2][1] - par[2][0]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, kept: int = 4096, dim: int = 8,
-                 epochs: int = 4, least_steps: int = 240, batch: int = 256, rate: float = 0.05, decay: float = 1e-5,
+                 epochs: int = 4, least_steps: int = 240, batch: int = 256, rate: float = 0.05, decay: float = 1e-5, dropout: float = 0.5,
                  least_chi: float = 10.0, seed: int = 0) -> SubwordSoftmax:
     """Fit on at most ``per_class`` labelled documents of each class, outside the held-out fold.
 
@@ -178,7 +182,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, kept
     weight = (share / n)[y]
     steps = max(least_steps, epochs * math.ceil(len(y) / batch))
     w, bias = _train([np.frombuffer(x, np.uint16) for x in t.column("bag").to_pylist()], t.column("n").to_numpy(), y,
-                     weight / weight.mean(), len(best), dim, steps, batch, rate, decay, seed)
+                     weight / weight.mean(), len(best), dim, steps, batch, rate, decay, dropout, seed)
     full = np.zeros(BUCKETS)
     full[best] = w
     return SubwordSoftmax(full, bias)
