@@ -27,8 +27,12 @@ from ..functions.ranks import join_groups, value_ranks
 from ..session import checkpoint_dir
 
 # ---------------------------------------------------------------------------
-# Scoring threshold and the labels returned with a score.
+# Features, forest sizes, weights of the synthetic target,
+# scoring threshold and the texts returned with a score.
 # ---------------------------------------------------------------------------
+CHURN_NUMERIC = ["total_gmv", "total_orders", "avg_order_value", "support_ticket_count"]
+CHURN_CATEGORICAL = "subscription_plan"
+CLV_FEATURES = ["recency_days", "frequency_orders", "monetary_value"]
 CHURN_THRESHOLD = 0.5
 CLV_WEIGHTS = {"monetary_value": 1.2, "frequency_orders": 15.0, "recency_days": -0.5}
 CHURN_FOREST = {"num_trees": 150, "max_depth": 10}
@@ -37,9 +41,6 @@ STATUS_CHURN, STATUS_HEALTHY = "High Risk (Churn)", "Low Risk (Healthy)"
 ACTION_CHURN = "Assign Dedicated Merchant Success Manager & Issue Discount Voucher"
 ACTION_HEALTHY = "Merchant Healthy"
 
-CHURN_NUMERIC = ["total_gmv", "total_orders", "avg_order_value", "support_ticket_count"]
-CHURN_CATEGORICAL = "subscription_plan"
-CLV_FEATURES = ["recency_days", "frequency_orders", "monetary_value"]
 SEED = 42
 
 

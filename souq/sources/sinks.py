@@ -180,6 +180,7 @@ def register_views(views: dict[str, DataFrame]) -> list[str]:
 
 
 # ---- S11: audit log ----------------------------------------------------------------------------
+# Columns of the audit log.
 AUDIT_BASE_COLUMNS = ["log_id", "user_id", "consent_status", "device_info", "ip_address", "login_time"]
 AUDIT_OPTIONAL_COLUMNS = ["full_name", "email", "country", "city", "region", "timezone",
                           "preferred_language", "consent_notes"]
