@@ -35,7 +35,6 @@ U = np.uint64
 WORDS = 5          # words of a shingle
 SIZE = 16          # words of a stretch, and of the shortest line taken
 GAP = 34           # positions of which one begins a stretch
-SHINGLES = SIZE - WORDS + 1
 BANDS, ROWS = 6, 3  # finds 98 % of lines at similarity 0.8 and more above; a line's neighbours widen into it
 LEAST = 40         # words of a repeated passage that is reported
 AROUND = 64        # words on either side of a chain of paragraphs that are compared with the one that stays
