@@ -45,7 +45,7 @@ def _anchors(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
     of all its positions if it has fewer; the first of equal ones.  ``n``: positions per text."""
     if not len(hashes):
         return np.zeros(0, np.int64)
-    low = U((1 << 24) - 1)
+    low = U((1 << max(24, len(hashes).bit_length())) - 1)
     packed = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
     first = np.cumsum(n) - n
     few = (n > 0) & (n < GAP)
