@@ -57,7 +57,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the words that the mix takes of it.
+    """The documents that the mix takes, each with the number of its words taken (repeats counted).
 
     Rows that repeat an id and text share what the mix takes of them.
     """
@@ -66,7 +66,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.floor(F.sum("taken") / F.count(F.lit(1))).cast("long").alias("taken")) \
         .select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), *ADDED)
     same = docs["doc_id"].eqNullSafe(taken["__id"]) & (F.xxhash64(docs["text"]) == taken["__tie"])
-    return docs.drop(*ADDED).join(taken, same).drop("__id", "__tie")
+    return docs.drop(*ADDED).join(taken.where("taken > 0"), same).drop("__id", "__tie")
 
 
 STAGES = [

@@ -1,5 +1,8 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from souq.llm.decontaminate import contaminated, scan
+from souq.llm.mixing import word_count
 from souq.llm.paragraph_dedup import repeated_passages
 
 from . import brute
@@ -17,7 +20,7 @@ def test_stages_take_effect(spark):
         seen.append(out)
     raw, good, near, cut, clean, mixed = seen
     ids = [{r.doc_id for r in d.select("doc_id").collect()} for d in seen]
-    assert ids[1] < ids[0] and ids[2] < ids[1] and ids[3] <= ids[2] and ids[4] <= ids[3] and ids[5] == ids[4]
+    assert ids[1] < ids[0] and ids[2] < ids[1] and ids[3] <= ids[2] and ids[4] <= ids[3] and ids[5] <= ids[4]
     assert len(ids[1]) > 0.75 * len(ids[0])
     # one of each group of the stage's own input stays
     rows = [(r.doc_id, r.text) for r in good.collect()]
@@ -27,8 +30,11 @@ def test_stages_take_effect(spark):
     bench = spark.read.parquet(f"{SMOKE}/benchmark.parquet")
     assert scan(clean, bench).where(contaminated()).count() == 0
     assert scan(cut, bench).where(contaminated()).count() == len(ids[3]) - len(ids[4])
-    total = mixed.selectExpr("sum(size)", "sum(taken)").first()
-    assert abs(total[0] - total[1]) <= 40
+    total = clean.select(F.sum(word_count(F.col("text")))).first()[0]
+    taken = mixed.select("source", "taken", "target").collect()
+    assert all(r.taken > 0 for r in taken) and abs(total - sum(r.taken for r in taken)) <= 40
+    for source, target in {r.source: r.target for r in taken}.items():
+        assert abs(target - sum(r.taken for r in taken if r.source == source)) <= 1
 
 
 def test_odd_rows_pass_through(spark, odd):
@@ -41,6 +47,6 @@ def test_odd_rows_pass_through(spark, odd):
             assert set(out.columns) == set(odd.columns) | set(C.ADDED)
     once = C.near_dedup(spark, odd, SMOKE)
     assert sorted(r.doc_id or -1 for r in once.collect()) == [-1, -1, 1, 3, 4, 5, 6, 8, 9]
-    assert C.mixing(spark, odd, SMOKE).count() == odd.count()
+    assert 0 < C.mixing(spark, odd, SMOKE).count() <= 8  # of the rows with words
     for name, stage in C.STAGES:
         assert stage(spark, odd.limit(0), SMOKE).count() == 0, name
