@@ -34,6 +34,9 @@ SCALE_CONF = {
 }
 
 
+_OWN: set[str] = set()  # checkpoint folders of this process that go when it ends
+
+
 def get_spark(
     app: str = "souq",
     master: str | None = None,
@@ -76,8 +79,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="souq-ckpt-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
+    # the folder of this application's frames below it
+    own = sc.getCheckpointDir()
+    if own not in _OWN:
+        _OWN.add(own)
+        remove_at_exit(spark, own)
     return path
 
 
