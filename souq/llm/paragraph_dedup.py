@@ -110,6 +110,19 @@ def _ids(w: _Words, text: np.ndarray, pos: np.ndarray, n: np.ndarray) -> np.ndar
     return fmix(np.add.reduceat(h, begin) + n.astype(np.uint64)).view(np.int64)
 
 
+def _runs_of_equal(w: _Words, text: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word, number of words and id of the stretches; equal ones that overlap, as in
+    constant text, are one that covers them all."""
+    ids = _ids(w, text, pos, np.full(len(text), SIZE))
+    order = np.lexsort((pos, ids, text))
+    text, pos, ids = text[order], pos[order], ids[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (text[1:] != text[:-1]) | (ids[1:] != ids[:-1]) | (pos[1:] >= pos[:-1] + SIZE)
+    begin = np.flatnonzero(new)
+    last = np.append(begin[1:], len(ids))[:len(begin)] - 1
+    return text[begin], pos[begin], pos[last] + SIZE - pos[begin], ids[begin]
+
+
 def _banded(w: _Words, text: np.ndarray, pos: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The buckets of each paragraph, a row each."""
     if not len(text):
@@ -132,17 +145,18 @@ def _places(batches):
         for s in slices(b.column("text")):
             w = _Words(s)
             text, pos, n = w.lines()
-            bands = _banded(w, text, pos, n)
-            other, at = w.stretches()
-            size = np.full(len(other), SIZE)
-            ids = np.concatenate([_ids(w, text, pos, n), _ids(w, other, at, size)])
-            ends = np.minimum(np.arange(len(ids) + 1), len(text)) * BANDS
+            ids = _ids(w, text, pos, n)
+            # the bands of a line that a text repeats stand at its first place
+            _, once = np.unique(np.stack([text, ids]), axis=1, return_index=True)
+            once = np.sort(once)
+            bands = _banded(w, text[once], pos[once], n[once])
+            count = np.zeros(len(ids), np.int64)
+            count[once] = BANDS
+            other, at, size, other_ids = _runs_of_equal(w, *w.stretches())
+            ends = np.concatenate(([0], np.cumsum(np.concatenate([count, np.zeros(len(other), np.int64)]))))
             lists = pa.ListArray.from_arrays(ends.astype(np.int32), bands.ravel())
             text, pos, n = np.concatenate([text, other]), np.concatenate([pos, at]), np.concatenate([n, size])
-            # a paragraph that a text repeats counts once, at its first place
-            _, once = np.unique(np.stack([text, ids]), axis=1, return_index=True)
-            yield to_batch(PLACES, [doc[w.first_text + text[once]], pos[once].astype(np.int32), n[once].astype(np.int32), ids[once],
-                                    lists.take(pa.array(once))])
+            yield to_batch(PLACES, [doc[w.first_text + text], pos.astype(np.int32), n.astype(np.int32), np.concatenate([ids, other_ids]), lists])
 
 
 def _line_sets(batches):
@@ -241,7 +255,7 @@ def repeated_passages(docs: DataFrame, percent: int = 80, least: int = LEAST, br
     """Passages of at least ``least`` words that repeat across documents.
 
     ``docs`` has doc_id and text; other columns are ignored.  Returns one row
-    per passage and document: doc_id, first_word (from 0), n_words,
+    per place of a passage: doc_id, first_word (from 0), n_words,
     component_id (the smallest document that shares the passage), kept (this is
     the occurrence that stays).  Passages of a document that are at most
     ``bridge`` words apart are one; the rows with kept = false are the
@@ -267,7 +281,7 @@ def repeated_passages(docs: DataFrame, percent: int = 80, least: int = LEAST, br
     # chains: paragraphs of a document, in order, that repeat the same one at the same distance
     near = Window.partitionBy("doc_id", "keeper", "shift").orderBy("pos", "n")
     reach = F.max(F.col("pos") + F.col("n")).over(near.rowsBetween(Window.unboundedPreceding, -1))
-    chains = where.join(keeper, "root").where("doc_id <> keeper").withColumn("shift", F.col("k_pos") - F.col("pos")) \
+    chains = where.join(keeper, "root").where("doc_id <> keeper or pos <> k_pos").withColumn("shift", F.col("k_pos") - F.col("pos")) \
         .withColumn("new", F.coalesce(F.col("pos") > reach + GAP, F.lit(True)).cast("int")) \
         .withColumn("chain", F.sum("new").over(near)).groupBy("doc_id", "keeper", "shift", "chain") \
         .agg(F.min("pos").alias("first"), F.max(F.col("pos") + F.col("n")).alias("end"),
@@ -286,9 +300,10 @@ def repeated_passages(docs: DataFrame, percent: int = 80, least: int = LEAST, br
     spans = persist_shared(chains.join(context, ["doc_id", "first", "end"]).join(kept, ["keeper", "k_first", "k_end"])
                            .select("doc_id", "first", "end", "keeper", "k_first", "k_end", "before", "after", "k_before", "k_after")
                            .mapInArrow(_widened, WIDE_DDL))
-    gone = _merged(spans.select("doc_id", "first", "end", F.col("keeper").alias("component_id")), bridge, least)
+    places = spans.select("doc_id", "first", "end", F.col("keeper").alias("component_id"))
+    gone = _merged(places.where("doc_id <> component_id"), bridge, least)
     stay = _merged(spans.select(F.col("keeper").alias("doc_id"), F.col("k_first").alias("first"), F.col("k_end").alias("end"),
-                                F.col("keeper").alias("component_id")).distinct(), bridge, least)
+                                F.col("keeper").alias("component_id")).union(places.where("doc_id = component_id")).distinct(), bridge, least)
     return gone.withColumn("kept", F.lit(False)).union(stay.withColumn("kept", F.lit(True)))
 
 

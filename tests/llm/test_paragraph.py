@@ -86,3 +86,17 @@ def test_agreement_crosses_small_edits():
     b = np.concatenate([a[:10], [99], a[11:18], a[19:30], [7, 7, 7]])
     assert P.agreement(a, b) == (30, 29)
     assert P.agreement(a, np.arange(100, 130)) == (0, 0) and P.agreement(a[:0], b) == (0, 0)
+
+
+def test_every_place_of_a_shared_passage_is_found(spark):
+    p, a, b, c, d = text(60), text(30), text(100), text(400), text(20)
+    line = text(50)
+    rows = [(1, " ".join([*a, *p, *d])), (2, " ".join([*b, *p, *c, *p, *d[::-1]])), (3, " ".join([*p, *a[::-1], *p])),
+            (4, "\n".join(" ".join(x) for x in (line, text(40), line, line))), (5, "\n".join(" ".join(x) for x in (text(30), line, text(30), line))),
+            (6, " ".join(p)), (6, " ".join(p))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.first_word, r.n_words, r.kept) for r in P.repeated_passages(df).collect()}
+    assert got == {(1, 30, 60, True), (2, 100, 60, False), (2, 560, 60, False), (3, 0, 60, False), (3, 90, 60, False), (6, 0, 60, False),
+                   (4, 0, 50, True), (4, 90, 100, True), (5, 30, 50, False), (5, 110, 50, False)}
+    left = {r.doc_id: r.text.split() for r in P.remove_passages(df).collect()}
+    assert left[2] == [*b, *c, *d[::-1]] and left[3] == a[::-1]
