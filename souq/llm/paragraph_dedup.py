@@ -5,7 +5,11 @@ MinHash over five-word shingles, colliding ones are joined and verified by
 exact Jaccard similarity.  And, since a repeated passage may stand in the
 middle of a line, stretches of ``SIZE`` words that begin where the content
 says so (the smallest shingle hash of every ``GAP`` positions): two texts that
-share ``SIZE + GAP - 1`` words in a row share such a stretch.
+share ``SIZE + GAP - 1`` = 22 words in a row share such a stretch.  That covers
+the passages that are similar but not equal: a place where two passages differ
+takes at least 9 of their five-word shingles together, so at similarity 0.8
+their common runs hold at least 36 shingles for every such place, and the
+longest run has 18 shingles, which are 22 words.
 
 Equal or similar paragraphs form components.  In every component the
 occurrence in the smallest document stays.  Consecutive paragraphs that repeat
@@ -33,8 +37,10 @@ from .textops import Slice, fmix, shingle_hashes, slices, to_batch, word_bounds,
 
 U = np.uint64
 WORDS = 5          # words of a shingle
-SIZE = 16          # words of a stretch, and of the shortest line taken
-GAP = 34           # positions of which one begins a stretch
+LINE = 16          # words of the shortest line taken
+SIZE = 10          # words of a stretch
+GAP = 13           # positions of which one begins a stretch
+REACH = 34         # words between two paragraphs of one chain, at most
 BANDS, ROWS = 6, 3  # finds 98 % of lines at similarity 0.8 and more above; a line's neighbours widen into it
 LEAST = 40         # words of a repeated passage that is reported
 AROUND = 64        # words on either side of a chain of paragraphs that are compared with the one that stays
@@ -83,14 +89,14 @@ class _Words:
         return text[a], pos[a]
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, first word and number of words of the lines of at least SIZE words."""
+        """Text, first word and number of words of the lines of at least LINE words."""
         if not len(self.words):
             return (np.zeros(0, np.int64),) * 3
         new = np.ones(len(self.words), bool)
         new[1:] = (self.newlines[1:] != self.newlines[:-1]) | (self.text[1:] != self.text[:-1])
         begin = np.flatnonzero(new)
         n = np.diff(np.append(begin, len(self.words)))
-        begin, n = begin[n >= SIZE], n[n >= SIZE]
+        begin, n = begin[n >= LINE], n[n >= LINE]
         return self.text[begin], self.pos[begin], n
 
     def runs(self, text: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,7 +288,7 @@ def repeated_passages(docs: DataFrame, percent: int = 80, least: int = LEAST, br
     near = Window.partitionBy("doc_id", "keeper", "shift").orderBy("pos", "n")
     reach = F.max(F.col("pos") + F.col("n")).over(near.rowsBetween(Window.unboundedPreceding, -1))
     chains = where.join(keeper, "root").where("doc_id <> keeper or pos <> k_pos").withColumn("shift", F.col("k_pos") - F.col("pos")) \
-        .withColumn("new", F.coalesce(F.col("pos") > reach + GAP, F.lit(True)).cast("int")) \
+        .withColumn("new", F.coalesce(F.col("pos") > reach + REACH, F.lit(True)).cast("int")) \
         .withColumn("chain", F.sum("new").over(near)).groupBy("doc_id", "keeper", "shift", "chain") \
         .agg(F.min("pos").alias("first"), F.max(F.col("pos") + F.col("n")).alias("end"),
              F.min("k_pos").alias("k_first"), F.max(F.col("k_pos") + F.col("k_n")).alias("k_end")) \

@@ -100,3 +100,14 @@ def test_every_place_of_a_shared_passage_is_found(spark):
                    (4, 0, 50, True), (4, 90, 100, True), (5, 30, 50, False), (5, 110, 50, False)}
     left = {r.doc_id: r.text.split() for r in P.remove_passages(df).collect()}
     assert left[2] == [*b, *c, *d[::-1]] and left[3] == a[::-1]
+
+
+def test_similar_passages_inside_lines_are_found(spark):
+    rows, want = [], set()
+    for i in range(0, 80, 2):
+        p, before, after = text(60), text(int(G.integers(5, 60))), text(30)
+        other = [*p[:30], "edit", *p[30 + i // 2 % 2:]]  # a word more, or another word
+        rows += [(i, " ".join([*text(25), *p, *text(40)])), (i + 1, " ".join([*before, *other, *after]))]
+        want.add((i + 1, len(before), len(other), i))
+    got = P.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("not kept").collect()
+    assert {(r.doc_id, r.first_word, r.n_words, r.component_id) for r in got} == want
