@@ -13,8 +13,10 @@ longest run has 18 shingles, which are 22 words.
 
 Equal or similar paragraphs form components.  In every component the
 occurrence in the smallest document stays.  Consecutive paragraphs that repeat
-the same document at the same distance are one chain, and a chain is widened
-word by word, across small edits, as far as it agrees with the one that stays.
+the same document at the same distance are one chain.  The words between its
+paragraphs and on either side of it are compared word by word, across small
+edits, with the one that stays: a chain is widened as far as they agree, and
+split where they do not.
 The resulting spans are the removals.
 
 Scale: the texts are read once for the paragraphs, which are written as narrow
@@ -175,15 +177,16 @@ def _line_sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(_ids(w, text, pos, n), pa.int64()), pa.array(sets, pa.binary())], ["id", "set"])
 
 
-CONTEXT = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])
-CONTEXT_DDL = "doc_id long, first int, end int, before binary, after binary"
+CONTEXT = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("key", pa.int64()),
+                     ("before", pa.binary()), ("after", pa.binary()), ("inside", pa.binary())])
+CONTEXT_DDL = "doc_id long, first int, end int, key long, before binary, after binary, inside binary"
 
 
 def _contexts(batches):
-    """The hashes of the words before (nearest first) and after each wanted stretch."""
+    """The hashes of the words before (nearest first), after, and in the gaps of each wanted chain."""
     for b in batches:
         doc, wanted = b.column("doc_id").to_numpy(), b.column("at").to_pylist()
-        rows: list[list] = [[], [], [], [], []]
+        rows: list[list] = [[] for _ in CONTEXT]
         for s in slices(b.column("text")):
             starts, ends, first = word_bounds(s)
             w = word_hashes(s, starts, ends)
@@ -192,8 +195,9 @@ def _contexts(batches):
                 for x in wanted[s.first + i]:
                     if x["end"] <= len(mine):  # else another text of the same id has it
                         before = mine[max(0, x["first"] - AROUND):x["first"]][::-1]
-                        for c, v in zip(rows, (doc[s.first + i], x["first"], x["end"], before.tobytes(),
-                                               mine[x["end"]:x["end"] + AROUND].tobytes())):
+                        inside = b"".join(mine[g["first"]:g["end"]].tobytes() for g in x["gaps"])
+                        for c, v in zip(rows, (doc[s.first + i], x["first"], x["end"], x["key"], before.tobytes(),
+                                               mine[x["end"]:x["end"] + AROUND].tobytes(), inside)):
                             c.append(v)
         yield to_batch(CONTEXT, rows)
 
@@ -224,14 +228,31 @@ WIDE = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("end", pa.int3
 WIDE_DDL = "doc_id long, first int, end int, keeper long, k_first int, k_end int"
 
 
+def _agreeing(r: dict):
+    """The parts of a chain that agree with the one that stays: first word and end of each in both."""
+    words = {c: np.frombuffer(r[c], np.uint64) for c in ("before", "k_before", "after", "k_after", "inside", "k_inside")}
+    x, kx = agreement(words["before"], words["k_before"])
+    first, k_first, i, j = r["first"] - x, r["k_first"] - kx, 0, 0
+    for g, k in zip(r["gaps"], r["k_gaps"]):
+        n, kn = g["end"] - g["first"], k["end"] - k["first"]
+        a, b = words["inside"][i:i + n], words["k_inside"][j:j + kn]
+        i, j = i + n, j + kn
+        x, kx = agreement(a, b)
+        if x < n:
+            y, ky = agreement(a[x:][::-1], b[kx:][::-1])
+            yield first, g["first"] + x, k_first, k["first"] + kx
+            first, k_first = g["end"] - y, k["end"] - ky
+    x, kx = agreement(words["after"], words["k_after"])
+    yield first, r["end"] + x, k_first, r["k_end"] + kx
+
+
 def _widened(batches):
     for b in batches:
         out: list[list] = [[] for _ in WIDE]
         for r in b.to_pylist():
-            x, kx = agreement(*(np.frombuffer(r[c], np.uint64) for c in ("before", "k_before")))
-            y, ky = agreement(*(np.frombuffer(r[c], np.uint64) for c in ("after", "k_after")))
-            for c, v in zip(out, (r["doc_id"], r["first"] - x, r["end"] + y, r["keeper"], r["k_first"] - kx, r["k_end"] + ky)):
-                c.append(v)
+            for first, end, k_first, k_end in _agreeing(r):
+                for c, v in zip(out, (r["doc_id"], first, end, r["keeper"], k_first, k_end)):
+                    c.append(v)
         yield to_batch(WIDE, out)
 
 
@@ -286,25 +307,36 @@ def repeated_passages(docs: DataFrame, percent: int = 80, least: int = LEAST, br
         .where("k.doc_id <> hi").select("root", F.col("k.doc_id").alias("keeper"), F.col("k.pos").alias("k_pos"), F.col("k.n").alias("k_n"))
     # chains: paragraphs of a document, in order, that repeat the same one at the same distance
     near = Window.partitionBy("doc_id", "keeper", "shift").orderBy("pos", "n")
-    reach = F.max(F.col("pos") + F.col("n")).over(near.rowsBetween(Window.unboundedPreceding, -1))
+    before = near.rowsBetween(Window.unboundedPreceding, -1)
+    # words of a chain between its paragraphs, here and in the one that stays
+    gap = F.struct(F.col("reach").alias("first"), F.col("pos").alias("end"),
+                   F.least("k_reach", "k_pos").alias("k_first"), F.col("k_pos").alias("k_end"))
     chains = where.join(keeper, "root").where("doc_id <> keeper or pos <> k_pos").withColumn("shift", F.col("k_pos") - F.col("pos")) \
-        .withColumn("new", F.coalesce(F.col("pos") > reach + REACH, F.lit(True)).cast("int")) \
+        .withColumn("reach", F.max(F.col("pos") + F.col("n")).over(before)) \
+        .withColumn("k_reach", F.max(F.col("k_pos") + F.col("k_n")).over(before)) \
+        .withColumn("new", F.coalesce(F.col("pos") > F.col("reach") + REACH, F.lit(True)).cast("int")) \
         .withColumn("chain", F.sum("new").over(near)).groupBy("doc_id", "keeper", "shift", "chain") \
         .agg(F.min("pos").alias("first"), F.max(F.col("pos") + F.col("n")).alias("end"),
-             F.min("k_pos").alias("k_first"), F.max(F.col("k_pos") + F.col("k_n")).alias("k_end")) \
-        .select("doc_id", "first", "end", "keeper", "k_first", "k_end")
+             F.min("k_pos").alias("k_first"), F.max(F.col("k_pos") + F.col("k_n")).alias("k_end"),
+             F.sort_array(F.collect_list(F.when((F.col("new") == 0) & (F.col("pos") > F.col("reach")), gap))).alias("between")) \
+        .withColumn("gaps", F.transform("between", lambda g: F.struct(g["first"].alias("first"), g["end"].alias("end")))) \
+        .withColumn("k_gaps", F.transform("between", lambda g: F.struct(g["k_first"].alias("first"), g["k_end"].alias("end")))) \
+        .select("doc_id", "first", "end", "gaps", F.xxhash64("gaps").alias("key"),
+                "keeper", "k_first", "k_end", "k_gaps", F.xxhash64("k_gaps").alias("k_key"))
     chains = persist_shared(chains)
-    # the words around both ends, once for each different stretch, from the documents that have any
-    asked = chains.select("doc_id", "first", "end").union(chains.select("keeper", "k_first", "k_end")) \
-        .groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("at"))
+    # the words around both ends and in the gaps, once for each different chain, from the documents that have any
+    asked = chains.select("doc_id", "first", "end", "key", "gaps").union(chains.select("keeper", "k_first", "k_end", "k_key", "k_gaps")) \
+        .groupBy("doc_id").agg(F.collect_set(F.struct("first", "end", "key", "gaps")).alias("at"))
     asked = persist_shared(asked)
     some = docs.join(checked_broadcast(asked.select("doc_id")), "doc_id", "left_semi")
     context = persist_shared(some.join(asked, "doc_id").select("doc_id", "text", "at").mapInArrow(_contexts, CONTEXT_DDL)
-                             .dropDuplicates(["doc_id", "first", "end"]))
+                             .dropDuplicates(["doc_id", "first", "end", "key"]))
     kept = context.select(F.col("doc_id").alias("keeper"), F.col("first").alias("k_first"), F.col("end").alias("k_end"),
-                          F.col("before").alias("k_before"), F.col("after").alias("k_after"))
-    spans = persist_shared(chains.join(context, ["doc_id", "first", "end"]).join(kept, ["keeper", "k_first", "k_end"])
-                           .select("doc_id", "first", "end", "keeper", "k_first", "k_end", "before", "after", "k_before", "k_after")
+                          F.col("key").alias("k_key"), F.col("before").alias("k_before"), F.col("after").alias("k_after"),
+                          F.col("inside").alias("k_inside"))
+    spans = persist_shared(chains.join(context, ["doc_id", "first", "end", "key"]).join(kept, ["keeper", "k_first", "k_end", "k_key"])
+                           .select("doc_id", "first", "end", "gaps", "keeper", "k_first", "k_end", "k_gaps",
+                                   "before", "after", "inside", "k_before", "k_after", "k_inside")
                            .mapInArrow(_widened, WIDE_DDL))
     places = spans.select("doc_id", "first", "end", F.col("keeper").alias("component_id"))
     gone = _merged(places.where("doc_id <> component_id"), bridge, least)

@@ -111,3 +111,18 @@ def test_similar_passages_inside_lines_are_found(spark):
         want.add((i + 1, len(before), len(other), i))
     got = P.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("not kept").collect()
     assert {(r.doc_id, r.first_word, r.n_words, r.component_id) for r in got} == want
+
+
+def test_different_words_between_shared_ones_stay(spark):
+    short, long = (text(20), text(20)), (text(50), text(60))
+    mine, other = (text(20), text(30)), (text(20), text(30))
+
+    def lines(a, m, b):
+        return "\n".join(" ".join(x) for x in (a, m, b))
+    rows = [(1, lines(short[0], mine[0], short[1])), (2, lines(short[0], other[0], short[1])),
+            (3, lines(long[0], mine[1], long[1])), (4, lines(long[0], other[1], long[1]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.first_word, r.n_words, r.component_id, r.kept) for r in P.repeated_passages(df).collect()}
+    assert got == {(3, 0, 50, 3, True), (3, 80, 60, 3, True), (4, 0, 50, 3, False), (4, 80, 60, 3, False)}
+    left = {r.doc_id: r.text.split() for r in P.remove_passages(df).collect()}
+    assert left[2] == [*short[0], *other[0], *short[1]] and left[4] == other[1]
