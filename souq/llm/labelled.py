@@ -23,7 +23,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     fold, chosen by id hash; and how many labelled ids each class has in all.
 
     Rows with a null id or a label other than 0 and 1 are ignored; an id with
-    both labels keeps the smaller; ids without a document give no row.
+    both labels keeps the smaller; ids without a document give no row; of
+    different texts of an id the one with the smallest hash is taken.
     """
     y = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))) \
         .groupBy("doc_id").agg(F.min(label).alias("y"))
@@ -34,8 +35,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     chosen = picks[0]
     for p in picks[1:]:
         chosen = chosen.union(p)
-    # bounded by 2 * per_class rows
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), counts
+    # one text of each id, combined map-side: bounded by 2 * per_class rows
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y") \
+        .agg(F.min_by("text", F.struct(F.col("text").isNull(), F.xxhash64("text"))).alias("text")), counts
 
 
 def collect_features(sample: DataFrame, features: Callable[[pa.Array], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

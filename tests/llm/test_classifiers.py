@@ -52,3 +52,16 @@ def test_misspelt_words_share_vectors(spark):
     docs = spark.createDataFrame(rows + probe, "doc_id long, text string")
     got = {r.doc_id: r.score for r in X.score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert got[10_000] > 0.3 > got[10_001]
+
+
+def test_sample_has_one_row_for_each_id(spark):
+    from souq.llm.labelled import labelled_sample
+    ids = list(range(1, 41))
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids] + [(i, f"other {j}") for i in ids[:8] for j in range(50)]
+                                 + [(i, None) for i in ids], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    sample, counts = labelled_sample(docs, labels, "quality", 1000)
+    rows = sample.collect()
+    assert len(rows) == len({r.doc_id for r in rows}) == sum(counts.values())
+    assert all(r.text and r.y == r.doc_id % 2 for r in rows)
+    assert sorted(rows) == sorted(labelled_sample(docs.repartition(3), labels, "quality", 1000)[0].collect())
