@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .centroids import OP12_SQL, op12_lookup_clusters
 from .chat_repair import op4_chat_repair
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .kneser_ney import op7_kneser_ney
@@ -24,10 +25,12 @@ QUERIES = {
     "op10_subword_toxicity": op10_subword_toxicity,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op3_mix_sources": op3_mix_sources,
+    "op12_lookup_clusters": op12_lookup_clusters,
 }
 
 ORACLE: dict[str, str] = {
     "op2_url_filter": OP2_SQL,
     "op1_decontaminate": OP1_SQL,
     "op3_mix_sources": OP3_SQL,
+    "op12_lookup_clusters": OP12_SQL,
 }

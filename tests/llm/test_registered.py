@@ -21,5 +21,5 @@ def test_matches_oracle(spark, name):
 
 def test_one_query_for_each_operator():
     names = [n for n in E.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n in registry.QUERIES) == list(range(1, 14))
     assert "pipeline" in E.queries()
