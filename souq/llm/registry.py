@@ -5,6 +5,7 @@ from __future__ import annotations
 from .centroids import OP12_SQL, op12_lookup_clusters
 from .chat_repair import op4_chat_repair
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .divergence import OP11_SQL, op11_source_divergence
 from .kneser_ney import op7_kneser_ney
 from .minhash_dedup import op8_minhash_dedup
 from .mixing import OP3_SQL, op3_mix_sources
@@ -25,6 +26,7 @@ QUERIES = {
     "op10_subword_toxicity": op10_subword_toxicity,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op3_mix_sources": op3_mix_sources,
+    "op11_source_divergence": op11_source_divergence,
     "op12_lookup_clusters": op12_lookup_clusters,
 }
 
@@ -32,5 +34,6 @@ ORACLE: dict[str, str] = {
     "op2_url_filter": OP2_SQL,
     "op1_decontaminate": OP1_SQL,
     "op3_mix_sources": OP3_SQL,
+    "op11_source_divergence": OP11_SQL,
     "op12_lookup_clusters": OP12_SQL,
 }
