@@ -12,6 +12,7 @@ from .mixing import OP3_SQL, op3_mix_sources
 from .paragraph_dedup import op9_paragraph_dedup
 from .permutation_index import op5_permutation_index
 from .quality import op6_quality_vote
+from .secrets import OP13_SQL, op13_secret_scan
 from .toxicity import op10_subword_toxicity
 from .url_filter import OP2_SQL, op2_url_filter
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op11_source_divergence": op11_source_divergence,
     "op12_lookup_clusters": op12_lookup_clusters,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLE: dict[str, str] = {
@@ -36,4 +38,5 @@ ORACLE: dict[str, str] = {
     "op3_mix_sources": OP3_SQL,
     "op11_source_divergence": OP11_SQL,
     "op12_lookup_clusters": OP12_SQL,
+    "op13_secret_scan": OP13_SQL,
 }
