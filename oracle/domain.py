@@ -288,6 +288,8 @@ order_wide AS (
 def with_domain(body: str) -> str:
     """Prefix a query body with the adapter CTEs (merging a leading WITH)."""
     body = body.strip()
+    if body[:14].upper() == "WITH RECURSIVE":
+        return "WITH RECURSIVE " + CTES.strip() + ",\n" + body[14:].lstrip()
     if body[:4].upper() == "WITH":
         return "WITH " + CTES.strip() + ",\n" + body[4:].lstrip()
     return "WITH " + CTES.strip() + "\n" + body

@@ -64,15 +64,6 @@ wide AS (SELECT
 """
 
 _t = two_prop("buyers_c", "users_c", "buyers_t", "users_t")
-_ctr = two_prop("clicks_c", "views_c", "clicks_t", "views_t")
-_bnc = two_prop("bounced_users_c", "users_c", "bounced_users_t", "users_t")
-
-
-def _metric_row(name, c, t, p):
-    diff = f"(({t}) - ({c}))"
-    return (f"SELECT '{name}' AS metric, ROUND({c}, 6) AS control, ROUND({t}, 6) AS treatment, "
-            f"ROUND({diff}, 6) AS abs_uplift, ROUND({diff} / NULLIF({c}, 0.0::DOUBLE), 6) AS rel_uplift, "
-            f"ROUND({p}, 6) AS p_value FROM wide")
 
 
 def _chi():
@@ -200,11 +191,6 @@ SELECT *, CASE WHEN orders <= 1 THEN 'One-time' WHEN risk_ratio > 2 THEN 'At Ris
     "ab_srm_check": "WITH " + AB_BASE + f""" SELECT users_c, users_t, ROUND({_chi()}, 6) AS chi_square,
         ROUND({erfc(f'sqrt({_chi()} / 2.0::DOUBLE)')}, 6) AS p_value,
         {erfc(f'sqrt({_chi()} / 2.0::DOUBLE)')} >= 0.05 AS passed FROM wide""",
-    "ab_metric_table": "WITH " + AB_BASE + " " + " UNION ALL ".join([
-        _metric_row("CTR", _ctr["p_control"], _ctr["p_treatment"], _ctr["p_value"]),
-        _metric_row("CVR", _t["p_control"], _t["p_treatment"], _t["p_value"]),
-        _metric_row("AOV", "aov_c", "aov_t", "CAST(NULL AS DOUBLE)"),
-        _metric_row("Bounce Rate", _bnc["p_control"], _bnc["p_treatment"], _bnc["p_value"])]),
     "ab_ndcg_at_k": """
 WITH e AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'control' ELSE 'treatment' END AS variant, user_id, event_id, ts,
                   CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END AS rel

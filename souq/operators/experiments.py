@@ -1,4 +1,4 @@
-"""A/B experiment statistics (X1-X6) over the event stream.
+"""A/B experiment statistics (X1-X5) over the event stream; significance.py has the ledger.
 
 The reference shows these as constants; the definitions here are ours:
 variant = user_id % 2 (0 control, 1 treatment); a "view", "click" or
@@ -101,13 +101,13 @@ def ab_srm_check(events: DataFrame, expected_share: float = 0.5) -> DataFrame:
                     (chi2_1dof_p(chi) >= 0.05).alias("passed"))
 
 
-def ab_ndcg_at_k(events: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
-    """Mean NDCG@k per variant.
+def user_ndcg(events: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """NDCG@k of every user with a positive ideal: variant, user_id, ndcg_at_k.
 
     A user's events in time order are the ranked list; relevance is
     purchase 3, click 2, view 1, other 0.  DCG@k = sum rel / log2(rank+1)
     over the first k; IDCG@k the same over the k highest relevances; users
-    with IDCG 0 are skipped.  ``row_number() <= k`` lets Spark insert a
+    with IDCG 0 have null.  ``row_number() <= k`` lets Spark insert a
     partial per-group limit before the shuffle (map-side top-k), so a hot
     user sends at most k rows per task.
     """
@@ -129,9 +129,13 @@ def ab_ndcg_at_k(events: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
     a = actual.groupBy("variant", "user_id").agg(*aggs)
     i = ideal.groupBy("variant", "user_id").agg(*[F.sum(F.when(F.col("pos") <= k, F.col("ig"))).alias(f"idcg{k}")
                                                   for k in ks])
-    j = a.join(i, ["variant", "user_id"])
-    out = j.groupBy("variant").agg(*[F.avg(F.col(f"dcg{k}") / F.nullif(F.col(f"idcg{k}"), F.lit(0.0)))
-                                     .alias(f"ndcg_at_{k}") for k in ks])
+    return a.join(i, ["variant", "user_id"]).select(
+        "variant", "user_id", *[(F.col(f"dcg{k}") / F.nullif(F.col(f"idcg{k}"), F.lit(0.0))).alias(f"ndcg_at_{k}") for k in ks])
+
+
+def ab_ndcg_at_k(events: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """Mean NDCG@k per variant over users with a positive ideal."""
+    out = user_ndcg(events, ks).groupBy("variant").agg(*[F.avg(f"ndcg_at_{k}").alias(f"ndcg_at_{k}") for k in ks])
     return out.select("variant", *[r6(F.col(f"ndcg_at_{k}")).alias(f"ndcg_at_{k}") for k in ks])
 
 
@@ -144,25 +148,9 @@ def ab_cvr_daily(events: DataFrame) -> DataFrame:
 
 
 def ab_metric_table(events: DataFrame) -> DataFrame:
-    """Long table metric, control, treatment, uplifts, p-value (X1 + X2).
+    """The ledger's six rows: metric, control, treatment, uplifts, p-value.
 
-    Proportion metrics (CTR, CVR, bounce rate) get a two-proportion test;
-    AOV has no p-value here.
+    The tests are those of :func:`souq.operators.significance.ab_significance`.
     """
-    w = _wide(ab_rates(events))
-    ctr = two_proportion(F.col("clicks_c"), F.col("views_c"), F.col("clicks_t"), F.col("views_t"))
-    cvr = two_proportion(F.col("buyers_c"), F.col("users_c"), F.col("buyers_t"), F.col("users_t"))
-    bnc = two_proportion(F.col("bounced_users_c"), F.col("users_c"), F.col("bounced_users_t"), F.col("users_t"))
-
-    def row(name, c, t, p):
-        diff = t - c
-        return F.struct(F.lit(name).alias("metric"), r6(c).alias("control"), r6(t).alias("treatment"),
-                        r6(diff).alias("abs_uplift"), r6(diff / F.nullif(c, F.lit(0.0))).alias("rel_uplift"),
-                        r6(p).alias("p_value"))
-    rows = F.array(
-        row("CTR", ctr["p_control"], ctr["p_treatment"], ctr["p_value"]),
-        row("CVR", cvr["p_control"], cvr["p_treatment"], cvr["p_value"]),
-        row("AOV", F.col("aov_c"), F.col("aov_t"), F.lit(None).cast("double")),
-        row("Bounce Rate", bnc["p_control"], bnc["p_treatment"], bnc["p_value"]),
-    )
-    return w.select(F.inline(rows))
+    from .significance import ab_significance
+    return ab_significance(events).select("metric", "control", "treatment", "abs_uplift", "rel_uplift", "p_value")

@@ -96,6 +96,7 @@ register("vat_variance_histogram")(lambda s: B.vat_variance_histogram(B.vat_audi
 from . import experiments as X  # noqa: E402
 from . import features as FT  # noqa: E402
 from . import growth as GR  # noqa: E402
+from . import significance as SG  # noqa: E402
 from ..plans import marts as _M  # noqa: E402
 
 
@@ -132,6 +133,9 @@ register("ab_ndcg_at_k")(lambda s: X.ab_ndcg_at_k(s.d.raw("events")))
 register("ab_srm_check")(lambda s: X.ab_srm_check(s.d.raw("events")))
 register("ab_cvr_daily")(lambda s: X.ab_cvr_daily(s.d.raw("events")))
 register("ab_metric_table")(lambda s: X.ab_metric_table(s.d.raw("events")))
+register("ab_significance")(lambda s: SG.ab_significance(s.d.raw("events")))
+register("ab_sequential_cvr")(lambda s: SG.ab_sequential_cvr(s.d.raw("events")))
+register("ab_sequential_revenue")(lambda s: SG.ab_sequential_revenue(s.d.raw("events")))
 
 register("feature_avg_aov_30d")(lambda s: FT.feature_avg_aov_30d(s.fact_orders, s.dim_store))
 register("feature_orders_7d")(lambda s: FT.feature_orders_7d(s.fact_orders, s.dim_store))
