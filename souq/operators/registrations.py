@@ -446,3 +446,64 @@ def _incremental(s):
 
 
 register("warehouse_incremental")(_incremental)
+
+# ---- loads that touch only some months, and what is kept up with them ------------------
+from ..plans import stored_marts as _SM  # noqa: E402
+
+_MOVED = (F.col("date_id").between(19960201, 19960229)) & (F.col("order_id") % 5 == 0)
+
+
+class _BeforeBatch:
+    """A warehouse as it was before a batch: without the last months, and with orders of February 1996
+    still dated in the December before, with another amount."""
+
+    def __init__(self, star):
+        self.d, self.as_of, self._star = star.d, star.as_of, star
+
+    def tables(self):
+        t = self._star.tables()
+        out = {}
+        for n in _BLD.FACTS:
+            f = t[n].where(F.col("date_id") < 20010601)
+            amount = "net_amount" if n == "dw_fact_orders" else "gross_profit"
+            out[n] = f.withColumn(amount, F.when(_MOVED, F.col(amount) + 1).otherwise(F.col(amount)).cast("decimal(10,2)")) \
+                .withColumn("date_id", F.when(_MOVED, F.lit(19951230)).otherwise(F.col("date_id")))
+        return {**t, **out}
+
+
+def _batch(star):
+    """The rows that bring such a warehouse up to date."""
+    t = star.tables()
+    late = F.col("date_id") >= 20010601
+    return {n: t[n].where(late | _MOVED) for n in _BLD.FACTS} | {"dw_dim_store": t["dw_dim_store"].where(F.col("store_id") % 3 == 0)}
+
+
+def _month_load(s, marts=False):
+    """A stored warehouse after one batch (with marts: partials built before, refreshed after it)."""
+    spark, base = s.d.spark, S.work_path(s.d.spark, "months")
+    _BLD.build_warehouse(_BeforeBatch(s), base)
+    if marts:
+        _SM.refresh(spark, base)
+    touched = _BLD.load_batch(spark, base, _batch(s))
+    refreshed = _SM.refresh(spark, base) if marts else []
+    return base, touched, refreshed
+
+
+def _touched_months(s):
+    """Which months of each fact the batch rewrote, and which months of the partials followed."""
+    _, touched, refreshed = _month_load(s, marts=True)
+    rows = [(n, m) for n, months in [*touched.items(), ("mart partials", refreshed)] for m in months]
+    base = s.fact_orders.select((F.col("date_id") / 100).cast("int").alias("order_month")).distinct()
+    listed = s.d.spark.createDataFrame(rows, "table_name string, order_month int")
+    return listed.join(F.broadcast(base.withColumn("_there", F.lit(True))), "order_month", "left") \
+        .select("table_name", "order_month", F.coalesce("_there", F.lit(False)).alias("has_orders"))
+
+
+register("warehouse_month_load")(lambda s: _BLD.WrittenStar(s.d.spark, _month_load(s)[0], s.as_of).fact_orders)
+register("warehouse_month_load_sales")(lambda s: _BLD.WrittenStar(s.d.spark, _month_load(s)[0], s.as_of).fact_sales)
+register("warehouse_touched_months")(_touched_months)
+register("kept_mart_merchant_daily")(lambda s: _SM.StoredMarts(s.d.spark, _month_load(s, marts=True)[0]).merchant_daily())
+register("kept_mart_product_performance")(
+    lambda s: _SM.StoredMarts(s.d.spark, _month_load(s, marts=True)[0]).product_performance())
+register("kept_mart_customer_rfm")(
+    lambda s: _SM.StoredMarts(s.d.spark, _month_load(s, marts=True)[0]).customer_rfm(s.as_of))

@@ -1,12 +1,13 @@
-"""Warehouse build job (E1) and a star schema read back from written tables.
-
-``build_warehouse`` writes the four dimensions and two facts to Parquet
-under one base folder (staging + swap per table, children last).  Facts are
-partitioned by order month so date-bounded marts prune files; dimensions
-are small relative to facts and are written unpartitioned.  ``WrittenStar``
-serves the same lazy interface as :class:`souq.plans.star.Star` from those
-files, so marts and metrics run on materialised tables instead of
-recomputing the warehouse from the operational data every time.
+"""Warehouse build and load jobs (E1) and a star schema read back from written tables.
+
+``build_warehouse`` writes the four dimensions and two facts to Parquet under
+one base folder, in one :class:`~souq.sources.stored.Load`: all tables change
+or none.  Facts are partitioned by order month, so date-bounded marts prune
+files and a load touches only the months it has to; dimensions are small
+relative to facts and are written unpartitioned.  ``WrittenStar`` serves the
+same lazy interface as :class:`souq.plans.star.Star` from those files, so
+marts and metrics run on materialised tables instead of recomputing the
+warehouse from the operational data every time.
 """
 
 from __future__ import annotations
@@ -19,43 +20,85 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import date_from_key
+from ..session import cut_lineage
 from ..sources.constraints import WAREHOUSE_KEYS
-from ..sources.sinks import WAREHOUSE_SCHEMAS, conform, exists, swap
+from ..sources.sinks import WAREHOUSE_SCHEMAS, conform
+from ..sources.stored import Load, recover
 from . import warehouse as W
 from .star import Star
 
 MONTH_COL = "order_month"
 FACTS = ("dw_fact_sales", "dw_fact_orders")
+ALL_MONTHS = "*"
+
+
+def with_month(fact: DataFrame) -> DataFrame:
+    return fact.withColumn(MONTH_COL, (F.col("date_id") / 100).cast("int"))
+
+
+def _warehouse_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    return {n: conform(df, WAREHOUSE_SCHEMAS[n]) for n, df in tables.items() if n in WAREHOUSE_SCHEMAS}
 
 
 def build_warehouse(star: Star, base: str, incremental: bool = False) -> dict[str, str]:
-    """Write dims then facts; returns table name -> path.
+    """Write dims and facts; returns table name -> path.
 
     ``incremental`` upserts the star's rows into the stored tables by their
-    keys instead of replacing them: stored rows whose key the star lacks stay,
-    shared keys take the star's row, new keys are added.
+    keys instead of replacing them (:func:`load_batch`).
     """
     spark = star.d.spark
+    tables = _warehouse_tables(star.tables())
+    if incremental:
+        load_batch(spark, base, tables)
+    else:
+        load = Load(spark, base)
+        for name, df in tables.items():
+            if name in FACTS:
+                load.stage_table(name, with_month(df), MONTH_COL)
+            else:
+                load.stage_table(name, df)
+        load.mark(stale=[ALL_MONTHS])
+        load.commit()
+    return {name: os.path.join(base, name) for name in tables}
+
+
+def _months(df: DataFrame) -> set[int]:
+    """The different months of some rows: a few hundred at most, whatever the rows."""
+    return {r[0] for r in df.select(MONTH_COL).distinct().collect()}
+
+
+def load_batch(spark: SparkSession, base: str, batch: dict[str, DataFrame]) -> dict[str, list[int]]:
+    """Upsert a batch of rows by key; facts are rewritten only in the months the batch touches.
+
+    ``batch`` has rows of any of the warehouse tables.  Stored rows with a key
+    of the batch are replaced, others stay, new keys are added.  The touched
+    months of a fact are those of the batch's rows and those that hold a
+    stored row with one of its keys (an order whose date moved leaves its old
+    month).  Finding the latter reads the key column alone; only touched
+    months are read in full, all others keep their files.  The whole batch
+    becomes visible at once, or not at all.  Returns the touched months of each fact.
+    """
     keys = dict(WAREHOUSE_KEYS)
-    stored = WrittenStar(spark, base, star.as_of)
-    paths = {}
-    for name, df in star.tables().items():
-        if name == "dim_date":
+    load = Load(spark, base)
+    stored = WrittenStar(spark, base, None)
+    touched: dict[str, list[int]] = {}
+    for name, df in batch.items():
+        df, key = conform(df, WAREHOUSE_SCHEMAS[name]), keys[name]
+        there = load.files.exists(os.path.join(base, name))
+        if name not in FACTS:
+            load.stage_table(name, W.upsert_by_key(stored._read(name), df, [key]) if there else df)
             continue
-        df = conform(df, WAREHOUSE_SCHEMAS[name])
-        final, staging = os.path.join(base, name), os.path.join(base, f"_{name}__staging")
-        if incremental and exists(spark, final):
-            df = W.upsert_by_key(stored._read(name), df, [keys[name]])
-        if name in FACTS:
-            # rows of a month meet in few tasks, so a month is few files; the
-            # rebalance splits a month too large for one task
-            df = df.withColumn(MONTH_COL, (F.col("date_id") / 100).cast("int")).hint("rebalance", MONTH_COL)
-            df.write.mode("overwrite").partitionBy(MONTH_COL).parquet(staging)
-        else:
-            df.write.mode("overwrite").parquet(staging)
-        swap(spark, staging, final)
-        paths[name] = final
-    return paths
+        rows = cut_lineage(with_month(df))  # read for its months, its keys and its rows
+        months = _months(rows)
+        if there:
+            old = stored._read(name, keep_month=True)
+            months |= _months(old.select(key, MONTH_COL).join(rows.select(key), key, "left_semi"))
+        touched[name] = sorted(months)
+        now = old.where(F.col(MONTH_COL).isin(touched[name])) if there else rows.limit(0)
+        load.stage_partitions(name, W.upsert_by_key(now, rows, [key]), MONTH_COL, touched[name])
+    load.mark(stale=[str(m) for months in touched.values() for m in months])
+    load.commit()
+    return touched
 
 
 class WrittenStar:
@@ -65,6 +108,7 @@ class WrittenStar:
         self.spark, self.base, self.as_of = spark, base, as_of
 
     def _read(self, name: str, keep_month: bool = False) -> DataFrame:
+        recover(self.spark, self.base)
         schema = WAREHOUSE_SCHEMAS[name]
         if name in FACTS:  # a copy: StructType.add mutates in place
             schema = T.StructType(list(schema.fields) + [T.StructField(MONTH_COL, T.IntegerType())])

@@ -24,22 +24,26 @@ def mart_merchant_daily(fact_orders: DataFrame, d_store: DataFrame, d_merchant:
                         d_date: DataFrame | None = None) -> DataFrame:
     """Per store and day: orders, gross, discounts, VAT, net, mean net.
 
-    ``order_id`` is the fact's own key (audited by ``dq_unique_warehouse``),
-    so orders are counted plainly and the fact is combined map-side.  The date
-    comes from the key, so no order is lost; with ``d_date`` given, only days
-    of that calendar are kept.
+    Orders are counted distinct, as declared, whatever the fact holds.  The
+    date comes from the key, so no order is lost; with ``d_date`` given, only
+    days of that calendar are kept.
     """
     if d_date is not None:
         # bounded by the calendar's days
         fact_orders = fact_orders.join(F.broadcast(d_date.select("date_id")), "date_id", "left_semi")
     agg = fact_orders.groupBy("store_id", "date_id").agg(
-        F.count("order_id").alias("total_orders"),
+        F.countDistinct("order_id").alias("total_orders"),
         F.sum("gross_amount").cast(DEC_SUM).alias("gross_merchandise_value"),
         F.sum("discount_amount").cast(DEC_SUM).alias("total_discounts"),
         F.sum("vat_amount").cast(DEC_SUM).alias("total_vat_collected"),
         F.sum("net_amount").cast(DEC_SUM).alias("net_revenue"),
         safe_ratio(F.sum("net_amount"), F.count("net_amount")).alias("average_order_value"),
     )
+    return name_daily(agg, d_store, d_merchant)
+
+
+def name_daily(agg: DataFrame, d_store: DataFrame, d_merchant: DataFrame) -> DataFrame:
+    """Store, merchant and date columns of the daily mart's aggregate."""
     st = d_store.select("store_id", "merchant_id", "industry_category")
     m = d_merchant.select("merchant_id", "merchant_name", "subscription_plan")
     return (
@@ -62,6 +66,11 @@ def mart_product_performance(fact_sales: DataFrame, d_product: DataFrame) -> Dat
         F.sum("item_cost").cast(DEC_SUM).alias("total_cogs"),
         F.sum("gross_profit").cast(DEC_SUM).alias("total_gross_profit"),
     )
+    return name_products(agg, d_product)
+
+
+def name_products(agg: DataFrame, d_product: DataFrame) -> DataFrame:
+    """Product columns and margin of the product mart's aggregate."""
     p = d_product.select("product_id", "product_name_en", "category_name_en", "store_id")
     return agg.join(p, "product_id").select(
         "product_id", "product_name_en", "category_name_en", "store_id",
@@ -74,9 +83,14 @@ def mart_customer_rfm(d_customer: DataFrame, fact_orders: DataFrame, as_of: dt.d
     """Recency (days from the last order to ``as_of``), frequency, monetary."""
     agg = fact_orders.groupBy("customer_id").agg(
         F.max(date_from_key("date_id")).alias("last_order_date"),
-        F.count("order_id").alias("frequency_orders"),
+        F.countDistinct("order_id").alias("frequency_orders"),
         F.sum("net_amount").cast(DEC_SUM).alias("monetary_value"),
     )
+    return name_customers(agg, d_customer, as_of)
+
+
+def name_customers(agg: DataFrame, d_customer: DataFrame, as_of: dt.date) -> DataFrame:
+    """Customer columns and recency of the RFM mart's aggregate."""
     c = d_customer.select("customer_id", "full_name", "store_id", "region_name_en")
     return c.join(agg, "customer_id").select(
         "customer_id", "full_name", "store_id", "region_name_en",

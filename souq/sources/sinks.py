@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint_dir, remove_at_exit
+from .stored import Files, recover, restore, swap
 
 
 def work_path(spark: SparkSession, *parts: str) -> str:
@@ -50,34 +51,6 @@ def append_sink(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("append").format(fmt).save(path)
 
 
-def _fs(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    at, fs = _fs(spark, path)
-    return fs.exists(at)
-
-
-def swap(spark: SparkSession, staging: str, final: str) -> None:
-    """Put a completely written table in place of the old one.
-
-    The old table is renamed aside, the new one renamed in, and only then is
-    the old one deleted: after a crash at any point one of them is whole, and
-    the next swap finishes the exchange.
-    """
-    new, fs = _fs(spark, staging)
-    at, _ = _fs(spark, final)
-    old, _ = _fs(spark, f"{final}__old")
-    if fs.exists(at):
-        fs.delete(old, True)
-        fs.rename(at, old)
-    if not fs.rename(new, at):
-        raise OSError(f"cannot rename {staging} to {final}")
-    fs.delete(old, True)
-
-
 def truncate_reload(spark: SparkSession, tables: dict[str, DataFrame], base: str,
                     order: list[str] | None = None) -> dict[str, str]:
     """Full reload, child tables first.
@@ -86,6 +59,7 @@ def truncate_reload(spark: SparkSession, tables: dict[str, DataFrame], base: str
     swapped into place, so a failed write never leaves a half-written table.
     """
     out = {}
+    recover(spark, base)
     for name in (order or list(tables)):
         final, staging = os.path.join(base, name), os.path.join(base, f"_{name}__staging")
         tables[name].write.mode("overwrite").parquet(staging)
@@ -157,11 +131,16 @@ WAREHOUSE_SCHEMAS = {
 
 def ensure_tables(spark: SparkSession, base: str, schemas: dict[str, T.StructType] | None = None) -> dict[str, str]:
     """Create each warehouse table as an empty Parquet dataset with its
-    declared schema when it does not exist yet (CREATE TABLE IF NOT EXISTS)."""
+    declared schema when it does not exist yet (CREATE TABLE IF NOT EXISTS).
+
+    A table that an interrupted write set aside exists: it gets its name back.
+    """
     out = {}
+    recover(spark, base)
     for name, schema in (schemas or WAREHOUSE_SCHEMAS).items():
         path = os.path.join(base, name)
-        if not exists(spark, path):
+        restore(spark, path)
+        if not Files(spark, path).exists(path):
             spark.createDataFrame([], schema).write.parquet(path)
         out[name] = path
     return out
