@@ -37,3 +37,33 @@ FROM months, (VALUES ('dw_fact_orders'), ('dw_fact_sales'), ('mart partials')) t
     "kept_mart_product_performance": _MART_PRODUCT,
     "kept_mart_customer_rfm": _MART_RFM,
 }
+
+_GONE = """
+gone AS (SELECT customer_id FROM d_customers WHERE customer_id % 300 = 7),
+gone_orders AS (SELECT order_id FROM d_orders WHERE customer_id IN (SELECT customer_id FROM gone))"""
+
+
+def _touched(table: str, at: str, hit: str) -> str:
+    place = f"coalesce(strftime({at}, '%Y%m')::INTEGER, 0)"
+    return (f"SELECT '{table}' AS table_name, (SELECT count(DISTINCT {place}) FROM d_{_SHORT.get(table, table)} WHERE {hit})::INTEGER AS rewritten, "
+            f"(SELECT count(DISTINCT {place}) FROM d_{_SHORT.get(table, table)})::INTEGER AS partitions")
+
+
+_SHORT = {"customer_sessions": "sessions"}
+_BY_ORDER = "order_id IN (SELECT order_id FROM gone_orders)"
+
+BODIES |= {
+    "erase_stored_orders": f"WITH {_GONE} SELECT order_id, customer_id, coupon_id, net_amount FROM d_orders "
+                           "WHERE customer_id NOT IN (SELECT customer_id FROM gone)",
+    "erase_stored_items": f"WITH {_GONE} SELECT order_item_id, order_id, total_price FROM d_order_items "
+                          "WHERE order_id NOT IN (SELECT order_id FROM gone_orders)",
+    "erase_stored_sessions": f"WITH {_GONE} SELECT session_id, store_id, CASE WHEN customer_id NOT IN (SELECT customer_id FROM gone) "
+                             "THEN customer_id END AS customer_id FROM d_sessions",
+    "erase_stored_fact_sales": f"WITH {_GONE} SELECT order_item_id, order_id, customer_id, gross_sales FROM dw_fact_sales "
+                               "WHERE order_id NOT IN (SELECT order_id FROM gone_orders)",
+    "erase_stored_partitions": f"WITH {_GONE} SELECT * FROM (" + " UNION ALL ".join([
+        _touched("orders", "order_date", _BY_ORDER), _touched("order_items", "l_shipdate", _BY_ORDER),
+        _touched("payments", "paid_at", _BY_ORDER), _touched("shipments", "shipped_at", _BY_ORDER),
+        _touched("returns", "requested_at", _BY_ORDER),
+        _touched("customer_sessions", "session_date", "customer_id IN (SELECT customer_id FROM gone)")]) + ") x WHERE rewritten > 0",
+}

@@ -237,11 +237,14 @@ def _cascade_order(root: str) -> list[str]:
     return order
 
 
-def _deleted_keys(tables: dict[str, DataFrame], root: str, deleted_keys: DataFrame) -> dict[str, DataFrame]:
-    """The keys that go from every table reached over CASCADE edges, as lazy semi joins."""
+def deleted_by_cascade(tables: dict[str, DataFrame], root: str, deleted_keys: DataFrame, keep=lambda df: df) -> dict[str, DataFrame]:
+    """The keys that go from every table reached over CASCADE edges, as semi joins.
+
+    They are lazy unless ``keep`` materialises them: it is applied to each table's keys, parents first.
+    """
     pk_root = PRIMARY_KEYS[root]
-    deleted: dict[str, DataFrame] = {root: deleted_keys.select(F.col(deleted_keys.columns[0]).alias(pk_root))
-                                     .join(tables[root].select(pk_root), pk_root, "left_semi").distinct()}
+    deleted: dict[str, DataFrame] = {root: keep(deleted_keys.select(F.col(deleted_keys.columns[0]).alias(pk_root))
+                                                .join(tables[root].select(pk_root), pk_root, "left_semi").distinct())}
     for t in _cascade_order(root)[1:]:
         pk = PRIMARY_KEYS[t]
         hits = []
@@ -249,11 +252,11 @@ def _deleted_keys(tables: dict[str, DataFrame], root: str, deleted_keys: DataFra
             if child == t and rule == "C" and parent in deleted:
                 par = deleted[parent].select(F.col(PRIMARY_KEYS[parent]).alias(fk))
                 hits.append(tables[t].select(pk, fk).join(par, fk, "left_semi").select(pk))
-        deleted[t] = reduce(DataFrame.union, hits).distinct()
+        deleted[t] = keep(reduce(DataFrame.union, hits).distinct())
     return deleted
 
 
-def _nulled_edges(t: str, deleted: dict[str, DataFrame]) -> list[tuple[str, str]]:
+def nulled_edges(t: str, deleted: dict[str, DataFrame]) -> list[tuple[str, str]]:
     return [(fk, parent) for child, fk, parent, rule in FOREIGN_KEYS if child == t and rule == "N" and parent in deleted]
 
 
@@ -263,11 +266,11 @@ def erase(tables: dict[str, DataFrame], root: str, deleted_keys: DataFrame) -> d
     CASCADE edges remove child rows whose parent was removed (transitively);
     SET NULL edges keep the child row with the key nulled.
     """
-    deleted = _deleted_keys(tables, root, deleted_keys)
+    deleted = deleted_by_cascade(tables, root, deleted_keys)
     out = {}
     for t in sorted(set(deleted) | {c for c, _, p, r in FOREIGN_KEYS if r == "N" and p in deleted}):
         left = propagate_delete(tables[t], PRIMARY_KEYS[t], deleted[t], "CASCADE") if t in deleted else tables[t]
-        for fk, parent in _nulled_edges(t, deleted):
+        for fk, parent in nulled_edges(t, deleted):
             left = propagate_delete(left, fk, deleted[parent], "SET NULL")
         out[t] = left
     return out
@@ -275,11 +278,11 @@ def erase(tables: dict[str, DataFrame], root: str, deleted_keys: DataFrame) -> d
 
 def fk_delete_propagation(tables: dict[str, DataFrame], root: str, deleted_keys: DataFrame) -> DataFrame:
     """G11 as a report: per affected table rows before, rows deleted, rows with a key newly nulled."""
-    deleted = _deleted_keys(tables, root, deleted_keys)
+    deleted = deleted_by_cascade(tables, root, deleted_keys)
     erased = erase(tables, root, deleted_keys)
     parts = []
     for t, left in erased.items():
-        fks = [fk for fk, _ in _nulled_edges(t, deleted)]
+        fks = [fk for fk, _ in nulled_edges(t, deleted)]
         before = tables[t].agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
         nulled = F.lit(0).cast("long")
         if fks:

@@ -478,20 +478,23 @@ def _batch(star):
     return {n: t[n].where(late | _MOVED) for n in _BLD.FACTS} | {"dw_dim_store": t["dw_dim_store"].where(F.col("store_id") % 3 == 0)}
 
 
-def _month_load(s, marts=False):
-    """A stored warehouse after one batch (with marts: partials built before, refreshed after it)."""
-    spark, base = s.d.spark, S.work_path(s.d.spark, "months")
-    _BLD.build_warehouse(_BeforeBatch(s), base)
-    if marts:
+def _month_load(s):
+    """A stored warehouse after one batch, with marts built before and refreshed after it.
+
+    Done once for a star; the queries only read the result.
+    """
+    if "month_load" not in s.__dict__:
+        spark, base = s.d.spark, S.work_path(s.d.spark, "months")
+        _BLD.build_warehouse(_BeforeBatch(s), base)
         _SM.refresh(spark, base)
-    touched = _BLD.load_batch(spark, base, _batch(s))
-    refreshed = _SM.refresh(spark, base) if marts else []
-    return base, touched, refreshed
+        touched = _BLD.load_batch(spark, base, _batch(s))
+        s.__dict__["month_load"] = base, touched, _SM.refresh(spark, base)
+    return s.__dict__["month_load"]
 
 
 def _touched_months(s):
     """Which months of each fact the batch rewrote, and which months of the partials followed."""
-    _, touched, refreshed = _month_load(s, marts=True)
+    _, touched, refreshed = _month_load(s)
     rows = [(n, m) for n, months in [*touched.items(), ("mart partials", refreshed)] for m in months]
     base = s.fact_orders.select((F.col("date_id") / 100).cast("int").alias("order_month")).distinct()
     listed = s.d.spark.createDataFrame(rows, "table_name string, order_month int")
@@ -502,8 +505,45 @@ def _touched_months(s):
 register("warehouse_month_load")(lambda s: _BLD.WrittenStar(s.d.spark, _month_load(s)[0], s.as_of).fact_orders)
 register("warehouse_month_load_sales")(lambda s: _BLD.WrittenStar(s.d.spark, _month_load(s)[0], s.as_of).fact_sales)
 register("warehouse_touched_months")(_touched_months)
-register("kept_mart_merchant_daily")(lambda s: _SM.StoredMarts(s.d.spark, _month_load(s, marts=True)[0]).merchant_daily())
+register("kept_mart_merchant_daily")(lambda s: _SM.StoredMarts(s.d.spark, _month_load(s)[0]).merchant_daily())
 register("kept_mart_product_performance")(
-    lambda s: _SM.StoredMarts(s.d.spark, _month_load(s, marts=True)[0]).product_performance())
+    lambda s: _SM.StoredMarts(s.d.spark, _month_load(s)[0]).product_performance())
 register("kept_mart_customer_rfm")(
-    lambda s: _SM.StoredMarts(s.d.spark, _month_load(s, marts=True)[0]).customer_rfm(s.as_of))
+    lambda s: _SM.StoredMarts(s.d.spark, _month_load(s)[0]).customer_rfm(s.as_of))
+
+# ---- erasure in stored tables ------------------------------------------------------------
+from ..plans import erasure as _ER  # noqa: E402
+
+
+def _erased(s):
+    """All operational tables and the warehouse, stored; then every 300th customer is erased from them.
+
+    Done once for a star; the queries only read the result.
+    """
+    if "erased" not in s.__dict__:
+        spark, base = s.d.spark, S.work_path(s.d.spark, "erasure")
+        _ER.store_operational(spark, base, _oltp(s))
+        _BLD.build_warehouse(s, base)
+        gone = s.d.customers.where(F.col("customer_id") % 300 == 7).select("customer_id")
+        s.__dict__["erased"] = base, _ER.erase_stored(spark, base, "customers", gone)
+    return s.__dict__["erased"]
+
+
+def _erased_table(s, name, *columns):
+    return _ER.read_stored(s.d.spark, _erased(s)[0], name).select(*columns)
+
+
+def _erased_partitions(s):
+    """How many partitions of each table were rewritten, and how many it has."""
+    base, done = _erased(s)
+    rows = s.d.spark.createDataFrame([(t, len(p)) for t, p in done.items() if p], "table_name string, rewritten int")
+    had = [s.d.table(t).select(_ER._place(t).alias("p")).distinct().agg(F.count(F.lit(1)).cast("int").alias("partitions"))
+           .withColumn("table_name", F.lit(t)) for t in _ER.PLACED_BY if t in done]
+    return rows.join(reduce(DataFrame.unionByName, had), "table_name")
+
+
+register("erase_stored_orders")(lambda s: _erased_table(s, "orders", "order_id", "customer_id", "coupon_id", "net_amount"))
+register("erase_stored_items")(lambda s: _erased_table(s, "order_items", "order_item_id", "order_id", "total_price"))
+register("erase_stored_sessions")(lambda s: _erased_table(s, "customer_sessions", "session_id", "store_id", "customer_id"))
+register("erase_stored_fact_sales")(lambda s: _erased_table(s, "dw_fact_sales", "order_item_id", "order_id", "customer_id", "gross_sales"))
+register("erase_stored_partitions")(_erased_partitions)
