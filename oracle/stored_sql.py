@@ -67,3 +67,22 @@ BODIES |= {
         _touched("returns", "requested_at", _BY_ORDER),
         _touched("customer_sessions", "session_date", "customer_id IN (SELECT customer_id FROM gone)")]) + ") x WHERE rewritten > 0",
 }
+
+BODIES |= {
+    "bucketed_gateway_margins": """
+SELECT payment_gateway, count(DISTINCT order_id) AS orders, count(*) AS lines, sum(quantity)::BIGINT AS units,
+       sum(gross_profit)::DECIMAL(20,2) AS gross_profit,
+       (sum(gross_profit) - (SELECT sum(o.discount_amount) FROM dw_fact_orders o WHERE o.payment_gateway = x.payment_gateway
+                               AND o.order_id IN (SELECT order_id FROM dw_fact_sales)))::DECIMAL(20,2) AS margin
+FROM dw_fact_sales JOIN (SELECT order_id, payment_gateway FROM dw_fact_orders) x USING (order_id) GROUP BY payment_gateway""",
+    "bucketed_dim_store": "SELECT * FROM dw_dim_store",
+    "distinct_by_sketch": """
+WITH f AS (SELECT o.order_id, o.customer_id, o.store_id, o.date_id, s.industry_category
+           FROM dw_fact_orders o JOIN dw_dim_store s ON s.store_id = o.store_id)
+SELECT grain, value, count(DISTINCT order_id) AS orders, count(DISTINCT customer_id) AS customers,
+       true AS orders_within_error, true AS customers_within_error
+FROM (SELECT 'store_id' AS grain, store_id::VARCHAR AS value, * FROM f
+      UNION ALL SELECT 'order_month', (date_id // 100)::VARCHAR, * FROM f
+      UNION ALL SELECT 'industry_category', industry_category, * FROM f
+      UNION ALL SELECT 'all', 'all', * FROM f) x GROUP BY grain, value""",
+}

@@ -547,3 +547,48 @@ register("erase_stored_items")(lambda s: _erased_table(s, "order_items", "order_
 register("erase_stored_sessions")(lambda s: _erased_table(s, "customer_sessions", "session_id", "store_id", "customer_id"))
 register("erase_stored_fact_sales")(lambda s: _erased_table(s, "dw_fact_sales", "order_item_id", "order_id", "customer_id", "gross_sales"))
 register("erase_stored_partitions")(_erased_partitions)
+
+
+# ---- catalogue tables bucketed by order, and distinct counts from sketches -----------------
+from ..plans import catalogue as _CAT  # noqa: E402
+
+
+def _catalogued(s):
+    """The warehouse in the catalogue, saved once for a star."""
+    if "catalogue" not in s.__dict__:
+        base = S.work_path(s.d.spark, "catalogue")
+        s.__dict__["catalogue"] = _CAT.save_catalogue(s, base, f"souq_{_os.path.basename(base)}", buckets=8)
+    return s.__dict__["catalogue"]
+
+
+def _bucketed_margins(s):
+    t = _catalogued(s)
+    return _CAT.gateway_margins(s.d.spark.table(t["dw_fact_sales"]), s.d.spark.table(t["dw_fact_orders"]))
+
+
+register("bucketed_gateway_margins")(_bucketed_margins)
+register("bucketed_dim_store")(lambda s: S.scan_whole_table(s.d.spark, _catalogued(s)["dw_dim_store"]))
+
+#: how far an estimate may be from the exact count: five standard errors of a sketch
+_SKETCH_BOUND = 5 * 1.04 / 2 ** (_SM.SKETCH_K / 2)
+
+
+def _distinct_by_sketch(s):
+    """Exact distinct counts at four grains, and whether the merged sketches are within their error of them."""
+    base, _, _ = _month_load(s)
+    marts, ws = _SM.StoredMarts(s.d.spark, base), _BLD.WrittenStar(s.d.spark, base, s.as_of)
+    fact = _BLD.with_month(ws.fact_orders).join(ws.dim_store.select("store_id", "industry_category"), "store_id")
+    parts = []
+    for grain in ("store_id", "order_month", "industry_category", None):
+        keys = [grain] if grain else []
+        exact = fact.groupBy(*keys).agg(F.countDistinct("order_id").alias("orders"), F.countDistinct("customer_id").alias("customers"))
+        near = marts.approx_distinct(*keys)
+        both = exact.join(near, keys) if keys else exact.withColumn("_1", F.lit(1)).join(near.withColumn("_1", F.lit(1)), "_1")
+        parts.append(both.select(
+            F.lit(grain or "all").alias("grain"), (F.col(grain).cast("string") if grain else F.lit("all")).alias("value"),
+            "orders", "customers",
+            *[(F.abs(F.col(f"approx_{c}") - F.col(c)) <= _SKETCH_BOUND * F.col(c) + 0.5).alias(f"{c}_within_error") for c in ("orders", "customers")]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+register("distinct_by_sketch")(_distinct_by_sketch)

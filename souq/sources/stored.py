@@ -170,7 +170,7 @@ class Load:
             return
         self._write(df, name, column)
         allowed = {f"{column}={v}" for v in touched}
-        found = {d for d in self.files.names(os.path.join(self.base, STAGING, name)) if "=" in d}
+        found = {d for d in self.files.names(self.place(name)) if "=" in d}
         if found - allowed:
             raise ValueError(f"{name}: rows outside the partitions to replace: {sorted(found - allowed)}")
         self.intent["replace"] += [f"{name}/{d}" for d in sorted(found)]
@@ -181,8 +181,12 @@ class Load:
         self.intent["stale"] += list(stale)
         self.intent["fresh"] += list(fresh)
 
+    def place(self, name: str) -> str:
+        """Where a table's new content is staged."""
+        return os.path.join(self.base, STAGING, name)
+
     def _write(self, df: DataFrame, name: str, partition: str | None) -> None:
-        path = os.path.join(self.base, STAGING, name)
+        path = self.place(name)
         if partition:
             # rows of a partition meet in few tasks, so it is few files; the
             # rebalance splits one too large for a task
