@@ -592,3 +592,12 @@ def _distinct_by_sketch(s):
 
 
 register("distinct_by_sketch")(_distinct_by_sketch)
+
+# ---- point-in-time features and inventory movement -----------------------------------------
+from . import inventory as IV  # noqa: E402
+from . import pointintime as PT  # noqa: E402
+
+register("features_at_order")(lambda s: PT.features_at_order(s.fact_orders, s.dim_store))
+register("features_at_order_fresh")(lambda s: PT.features_at_order(s.fact_orders, s.dim_store, max_age="3 days"))
+register("inventory_ledger")(lambda s: IV.inventory_ledger(s.d.inventory, s.fact_sales, s.d.returns))
+register("inventory_movement")(lambda s: IV.inventory_movement(s.d.inventory, s.fact_sales, s.d.returns))
