@@ -98,6 +98,17 @@ SELECT order_id, reconciliation_fail, boundary_fail FROM (
            AS reconciliation_fail,
          COALESCE(net_amount < 0 OR gross_amount < 0 OR order_date > {AS_OF_TS}, false) AS boundary_fail
   FROM d_orders) x WHERE reconciliation_fail OR boundary_fail""",
+    "stream_audit_state": f"""
+WITH c AS (
+  SELECT 'Financial Math Reconciliation (15% VAT + Fees)' AS check_name, order_id, order_date,
+         coalesce(abs(net_amount - (gross_amount - discount_amount + vat_amount + shipping_fee)) > 0.01, false) AS failed FROM d_orders
+  UNION ALL
+  SELECT 'Boundary & Timestamp Validation Check', order_id, order_date,
+         coalesce(net_amount < 0 OR gross_amount < 0 OR order_date > {AS_OF_TS}, false) FROM d_orders)
+SELECT check_name, count(*) AS checked_records, count(*) FILTER (failed) AS failed_records,
+       min(order_id) FILTER (failed) AS first_failed_order, max(order_date)::DATE AS latest_order,
+       count(*) FILTER (failed) = 0 AS passed, CASE WHEN count(*) FILTER (failed) = 0 THEN 'PASS' ELSE 'FAIL' END AS status
+FROM c GROUP BY check_name""",
     "stream_access_log": "WITH " + REQUESTS + """
 SELECT DISTINCT user_id, consent_status, strftime(date_trunc('minute', login_time), '%Y-%m-%d %H:%M:%S') AS login_minute
 FROM norm""",

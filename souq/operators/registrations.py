@@ -275,6 +275,8 @@ register("stream_purchase_counts_append")(lambda s: T.stream_purchase_counts(
     s.d.spark, s.d.sf_dir, *_stream(s, "purchases"), mode="append").select(
         F.to_date("window_start").alias("window_start"), "purchases", "purchase_value"))
 register("stream_dq_checks")(lambda s: T.stream_dq_checks(s.d.spark, s.d.sf_dir, *_stream(s, "dq"), s.as_of))
+register("stream_audit_state")(lambda s: T.stream_audit_state(s.d.spark, s.d.sf_dir, *_stream(s, "audit"), s.as_of)
+                               .withColumn("latest_order", F.to_date("latest_order")))
 register("stream_access_log")(lambda s: T.stream_access_log(s.d.spark, s.d.sf_dir, *_stream(s, "access"))
                               .select("user_id", "consent_status",
                                       F.date_format("login_minute", _TS).alias("login_minute")))
