@@ -1,14 +1,15 @@
 """Skew-safe positions within groups.
 
 A window ``partitionBy(g)`` runs each group in one task, so a group holding
-a third of the rows lands whole in one task.  :func:`value_ranks` splits each
-group before any per-group ordering.  It works on the (group, value) histogram
-(ties collapse map-side), splits every group into value buckets at cut points
-from a bounded ``percentile_approx`` sketch, deals the rows out anew by
-(group, bucket), and combines per-bucket counts (at most ``buckets`` rows per
-group) with a window inside each bucket.  The number of buckets follows the
-histogram's measured size.  The result is exact; the sketch only balances the
-buckets.
+a third of the rows lands whole in one task.  :func:`value_ranks` splits large
+groups before any per-group ordering.  It works on the (group, value) histogram
+(ties collapse map-side).  A group of up to ``BUCKET_VALUES`` values is one
+bucket and costs one window; a larger one is cut at points of a bounded
+``percentile_approx`` sketch of that group, and a part that is still too large
+is cut again by a sketch of its own, until all parts fit.  Rows are dealt out
+anew by (group, bucket), and the counts of a group's buckets are combined with
+a window inside each bucket.  The result is exact; the sketches only balance
+the buckets.
 
 Groups are compared null-safely: the NULL group is a group.
 """
@@ -30,12 +31,40 @@ def join_groups(left: DataFrame, right: DataFrame, cols: list[str], how: str = "
     return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in cols])
 
 
-#: values of a histogram that one bucket holds on average
+#: values that one bucket holds: a group of no more is not split
 BUCKET_VALUES = 100_000
 
+#: a sketch balances this many parts; a larger group is split in several rounds
+PARTS = 256
+
+
+def _split(hist: DataFrame, keys: list[str], bucket_values: int) -> DataFrame:
+    """Add ``_b``: the number of the row's part of its group, ascending with the value.
+
+    Each round looks at the parts with more than ``bucket_values`` values, and
+    only at them: a group's few cut points go to its own rows.
+    """
+    out = hist.withColumn("_b", F.lit(0).cast("decimal(38,0)"))
+    last = None
+    while True:
+        at = [*keys, "_b"]
+        large = out.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bucket_values)
+        found = cut_lineage(large)
+        left = tuple(found.agg(F.count(F.lit(1)), F.sum("_n")).first())
+        # a round that splits nothing ends it: sketches cannot tell the values apart
+        if not left[0] or left == last:
+            return out
+        last = left
+        v = F.col("_v").cast("double")
+        points = join_groups(out, found, at).groupBy(*at).agg(
+            F.array_distinct(F.percentile_approx(v, [i / PARTS for i in range(1, PARTS)], 4 * PARTS)).alias("_cuts"))
+        cut = join_groups(out, points, at, "left")
+        part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < v)), F.lit(0))
+        out = cut_lineage(cut.withColumn("_b", (F.col("_b") * PARTS + part).cast("decimal(38,0)")).drop("_cuts"))
+
 
 def value_ranks(df: DataFrame, group_cols: list[str], value_col: str, descending: bool = False,
-                buckets: int | None = None, accuracy: int = 1000) -> DataFrame:
+                bucket_values: int = BUCKET_VALUES) -> DataFrame:
     """One row per (group, distinct non-NULL value) with
 
     * ``n_before``: rows of the group strictly before the value in the
@@ -45,29 +74,18 @@ def value_ranks(df: DataFrame, group_cols: list[str], value_col: str, descending
     """
     v = F.col(value_col)
     hist = df.where(v.isNotNull()).groupBy(*group_cols, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    # the histogram feeds the sketch, the bucket counts and the in-bucket
-    # window: materialise it once (reliable checkpoint, shared folder) so the
-    # upstream plan is not recomputed for every branch
-    hist = cut_lineage(hist)
-    if buckets is None:
-        buckets = max(8, -(-hist.count() // BUCKET_VALUES))
-    fr = [i / buckets for i in range(1, buckets)]
-    sketch = F.percentile_approx(F.col("_v").cast("double"), fr, accuracy)
-    if group_cols:
-        cuts = hist.groupBy(*group_cols).agg(sketch.alias("_cuts"), F.sum("_c").alias("n_group"))
-        h = join_groups(hist, cuts, group_cols)
-    else:  # one global group: cut points and size are scalar subqueries
-        h = hist.withColumns({"_cuts": hist.select(sketch).scalar(),
-                              "n_group": hist.select(F.sum("_c")).scalar()})
-    vd = F.col("_v").cast("double")
-    h = h.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < vd))).drop("_cuts")
-    # The join above may leave a group in one task, which would satisfy the
-    # windows below without an exchange: deal the buckets out explicitly.
+    # the histogram feeds the sizes, the sketches, the bucket counts and the
+    # in-bucket window: materialise it once (reliable checkpoint, shared
+    # folder) so the upstream plan is not recomputed for every branch
+    h = _split(cut_lineage(hist), group_cols, bucket_values)
+    # An earlier exchange may leave a group in one task, which would satisfy the
+    # windows below without another: deal the buckets out explicitly.
     h = h.repartition(*group_cols, "_b")
     per_b = h.groupBy(*group_cols, "_b").agg(F.sum("_c").alias("_bc"))
     b_order = F.desc("_b") if descending else F.asc("_b")
-    w_b = Window.partitionBy(*group_cols).orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)
-    offs = per_b.select(*group_cols, "_b", F.coalesce(F.sum("_bc").over(w_b), F.lit(0)).alias("_off"))
+    whole = Window.partitionBy(*group_cols)
+    w_b = whole.orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)
+    offs = per_b.select(*group_cols, "_b", F.coalesce(F.sum("_bc").over(w_b), F.lit(0)).alias("_off"), F.sum("_bc").over(whole).alias("n_group"))
     v_order = F.desc("_v") if descending else F.asc("_v")
     w_v = Window.partitionBy(*group_cols, "_b").orderBy(v_order).rowsBetween(Window.unboundedPreceding, -1)
     h = h.withColumn("_in", F.coalesce(F.sum("_c").over(w_v), F.lit(0)))

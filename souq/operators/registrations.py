@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as _dt
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -34,10 +35,15 @@ register("dq_referential_integrity")(
 register("dq_boundary")(lambda s: G.dq_boundary(s.d.orders, s.as_of))
 
 
+def _days_ago(s, days):
+    """The date key of the day that many days before ``as_of``."""
+    return int((s.as_of - _dt.timedelta(days=days)).strftime("%Y%m%d"))
+
+
 def _stored_fact_orders(s):
-    """The stored order fact of a load that ended before the last month of orders."""
+    """The stored order fact of a load that ended a month before ``as_of``."""
     path = S.work_path(s.d.spark, "stored", "dw_fact_orders")
-    S.append_sink(S.conform(s.fact_orders.where(F.col("date_id") < 20010701), S.WAREHOUSE_SCHEMAS["dw_fact_orders"]), path)
+    S.append_sink(S.conform(s.fact_orders.where(F.col("date_id") < _days_ago(s, 32)), S.WAREHOUSE_SCHEMAS["dw_fact_orders"]), path)
     return S.scan_table(s.d.spark, path, S.WAREHOUSE_SCHEMAS["dw_fact_orders"])
 
 
@@ -63,8 +69,6 @@ register("fk_delete_sessions")(lambda s: G.erase(
 
 
 # ---- dashboard ----------------------------------------------------------------
-import datetime as _dt  # noqa: E402
-
 register("filter_optional_conjunction")(lambda s: B.filter_optional_conjunction(
     s.order_wide, region="ASIA", tier="Plus", dates=(_dt.date(1996, 1, 1), _dt.date(1999, 12, 31))))
 register("filter_payment_matrix")(lambda s: B.filter_optional_conjunction(
@@ -452,7 +456,9 @@ register("warehouse_incremental")(_incremental)
 # ---- loads that touch only some months, and what is kept up with them ------------------
 from ..plans import stored_marts as _SM  # noqa: E402
 
-_MOVED = (F.col("date_id").between(19960201, 19960229)) & (F.col("order_id") % 5 == 0)
+def _moved():
+    """Orders of February 1996 that a batch redates."""
+    return F.col("date_id").between(19960201, 19960229) & (F.col("order_id") % 5 == 0)
 
 
 class _BeforeBatch:
@@ -466,18 +472,18 @@ class _BeforeBatch:
         t = self._star.tables()
         out = {}
         for n in _BLD.FACTS:
-            f = t[n].where(F.col("date_id") < 20010601)
+            f = t[n].where(F.col("date_id") < _days_ago(self, 62))
             amount = "net_amount" if n == "dw_fact_orders" else "gross_profit"
-            out[n] = f.withColumn(amount, F.when(_MOVED, F.col(amount) + 1).otherwise(F.col(amount)).cast("decimal(10,2)")) \
-                .withColumn("date_id", F.when(_MOVED, F.lit(19951230)).otherwise(F.col("date_id")))
+            out[n] = f.withColumn(amount, F.when(_moved(), F.col(amount) + 1).otherwise(F.col(amount)).cast("decimal(10,2)")) \
+                .withColumn("date_id", F.when(_moved(), F.lit(19951230)).otherwise(F.col("date_id")))
         return {**t, **out}
 
 
 def _batch(star):
     """The rows that bring such a warehouse up to date."""
     t = star.tables()
-    late = F.col("date_id") >= 20010601
-    return {n: t[n].where(late | _MOVED) for n in _BLD.FACTS} | {"dw_dim_store": t["dw_dim_store"].where(F.col("store_id") % 3 == 0)}
+    late = F.col("date_id") >= _days_ago(star, 62)
+    return {n: t[n].where(late | _moved()) for n in _BLD.FACTS} | {"dw_dim_store": t["dw_dim_store"].where(F.col("store_id") % 3 == 0)}
 
 
 def _month_load(s):
