@@ -53,3 +53,40 @@ def checked_broadcast(df: DataFrame, rows: int | None = None, bound: int = BROAD
     """Hint a broadcast when the (materialised) frame has at most ``bound`` rows."""
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= bound else df
+
+
+def fresh_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, lengthened until they clash with none of ``columns``."""
+    lower, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in lower:
+            name += "_"
+        lower.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered_texts(docs: DataFrame, name: str) -> DataFrame:
+    """Add ``name``: a long that stands for one text.
+
+    It is the doc_id where that names one text only.  Where rows of one id
+    have different texts, each text of it gets a number of its own beyond all ids,
+    from a hash of id and text; null ids stay null.  Equal rows stay equal.
+    """
+    one, two = fresh_names(docs.columns, "__text", "__several")
+    hashed = docs.withColumn(one, F.xxhash64("text"))
+    doc = F.col("doc_id").cast("long")
+    several = persist_shared(hashed.where("doc_id is not null").groupBy(doc.alias("id"))
+                             .agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a <> b").select("id"))
+    n = several.count()
+    if not n:
+        return docs.withColumn(name, doc)
+    marked = hashed.join(checked_broadcast(several.select(F.col("id").alias(two)), n), doc == F.col(two), "left")
+    for salt in range(64):
+        number = F.shiftrightunsigned(F.xxhash64(F.col(two), F.col(one), F.lit(salt)), 2).bitwiseOR(F.lit(1 << 62))
+        given = persist_shared(marked.where(F.col(two).isNotNull()).select(two, one, number.alias("number")).distinct())
+        taken = docs.select(doc.alias("number")).join(given.select("number"), "number", "left_semi").isEmpty()
+        if taken and given.count() == given.select("number").distinct().count():
+            return marked.withColumn(name, F.when(F.col(two).isNotNull(), number).otherwise(doc)).drop(one, two)
+    raise RuntimeError("no free numbers for texts that share ids")
+

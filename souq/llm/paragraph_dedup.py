@@ -31,8 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import checked_broadcast, persist_shared, small_batches, table, write_shared
+from .common import (checked_broadcast, fresh_names, numbered_texts, persist_shared, small_batches, table,
+                     write_shared)
 from .components import connected_components
 from .lsh import band_hashes, exact_links, hash_family
 from .textops import Slice, fmix, shingle_hashes, slices, to_batch, word_bounds, word_hashes
@@ -295,7 +297,8 @@ def repeated_passages(docs: DataFrame, percent: int = 80, least: int = LEAST, br
     the smallest document, at its first place; an empty table gives an empty
     result.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     units = write_shared(docs.mapInArrow(_places, "doc_id long, pos int, n int, id long, bands array<long>"), "paragraphs")
     equal = units.groupBy("id").agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("e")).where("d <> e").select("id")
@@ -357,8 +360,8 @@ def _merged(spans: DataFrame, bridge: int, least: int) -> DataFrame:
         .where(F.col("n_words") >= least)
 
 
-def _cut(text_at: int, cuts_at: int):
-    """Texts without the words of their spans."""
+def _cut(text_at: int, cuts_at: int, left: str):
+    """Texts without the words of their spans, as a last column."""
     def run(batches):
         for b in batches:
             cuts, out = b.column(cuts_at).to_pylist(), []
@@ -376,27 +379,31 @@ def _cut(text_at: int, cuts_at: int):
                         after = x["first_word"] + x["n_words"]
                         at = int(starts[first[i] + after]) if after < n else end
                     out.append(b"".join([*parts, raw[at:end]]).decode("utf-8"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "__left"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, left])
     return run
 
 
 def remove_passages(docs: DataFrame, least: int = LEAST, **params) -> DataFrame:
     """``docs`` without the repeated passages: the same columns, the text cut, n_chars following it.
 
-    Documents of which nothing but separators is left go; all others stay,
-    empty and null texts as they were.
+    Different texts under one id are different documents here: each is cut at
+    its own passages only.  Documents of which nothing but separators is left
+    go; all others stay, empty and null texts as they were.
     """
-    removals = persist_shared(repeated_passages(docs, least=least, **params).where("not kept").groupBy("doc_id")
-                              .agg(F.collect_list(F.struct("first_word", "n_words")).alias("__cuts"))
-                              .withColumnRenamed("doc_id", "__doc"))
     columns = docs.columns
-    joined = docs.join(checked_broadcast(removals), docs["doc_id"] == removals["__doc"], "left")
-    touched = joined.where("__doc is not null").drop("__doc")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in touched.schema) + ", __left string"
-    cut = touched.mapInArrow(_cut(columns.index("text"), len(columns)), schema).where(F.trim(F.regexp_replace("__left", r"[\x09-\x0D]", " ")) != "")
-    new = {"text": F.col("__left"), "n_chars": F.length("__left").cast("long")}
+    number, doc, cuts, left = fresh_names(columns, "__number", "__doc", "__cuts", "__left")
+    texts = numbered_texts(docs, number)
+    found = repeated_passages(texts.select(F.col(number).alias("doc_id"), "text"), least=least, **params)
+    removals = persist_shared(found.where("not kept").groupBy(F.col("doc_id").alias(doc))
+                              .agg(F.collect_list(F.struct("first_word", "n_words")).alias(cuts)))
+    joined = texts.join(checked_broadcast(removals), F.col(number) == F.col(doc), "left").drop(number)
+    touched = joined.where(F.col(doc).isNotNull()).drop(doc)
+    schema = T.StructType([*touched.schema.fields, T.StructField(left, T.StringType())])
+    cut = touched.mapInArrow(_cut(columns.index("text"), len(columns), left), schema) \
+        .where(F.trim(F.regexp_replace(left, r"[\x09-\x0D]", " ")) != "")
+    new = {"text": F.col(left), "n_chars": F.length(left).cast("long")}
     cut = cut.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
-    return joined.where("__doc is null").select(*columns).union(cut)
+    return joined.where(F.col(doc).isNull()).select(*columns).union(cut)
 
 
 def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
