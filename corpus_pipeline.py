@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souq.llm.common import checked_broadcast, persist_shared, table, write_shared
+from souq.llm.common import checked_broadcast, fresh_names, numbered_texts, persist_shared, table, write_shared
 from souq.llm.decontaminate import remove_documents
 from souq.llm.labelled import with_score
 from souq.llm.minhash_dedup import near_duplicates
@@ -32,18 +32,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8.
 
-    Rows that repeat an id with the same text, or a text without id, are one document.
+    Different texts under one id are different documents: each goes or stays
+    by its own text.  Rows that repeat an id with the same text, or a text
+    without id, are one document.
     """
-    found = persist_shared(near_duplicates(docs, words=5, percent=80))
-    gone = found.where("not kept").select("doc_id").distinct()
-    left = docs.join(checked_broadcast(persist_shared(gone)), "doc_id", "left_anti").select(*docs.columns)
-    repeated = persist_shared(docs.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    columns = docs.columns
+    number, tie = fresh_names(columns, "__number", "__tie")
+    texts = numbered_texts(docs, number)
+    found = near_duplicates(texts.select(F.col(number).alias("doc_id"), "text"), words=5, percent=80)
+    gone = persist_shared(found.where("not kept").select(F.col("doc_id").alias(number)).distinct())
+    left = texts.join(checked_broadcast(gone), number, "left_anti")
+    hashed = left.withColumn(tie, F.xxhash64("text"))
+    repeated = persist_shared(hashed.groupBy(F.col(number).alias("id"), F.col(tie).alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     n = repeated.count()
     if not n:
-        return left
-    same = left["doc_id"].eqNullSafe(repeated["doc_id"]) & (F.xxhash64(left["text"]) == repeated["h"])
-    once = left.join(checked_broadcast(repeated, n), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(checked_broadcast(repeated, n), same, "left_anti").union(once)
+        return left.select(*columns)
+    same = F.col(number).eqNullSafe(F.col("r.id")) & (F.col(tie) == F.col("r.h"))
+    twice = checked_broadcast(repeated, n).alias("r")
+    once = hashed.join(twice, same, "left_semi").dropDuplicates([number, tie, "text"])
+    return hashed.join(twice, same, "left_anti").union(once).select(*columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
