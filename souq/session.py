@@ -99,10 +99,33 @@ def remove_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(remove)
 
 
+@contextlib.contextmanager
+def shuffles_end_with_actions(spark: SparkSession):
+    """Actions planned inside drop their shuffle files when they end.
+
+    For actions that write their whole result: nothing reads their shuffles
+    again, and a job of many steps would otherwise keep every step's shuffle
+    files on the executors' disks until it ends.  During the action a lost
+    executor's shuffle output is computed again as always.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, old)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    with shuffles_end_with_actions(spark):
+        return df.select("*").checkpoint(eager=True)  # planned anew, so that the setting holds
 
 
 def local_test_session(cores: int = 8) -> SparkSession:
