@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, cut_lineage, remove_at_exit
+from ..session import checkpoint_dir, cut_lineage, remove_at_exit, shuffles_end_with_actions
 
 # Rows per Arrow batch of the Python stages: texts can be long, so batches are
 # kept small enough for a worker to hold several of them.
@@ -45,7 +45,8 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     remove_at_exit(spark, path)
-    df.write.parquet(path)
+    with shuffles_end_with_actions(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
