@@ -106,7 +106,7 @@ def _bags(kept: np.ndarray):
                 p = place[bucket]
                 pair = np.unique(text[p >= 0] * BUCKETS + p[p >= 0])
                 cut = np.searchsorted(pair // BUCKETS, np.arange(s.n + 1))
-                p = (pair % BUCKETS).astype(np.uint16)
+                p = (pair % BUCKETS).astype(np.uint32)
                 bags += [p[cut[i]:cut[i + 1]].tobytes() for i in range(s.n)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(total, pa.int64()),
                                               pa.array(bags, pa.binary())], ["doc_id", "y", "n", "bag"])
@@ -149,15 +149,17 @@ def _train(bags: list[np.ndarray], n: np.ndarray, y: np.ndarray, weight: np.ndar
     return (1 - 0.75 * dropout) * (par[0] @ (par[1][:, 1] - par[1][:, 0])), par[2][1] - par[2][0]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, kept: int = 4096, dim: int = 8,
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, dim: int = 8,
                  epochs: int = 4, least_steps: int = 240, batch: int = 256, rate: float = 0.05, decay: float = 1e-5, dropout: float = 0.5,
                  least_chi: float = 10.0, seed: int = 0) -> SubwordSoftmax:
     """Fit on at most ``per_class`` labelled documents of each class, outside the held-out fold.
 
-    The ``kept`` buckets that tell the classes apart best (chi-square of the
-    sample's document counts, ``least_chi`` at least) have embeddings; others
-    count in the mean as zero vectors.  The sample's classes are weighted back to their shares
-    among all labels.  Everything on the driver is bounded by the parameters.
+    Every bucket that tells the classes apart beyond chance (chi-square of the
+    sample's document counts, ``least_chi`` at least) has an embedding; others
+    count in the mean as zero vectors: with few labels, embeddings of buckets
+    that only chance sets apart drown the others.  The sample's classes are
+    weighted back to their shares among all labels.  Everything on the driver
+    is bounded by the parameters and the number of buckets.
     """
     small_batches(docs.sparkSession)
     sample, counts = labelled_sample(docs, labels, "toxic", per_class)
@@ -174,14 +176,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, kept
     seen = df * (share / n)[:, None]
     both, p = seen.sum(axis=0), share[1] / share.sum()
     chi = (seen[1] - both * p) ** 2 / np.maximum(both * p * (1 - p), 1e-9)
-    best = np.argsort(-chi, kind="stable")[:kept]
-    best = best[:max(1, int((chi[best] * df.sum(axis=0)[best] / np.maximum(both[best], 1e-9) >= least_chi).sum()))]
+    order = np.argsort(-chi, kind="stable")
+    best = order[:max(1, int((chi * df.sum(axis=0) / np.maximum(both, 1e-9) >= least_chi).sum()))]
     t = sample.mapInArrow(_bags(best), "doc_id long, y int, n long, bag binary").toArrow() \
         .sort_by([("doc_id", "ascending"), ("bag", "ascending")])
     y = t.column("y").to_numpy().astype(np.int64)
     weight = (share / n)[y]
     steps = max(least_steps, epochs * math.ceil(len(y) / batch))
-    w, bias = _train([np.frombuffer(x, np.uint16) for x in t.column("bag").to_pylist()], t.column("n").to_numpy(), y,
+    w, bias = _train([np.frombuffer(x, np.uint32) for x in t.column("bag").to_pylist()], t.column("n").to_numpy(), y,
                      weight / weight.mean(), len(best), dim, steps, batch, rate, decay, dropout, seed)
     full = np.zeros(BUCKETS)
     full[best] = w
