@@ -39,12 +39,14 @@ PARTS = 256
 
 
 def _split(hist: DataFrame, keys: list[str], bucket_values: int) -> DataFrame:
-    """Add ``_b``: the number of the row's part of its group, ascending with the value.
+    """``hist``, materialised, with ``_b``: the number of the row's part of its group, ascending with the value.
 
+    ``_b`` is part of what is materialised: as a constant in the plan it would
+    be folded away, and with it the keys that deal rows out and join counts.
     Each round looks at the parts with more than ``bucket_values`` values, and
     only at them: a group's few cut points go to its own rows.
     """
-    out = hist.withColumn("_b", F.lit(0).cast("decimal(38,0)"))
+    out = cut_lineage(hist.withColumn("_b", F.lit(0).cast("decimal(38,0)")))
     last = None
     while True:
         at = [*keys, "_b"]
@@ -77,7 +79,7 @@ def value_ranks(df: DataFrame, group_cols: list[str], value_col: str, descending
     # the histogram feeds the sizes, the sketches, the bucket counts and the
     # in-bucket window: materialise it once (reliable checkpoint, shared
     # folder) so the upstream plan is not recomputed for every branch
-    h = _split(cut_lineage(hist), group_cols, bucket_values)
+    h = _split(hist, group_cols, bucket_values)
     # An earlier exchange may leave a group in one task, which would satisfy the
     # windows below without another: deal the buckets out explicitly.
     h = h.repartition(*group_cols, "_b")
