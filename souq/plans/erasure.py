@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.quality import deleted_by_cascade, nulled_edges, propagate_delete
-from ..session import cut_lineage
+from ..session import keep_keys
 from ..sources.constraints import FOREIGN_KEYS, PRIMARY_KEYS, WAREHOUSE_KEYS
 from ..sources.stored import Files, Load, recover
 from .build import FACTS, MONTH_COL
@@ -83,26 +83,35 @@ def erase_stored(spark: SparkSession, base: str, root: str, deleted_keys: DataFr
     for t in (missing | set(PRIMARY_KEYS)) - set(tables):
         columns = {PRIMARY_KEYS[t], *[fk for c, fk, _, _ in FOREIGN_KEYS if c == t]}
         tables[t] = spark.createDataFrame([], ", ".join(f"{c} long" for c in sorted(columns)))
+    few: list[bool] = []
+
+    def keep(keys: DataFrame) -> DataFrame:
+        kept, small = keep_keys(keys)
+        few.append(small)
+        return kept
+
     # each table's keys are read by the lookup, the rewrite and the next tables
-    deleted = deleted_by_cascade(tables, root, deleted_keys, keep=cut_lineage)
+    deleted = deleted_by_cascade(tables, root, deleted_keys, keep=keep)
+    # few keys leave the rows where they are read, in the files of their partitions
+    placed = all(few)
     done: dict[str, list] = {}
     for t in sorted(there & set(PRIMARY_KEYS)):
         nulls = nulled_edges(t, deleted)
         keys = [(fk, deleted[parent]) for fk, parent in nulls] + ([(PRIMARY_KEYS[t], deleted[t])] if t in deleted else [])
         if keys:
-            _rewrite(load, t, tables[t], PART if t in PLACED_BY else None, keys, deleted.get(t), nulls, deleted, done)
+            _rewrite(load, t, tables[t], PART if t in PLACED_BY else None, keys, deleted.get(t), nulls, deleted, done, placed)
     for name, key in WAREHOUSE_KEYS:
         source = MADE_FROM[name]
         if name in there and source in deleted:
             gone = deleted[source].select(F.col(PRIMARY_KEYS[source]).alias(key))
-            _rewrite(load, name, read_stored(spark, base, name), MONTH_COL if name in FACTS else None, [(key, gone)], gone, [], deleted, done)
+            _rewrite(load, name, read_stored(spark, base, name), MONTH_COL if name in FACTS else None, [(key, gone)], gone, [], deleted, done, placed)
     load.mark(stale=sorted({str(m) for n in FACTS for m in done.get(n, [])}))
     load.commit()
     return done
 
 
 def _rewrite(load: Load, name: str, df: DataFrame, column: str | None, keys: list[tuple[str, DataFrame]],
-             gone: DataFrame | None, nulls: list[tuple[str, str]], deleted: dict[str, DataFrame], done: dict[str, list]) -> None:
+             gone: DataFrame | None, nulls: list[tuple[str, str]], deleted: dict[str, DataFrame], done: dict[str, list], placed: bool) -> None:
     """Stage the partitions of one table that hold a hit, without the rows that go and with keys nulled."""
     parts = _hit_partitions(df if column else df.withColumn(PART, F.lit(0)), column or PART, keys)
     if not parts:
@@ -113,7 +122,7 @@ def _rewrite(load: Load, name: str, df: DataFrame, column: str | None, keys: lis
     for fk, parent in nulls:
         left = propagate_delete(left, fk, deleted[parent], "SET NULL")
     if column:
-        load.stage_partitions(name, left, column, parts)
+        load.stage_partitions(name, left, column, parts, placed)
     else:
         load.stage_table(name, left)
     done[name] = parts if column else []

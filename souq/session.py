@@ -9,6 +9,7 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings that matter at scale.  AQE re-plans joins from runtime sizes
 # (size-checked broadcast), coalesces small shuffle partitions and splits
@@ -99,6 +100,20 @@ def remove_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(remove)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A session setting for the actions inside."""
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, old)
+
+
 @contextlib.contextmanager
 def shuffles_end_with_actions(spark: SparkSession):
     """Actions planned inside drop their shuffle files when they end.
@@ -108,16 +123,8 @@ def shuffles_end_with_actions(spark: SparkSession):
     files on the executors' disks until it ends.  During the action a lost
     executor's shuffle output is computed again as always.
     """
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    old = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         yield
-    finally:
-        if old is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, old)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -128,6 +135,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)  # planned anew, so that the setting holds
 
 
+#: keys that a join may send to every task: 1 million longs are about 60 MB there
+BROADCAST_KEYS = 1_000_000
+
+
+def keep_keys(df: DataFrame, most: int = BROADCAST_KEYS) -> tuple[DataFrame, bool]:
+    """Materialise keys that several joins look up, and tell whether they are few.
+
+    Counted when they are there: few are sent to every task, so the tables
+    that look them up are not shuffled; more are joined by a shuffle.
+    """
+    kept = cut_lineage(df)
+    few = kept.count() <= most
+    return (F.broadcast(kept) if few else kept), few
+
+
 def local_test_session(cores: int = 8) -> SparkSession:
     os.environ.setdefault("PYSPARK_PYTHON", "python")
     spark = get_spark(

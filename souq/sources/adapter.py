@@ -132,6 +132,20 @@ def access_requests(events: DataFrame) -> DataFrame:
     )
 
 
+def returned_items(order_items: DataFrame) -> DataFrame:
+    """The returns among order items, wherever those are read from."""
+    k = F.col("order_id")
+    return order_items.where(F.col("l_returnflag") == "R").select(
+        F.col("order_item_id").alias("return_id"),
+        k.alias("order_id"),
+        F.col("product_id"),
+        pick(RETURN_REASONS, k).alias("return_reason"),
+        F.col("total_price").alias("refund_amount"),
+        pick(RETURN_STATUSES, k).alias("return_status"),
+        (F.col("ship_date") + _days(F.lit(7))).alias("requested_at"),
+    )
+
+
 class Domain:
     """Lazy domain tables over one driver directory."""
 
@@ -430,17 +444,7 @@ class Domain:
 
     @cached_property
     def returns(self) -> DataFrame:
-        it = self.order_items.where(F.col("l_returnflag") == "R")
-        k = F.col("order_id")
-        return it.select(
-            F.col("order_item_id").alias("return_id"),
-            k.alias("order_id"),
-            F.col("product_id"),
-            pick(RETURN_REASONS, k).alias("return_reason"),
-            F.col("total_price").alias("refund_amount"),
-            pick(RETURN_STATUSES, k).alias("return_status"),
-            (F.col("ship_date") + _days(F.lit(7))).alias("requested_at"),
-        )
+        return returned_items(self.order_items)
 
     @cached_property
     def customer_sessions(self) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint_dir, remove_at_exit
-from .stored import Files, recover, restore, swap
+from .stored import CODEC, Files, recover, restore, swap
 
 
 def work_path(spark: SparkSession, *parts: str) -> str:
@@ -25,6 +25,17 @@ def work_path(spark: SparkSession, *parts: str) -> str:
     return path
 
 
+def written_once(df: DataFrame) -> DataFrame:
+    """The same rows, computed here, once, and read back from files by whatever uses them.
+
+    For frames that several steps read: an exact copy costs one write, a plan that
+    is run again costs its shuffles again.
+    """
+    path = work_path(df.sparkSession, "once")
+    df.write.option("compression", CODEC).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # ---- S1-S3: scans -------------------------------------------------------------
 def scan_table(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None,
                where: str | None = None) -> DataFrame:
@@ -62,7 +73,7 @@ def truncate_reload(spark: SparkSession, tables: dict[str, DataFrame], base: str
     recover(spark, base)
     for name in (order or list(tables)):
         final, staging = os.path.join(base, name), os.path.join(base, f"_{name}__staging")
-        tables[name].write.mode("overwrite").parquet(staging)
+        tables[name].write.mode("overwrite").option("compression", CODEC).parquet(staging)
         swap(spark, staging, final)
         out[name] = final
     return out
