@@ -31,23 +31,48 @@ PARTIALS = ("mart_part_daily", "mart_part_product", "mart_part_customer", "mart_
 SKETCH_K = 14
 
 
-def partials(fact_orders: DataFrame, fact_sales: DataFrame) -> dict[str, DataFrame]:
-    """The mergeable partials of facts with their month column."""
+#: rows of a fact that one task aggregates to a part of a month's partial
+ROWS_PER_PART = 500_000
+
+
+def _dealt(fact: DataFrame, key: str, columns: list[str], parts: int) -> DataFrame:
+    """Rows dealt out once, by month and ``parts`` parts of ``key``.
+
+    Groups that hold month, ``_part`` and the key are whole in a task then, and
+    a partition of the result is ``parts`` files: neither the groups nor the
+    write deals the rows out again.
+    """
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("_part")
+    return fact.select(MONTH_COL, part, *columns).repartition(MONTH_COL, "_part")
+
+
+def partials(fact_orders: DataFrame, fact_sales: DataFrame, parts: tuple[int, int] = (1, 1)) -> dict[str, DataFrame]:
+    """The mergeable partials of facts with their month column.
+
+    ``parts``: in how many parts a month's orders and sales are aggregated.
+    """
     money = {"gross_amount": "gross", "discount_amount": "discounts", "vat_amount": "vat", "net_amount": "net"}
+    sums = ["gross_sales", "item_cost", "gross_profit"]
+
+    def by_store(columns: list[str]) -> DataFrame:
+        return _dealt(fact_orders, "store_id", ["store_id", "date_id", *columns], parts[0])
+
+    by_customer = _dealt(fact_orders, "customer_id", ["customer_id", "date_id", "order_id", "net_amount"], parts[0])
+    by_product = _dealt(fact_sales, "product_id", ["product_id", "quantity", *sums], parts[1])
     return {
-        "mart_part_daily": fact_orders.groupBy(MONTH_COL, "store_id", "date_id").agg(
+        "mart_part_daily": by_store(["order_id", *money]).groupBy(MONTH_COL, "_part", "store_id", "date_id").agg(
             F.countDistinct("order_id").alias("orders"), F.count("net_amount").alias("net_rows"),
-            *[F.sum(c).cast(DEC_SUM).alias(n) for c, n in money.items()]),
-        "mart_part_product": fact_sales.groupBy(MONTH_COL, "product_id").agg(
+            *[F.sum(c).cast(DEC_SUM).alias(n) for c, n in money.items()]).drop("_part"),
+        "mart_part_product": by_product.groupBy(MONTH_COL, "_part", "product_id").agg(
             F.sum("quantity").cast("long").alias("units"),
-            *[F.sum(c).cast(DEC_SUM).alias(c) for c in ("gross_sales", "item_cost", "gross_profit")]),
-        "mart_part_customer": fact_orders.groupBy(MONTH_COL, "customer_id").agg(
+            *[F.sum(c).cast(DEC_SUM).alias(c) for c in sums]).drop("_part"),
+        "mart_part_customer": by_customer.groupBy(MONTH_COL, "_part", "customer_id").agg(
             F.max("date_id").alias("last_date_id"), F.countDistinct("order_id").alias("orders"),
-            F.sum("net_amount").cast(DEC_SUM).alias("net")),
+            F.sum("net_amount").cast(DEC_SUM).alias("net")).drop("_part"),
         # distinct counts do not add up; sketches of them merge (L5, opt-in)
-        "mart_part_distinct": fact_orders.groupBy(MONTH_COL, "store_id", "date_id").agg(
+        "mart_part_distinct": by_store(["order_id", "customer_id"]).groupBy(MONTH_COL, "_part", "store_id", "date_id").agg(
             F.hll_sketch_agg("order_id", SKETCH_K).alias("order_sketch"),
-            F.hll_sketch_agg("customer_id", SKETCH_K).alias("customer_sketch")),
+            F.hll_sketch_agg("customer_id", SKETCH_K).alias("customer_sketch")).drop("_part"),
     }
 
 
@@ -69,11 +94,13 @@ def refresh(spark: SparkSession, base: str) -> list[int]:
     months = sorted(_months(orders) | _months(sales)) if whole else sorted(map(int, noted))
     if not whole:
         orders, sales = (f.where(F.col(MONTH_COL).isin(months)) for f in (orders, sales))
-    for name, df in partials(orders, sales).items():
+    # counts come from the files' footers
+    parts = tuple(-(-f.count() // (ROWS_PER_PART * max(1, len(months)))) or 1 for f in (orders, sales))
+    for name, df in partials(orders, sales, parts).items():
         if whole:
-            load.stage_table(name, df, MONTH_COL)
+            load.stage_table(name, df, MONTH_COL, placed=True)
         else:
-            load.stage_partitions(name, df, MONTH_COL, months)
+            load.stage_partitions(name, df, MONTH_COL, months, placed=True)
     load.mark(fresh=sorted(noted))
     load.commit()
     return months
