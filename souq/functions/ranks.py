@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -37,6 +37,23 @@ BUCKET_VALUES = 100_000
 #: a sketch balances this many parts; a larger group is split in several rounds
 PARTS = 256
 
+#: cut points are searched in steps of this many, then one by one
+STEP = 16
+
+#: values of a histogram for each of its tasks: they are few bytes, but each is searched, ordered and joined
+TASK_VALUES = 50_000
+
+
+def _part(v: Column) -> Column:
+    """How many of the sorted ``_cuts`` lie below the value."""
+    coarse = F.size(F.filter("_coarse", lambda c: c < v)) * STEP
+    return F.coalesce(coarse + F.size(F.filter(F.slice("_cuts", coarse + 1, STEP), lambda c: c < v)), F.lit(0))
+
+
+def _tasks(hist: DataFrame, values: int, at: list[str]) -> DataFrame:
+    """Dealt out for the work that each value is: its few bytes alone would be one task."""
+    return hist.repartition(max(hist.sparkSession.sparkContext.defaultParallelism, -(-values // TASK_VALUES)), *at)
+
 
 def _split(hist: DataFrame, keys: list[str], bucket_values: int) -> DataFrame:
     """``hist``, materialised, with ``_b``: the number of the row's part of its group, ascending with the value.
@@ -44,25 +61,29 @@ def _split(hist: DataFrame, keys: list[str], bucket_values: int) -> DataFrame:
     ``_b`` is part of what is materialised: as a constant in the plan it would
     be folded away, and with it the keys that deal rows out and join counts.
     Each round looks at the parts with more than ``bucket_values`` values, and
-    only at them: a group's few cut points go to its own rows.
+    only at them: a group's few cut points go to its own rows.  There is one
+    such part for at least ``bucket_values`` values, so their points are few
+    enough to go to every task.
     """
+    at = [*keys, "_b"]
     out = cut_lineage(hist.withColumn("_b", F.lit(0).cast("decimal(38,0)")))
     last = None
     while True:
-        at = [*keys, "_b"]
         large = out.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bucket_values)
         found = cut_lineage(large)
         left = tuple(found.agg(F.count(F.lit(1)), F.sum("_n")).first())
         # a round that splits nothing ends it: sketches cannot tell the values apart
         if not left[0] or left == last:
             return out
+        if last is None:
+            out = _tasks(out, left[1], [*keys, "_v"])
         last = left
         v = F.col("_v").cast("double")
-        points = join_groups(out, found, at).groupBy(*at).agg(
-            F.array_distinct(F.percentile_approx(v, [i / PARTS for i in range(1, PARTS)], 4 * PARTS)).alias("_cuts"))
-        cut = join_groups(out, points, at, "left")
-        part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < v)), F.lit(0))
-        out = cut_lineage(cut.withColumn("_b", (F.col("_b") * PARTS + part).cast("decimal(38,0)")).drop("_cuts"))
+        points = join_groups(out, F.broadcast(found), at).groupBy(*at).agg(
+            F.array_distinct(F.percentile_approx(v, [i / PARTS for i in range(1, PARTS)], 4 * PARTS)).alias("_cuts")) \
+            .withColumn("_coarse", F.filter("_cuts", lambda c, i: i % STEP == STEP - 1))
+        cut = join_groups(out, F.broadcast(points), at, "left")
+        out = cut_lineage(cut.withColumn("_b", (F.col("_b") * PARTS + _part(v)).cast("decimal(38,0)")).drop("_cuts", "_coarse"))
 
 
 def value_ranks(df: DataFrame, group_cols: list[str], value_col: str, descending: bool = False,

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import DEC_SUM, safe_ratio
 from ..functions.ranks import join_groups, value_ranks
-from ..session import checkpoint_dir, remove_at_exit
+from ..session import checkpoint_dir, cut_lineage, remove_at_exit
 
 # ---------------------------------------------------------------------------
 # Features, forest sizes, weights of the synthetic target,
@@ -105,6 +105,7 @@ def stratified_split(df: DataFrame, id_col: str, strata: list[str] | None = None
     # beyond 2^32 ids can share a hash: the id's upper part orders them
     x = df.withColumn("_h", id_hash(id_col, seed).cast("decimal(20,0)") * F.lit(HASH_MOD)
                       + F.shiftright(F.col(id_col).cast("long"), 32))
+    x = cut_lineage(x)  # ranked and joined back: what it is made from runs once
     r = value_ranks(x, strata, "_h").select(*strata, "_h", "n_before", "n_group")
     x = join_groups(x, r, [*strata, "_h"])
     k = F.round(F.col("n_group").cast("double") * F.lit(float(test_fraction)))
@@ -156,7 +157,8 @@ def _cast_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in cols})
 
 
-ROWS_PER_PARTITION = 100_000
+#: a task of a forest's training works on each of its rows for every tree and level
+ROWS_PER_PARTITION = 10_000
 
 
 def stable_layout(df: DataFrame, id_col: str, rows: int | None = None) -> DataFrame:
@@ -181,13 +183,13 @@ def clv_split(features: DataFrame) -> DataFrame:
 
 def train_churn(features: DataFrame, **kw) -> tuple[PipelineModel, DataFrame]:
     """Fit on the training split; returns (model, split frame)."""
-    split = churn_split(features)
+    split = cut_lineage(churn_split(features))  # counted, weighted, laid out and fitted
     train = stable_layout(with_balanced_weights(split.where(~F.col("is_test"))), "merchant_id")
     return churn_pipeline(**kw).fit(train), split
 
 
 def train_clv(features: DataFrame, **kw) -> tuple[PipelineModel, DataFrame]:
-    split = clv_split(features)
+    split = cut_lineage(clv_split(features))
     return clv_pipeline(**kw).fit(stable_layout(split.where(~F.col("is_test")), "customer_id")), split
 
 
