@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_from_key
 from ..functions.prefix import running_sum
+from ..sources.sinks import written_once
 
 #: states of a return whose goods are back in stock
 RESTOCKED = ("Approved", "Refunded")
@@ -48,7 +49,8 @@ def inventory_ledger(inventory: DataFrame, fact_sales: DataFrame, returns: DataF
     Movements of a product are ordered by day, returns before sales, then by id.
     """
     stock = inventory.groupBy("product_id").agg(F.max_by("stock_quantity", "inventory_id").cast("long").alias("stock"))
-    moves = movements(fact_sales, returns)
+    # summed up three ways, each of which would number and join the lines again
+    moves = written_once(movements(fact_sales, returns))
     opening = moves.groupBy("product_id").agg(F.sum("change").alias("all_changes")).join(stock, "product_id") \
         .select("product_id", (F.col("stock") - F.col("all_changes")).alias("opening"))
     summed = running_sum(moves, ["product_id"], F.col("moved_on"), ["moved_on", "kind", "ref_id"], "change", "moved")
