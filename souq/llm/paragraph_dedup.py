@@ -301,11 +301,13 @@ def repeated_passages(docs: DataFrame, percent: int = 80, least: int = LEAST, br
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     units = write_shared(docs.mapInArrow(_places, "doc_id long, pos int, n int, id long, bands array<long>"), "paragraphs")
-    equal = units.groupBy("id").agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("e")).where("d <> e").select("id")
     similar = _similar(docs, units, percent, chunk_shingles)
-    wanted = persist_shared(equal.join(similar, "id", "full_outer").select("id", F.coalesce("root", "id").alias("root")))
-    where = persist_shared(units.select("doc_id", "pos", "n", "id").join(checked_broadcast(wanted), "id")
-                           .select("doc_id", "pos", "n", "root").distinct())
+    # paragraphs of several documents are found where their places meet, so every place is sent once
+    same = Window.partitionBy("id")
+    where = persist_shared(units.select("doc_id", "pos", "n", "id")
+                           .withColumn("d", F.min("doc_id").over(same)).withColumn("e", F.max("doc_id").over(same))
+                           .join(similar, "id", "left").where("d <> e or root is not null")
+                           .select("doc_id", "pos", "n", F.coalesce("root", "id").alias("root")).distinct())
     keeper = where.groupBy("root").agg(F.min(F.struct("doc_id", "pos", "n")).alias("k"), F.max("doc_id").alias("hi")) \
         .where("k.doc_id <> hi").select("root", F.col("k.doc_id").alias("keeper"), F.col("k.pos").alias("k_pos"), F.col("k.n").alias("k_n"))
     # chains: paragraphs of a document, in order, that repeat the same one at the same distance
@@ -332,8 +334,9 @@ def repeated_passages(docs: DataFrame, percent: int = 80, least: int = LEAST, br
         .groupBy("doc_id").agg(F.collect_set(F.struct("first", "end", "key", "gaps")).alias("at"))
     asked = persist_shared(asked)
     some = docs.join(checked_broadcast(asked.select("doc_id")), "doc_id", "left_semi")
-    context = persist_shared(some.join(asked, "doc_id").select("doc_id", "text", "at").mapInArrow(_contexts, CONTEXT_DDL)
-                             .dropDuplicates(["doc_id", "first", "end", "key"]))
+    # not kept: both joins read the one shuffle that drops the repeated rows
+    context = some.join(asked, "doc_id").select("doc_id", "text", "at").mapInArrow(_contexts, CONTEXT_DDL) \
+        .dropDuplicates(["doc_id", "first", "end", "key"])
     kept = context.select(F.col("doc_id").alias("keeper"), F.col("first").alias("k_first"), F.col("end").alias("k_end"),
                           F.col("key").alias("k_key"), F.col("before").alias("k_before"), F.col("after").alias("k_after"),
                           F.col("inside").alias("k_inside"))

@@ -126,3 +126,24 @@ def test_different_words_between_shared_ones_stay(spark):
     assert got == {(3, 0, 50, 3, True), (3, 80, 60, 3, True), (4, 0, 50, 3, False), (4, 80, 60, 3, False)}
     left = {r.doc_id: r.text.split() for r in P.remove_passages(df).collect()}
     assert left[2] == [*short[0], *other[0], *short[1]] and left[4] == other[1]
+
+
+def test_places_and_contexts_are_shuffled_once(spark, monkeypatch):
+    """Which places repeat is found where the places meet, and both joins of the contexts read one shuffle."""
+    kept, persist = [], P.persist_shared
+    monkeypatch.setattr(P, "persist_shared", lambda df: (kept.append(df), persist(df))[1])
+    passage = " ".join(f"shared{i}" for i in range(70))
+    rows = [(d, f"own{d} text{d} " + passage + f" tail{d}") for d in range(6)] + [(9, " ".join(f"other{i}" for i in range(90)))]
+    got = P.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("not kept").collect()
+    assert sorted((r.doc_id, r.first_word, r.n_words, r.component_id) for r in got) == [(d, 0, 73, 0) for d in range(1, 6)]
+    scans = [df for df in kept if "id" in df.columns or "root" in df.columns]
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in scans]
+    places = [p for p in plans if "pos:int" in p]  # reads whole places
+    assert len(places) == 1 and "Window" in places[0]
+    # no other step groups all places by id
+    assert not [df for df in kept if df.columns == ["id", "root"]]
+    assert not [df for df in kept if "before" in df.columns]
+    spans = next(df for df in kept if df.columns == P.WIDE.names)
+    spans.collect()
+    final = spans._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert final.count("MapInArrow _contexts") == 1 and "ReusedExchange" in final
