@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import DEC_SUM
+from ..session import setting
 from ..sources.sinks import WAREHOUSE_SCHEMAS, conform
 from ..sources.stored import Files, Load, recover
 from .build import FACTS
@@ -26,6 +27,9 @@ from .star import Star
 BUCKET_KEY = "order_id"
 _MARK = "_buckets_"
 
+#: lines that a task sorts and writes to a bucket
+ROWS_PER_BUCKET = 1_000_000
+
 
 def _database(spark: SparkSession, base: str, database: str) -> None:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{base}/_database'")
@@ -35,8 +39,11 @@ def _stage_bucketed(load: Load, name: str, df: DataFrame, buckets: int, database
     """Write a table as ``buckets`` sorted files by ``BUCKET_KEY`` into the load's staging folder."""
     path = load.place(name)
     temporary = f"`{database}`.staged_{uuid.uuid4().hex}"  # bucketed files are only written through a table
-    df.repartition(buckets, BUCKET_KEY).write.mode("overwrite").bucketBy(buckets, BUCKET_KEY).sortBy(BUCKET_KEY) \
-        .option("path", path).format("parquet").saveAsTable(temporary)
+    # joins by the key make as many parts as there are buckets, so that their rows are not dealt out again
+    with setting(load.spark, "spark.sql.shuffle.partitions", str(buckets)), \
+            setting(load.spark, "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(buckets)):
+        df.repartition(buckets, BUCKET_KEY).write.mode("overwrite").bucketBy(buckets, BUCKET_KEY).sortBy(BUCKET_KEY) \
+            .option("path", path).format("parquet").saveAsTable(temporary)
     load.spark.sql(f"DROP TABLE {temporary}")  # the definition goes, the files stay
     load.files.write(os.path.join(path, f"{_MARK}{buckets}"), "")
     load.intent["replace"].append(name)
@@ -79,7 +86,7 @@ def save_catalogue(star: Star, base: str, database: str, buckets: int = 64) -> d
     spark = star.d.spark
     load = Load(spark, base)
     _database(spark, base, database)
-    for name, df in star.tables().items():
+    for name, df in star.tables_by_order(buckets).items():
         if name not in WAREHOUSE_SCHEMAS:
             continue
         df = conform(df, WAREHOUSE_SCHEMAS[name])

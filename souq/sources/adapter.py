@@ -132,6 +132,35 @@ def access_requests(events: DataFrame) -> DataFrame:
     )
 
 
+def numbered_items(li: DataFrame) -> DataFrame:
+    """The order items made of lines, wherever those are read from or dealt to."""
+    others = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+              "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    # Lines are numbered within (order, salt), and the salt is the number's
+    # remainder: unique within the order after one scan and one shuffle,
+    # and an order holding a third of all lines is spread over its salts.
+    # A query that does not output the id drops the window with it.
+    salt = (F.col("l_partkey") + F.col("l_suppkey") + F.col("l_linenumber")) % ITEM_SALTS
+    within = F.row_number().over(Window.partitionBy("l_orderkey", "_salt").orderBy(*others))
+    li = li.withColumn("_salt", salt).withColumn("_line_no", (within - 1) * ITEM_SALTS + F.col("_salt") + 1)
+    unit = money(F.col("l_extendedprice"))
+    qty = F.col("l_quantity").cast("int")
+    return li.select(
+        # an order with more lines than its ids would run into the next one's: fail loudly
+        F.when(F.col("_line_no") < LINES_PER_ORDER, F.col("l_orderkey") * LINES_PER_ORDER + F.col("_line_no"))
+        .otherwise(F.raise_error(F.lit(f"an order has {LINES_PER_ORDER} lines or more")).cast("long"))
+        .alias("order_item_id"),
+        F.col("l_orderkey").alias("order_id"),
+        F.col("l_partkey").alias("product_id"),
+        qty.alias("quantity"),
+        unit.alias("unit_price"),
+        (unit * qty).cast(DEC).alias("total_price"),
+        F.col("l_linenumber").alias("line_number"),
+        F.col("l_returnflag"),
+        F.col("l_shipdate").cast("timestamp").alias("ship_date"),
+    )
+
+
 def returned_items(order_items: DataFrame) -> DataFrame:
     """The returns among order items, wherever those are read from."""
     k = F.col("order_id")
@@ -381,32 +410,15 @@ class Domain:
 
     @cached_property
     def order_items(self) -> DataFrame:
-        li = self.raw("lineitem")
-        others = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-                  "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-        # Lines are numbered within (order, salt), and the salt is the number's
-        # remainder: unique within the order after one scan and one shuffle,
-        # and an order holding a third of all lines is spread over its salts.
-        # A query that does not output the id drops the window with it.
-        salt = (F.col("l_partkey") + F.col("l_suppkey") + F.col("l_linenumber")) % ITEM_SALTS
-        within = F.row_number().over(Window.partitionBy("l_orderkey", "_salt").orderBy(*others))
-        li = li.withColumn("_salt", salt).withColumn("_line_no", (within - 1) * ITEM_SALTS + F.col("_salt") + 1)
-        unit = money(F.col("l_extendedprice"))
-        qty = F.col("l_quantity").cast("int")
-        return li.select(
-            # an order with more lines than its ids would run into the next one's: fail loudly
-            F.when(F.col("_line_no") < LINES_PER_ORDER, F.col("l_orderkey") * LINES_PER_ORDER + F.col("_line_no"))
-            .otherwise(F.raise_error(F.lit(f"an order has {LINES_PER_ORDER} lines or more")).cast("long"))
-            .alias("order_item_id"),
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_partkey").alias("product_id"),
-            qty.alias("quantity"),
-            unit.alias("unit_price"),
-            (unit * qty).cast(DEC).alias("total_price"),
-            F.col("l_linenumber").alias("line_number"),
-            F.col("l_returnflag"),
-            F.col("l_shipdate").cast("timestamp").alias("ship_date"),
-        )
+        return numbered_items(self.raw("lineitem"))
+
+    def order_items_dealt(self, parts: int) -> DataFrame:
+        """The order items with their lines dealt out once, by order, before they are numbered.
+
+        Numbering them, joining them by order and storing them by order in ``parts`` buckets deals
+        nothing out again.  An order is whole in a task: only for results that bring it together anyway.
+        """
+        return numbered_items(self.raw("lineitem").repartition(parts, "l_orderkey"))
 
     @cached_property
     def payments(self) -> DataFrame:

@@ -5,9 +5,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from souq.operators import registrations as R
 from souq.plans import catalogue as CAT
 from souq.plans import stored_marts as SM
 from souq.queries import star_for
+from souq.session import setting
 from souq.sources.sinks import WAREHOUSE_SCHEMAS
 
 from .conftest import SMOKE_DIR
@@ -47,6 +49,30 @@ def test_stored_sales_and_orders_meet_without_a_shuffle(spark, tmp_path, no_broa
         assert stored.count() == s.tables()[name].count()
 
 
+def test_lines_are_dealt_out_once_on_their_way_into_buckets(spark, no_broadcast):
+    s = star_for(spark, SMOKE_DIR)
+    orders = s.d.orders.select("order_id", "store_id")
+    with setting(spark, "spark.sql.shuffle.partitions", "4"):
+        plan = final_plan(s.d.order_items_dealt(4).join(orders, "order_id").repartition(4, "order_id"))
+    assert "Window" in plan and "SortMergeJoin" in plan
+    assert plan.count("Exchange hashpartitioning") == 2  # the lines, and the orders they meet
+    dealt, plain = s.tables_by_order(4), s.tables()
+    assert dealt.keys() == plain.keys()
+    assert dealt["dw_fact_sales"].exceptAll(plain["dw_fact_sales"]).count() == 0
+    assert plain["dw_fact_sales"].exceptAll(dealt["dw_fact_sales"]).count() == 0
+
+
+def test_the_number_of_buckets_follows_the_lines(spark, monkeypatch):
+    s = star_for(spark, SMOKE_DIR)
+    lines = s.d.raw("lineitem").count()
+    monkeypatch.setattr(CAT, "ROWS_PER_BUCKET", lines // 11)
+    t = R._catalogued(s)
+    for fact in ("dw_fact_sales", "dw_fact_orders"):
+        assert f"INTO {-(-lines // (lines // 11))} BUCKETS" in spark.sql(f"SHOW CREATE TABLE {t[fact]}").first()[0]
+    assert spark.table(t["dw_fact_sales"]).exceptAll(s.fact_sales).count() == 0
+    assert spark.table(t["dw_fact_sales"]).count() == s.fact_sales.count()
+
+
 def test_definitions_follow_the_files(spark, tmp_path):
     s = star_for(spark, SMOKE_DIR)
     base = str(tmp_path / "w")
