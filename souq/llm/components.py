@@ -3,7 +3,7 @@
 Every step is a join of the edges with one minimum per node, so a hub with a
 third of all edges is combined map-side and split by adaptive skew joins; no
 neighbour list is ever gathered.  Edges and labels stay distributed; the
-driver sees one row (a count and a checksum) per round.
+driver sees one row per round: whether the edges are stars.
 """
 
 from __future__ import annotations
@@ -14,17 +14,28 @@ from pyspark.sql import functions as F
 from .common import persist_shared
 
 
+def _both_ways(e: DataFrame) -> DataFrame:
+    there, back = F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
+    return e.select(F.inline(F.array(there, back)))
+
+
 def _large_star(e: DataFrame) -> DataFrame:
-    both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _both_ways(e)
     low = both.groupBy("u").agg(F.min("v").alias("m"))
     return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    # edges run from the larger node u to the smaller node v
+    # edges run from the larger node u to the smaller node v; the one to the smallest links u itself
     low = e.groupBy("u").agg(F.min("v").alias("m"))
-    rest = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.union(low.select("u", F.col("m").alias("v"))).distinct()
+    return e.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
+                                   F.col("m").alias("v")).distinct()
+
+
+def _are_stars(e: DataFrame) -> bool:
+    """Whether every node that has a smaller neighbour has no other: no round would change an edge."""
+    seen = _both_ways(e).groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x"))
+    return not seen.agg(F.coalesce(F.max((F.col("m") < F.col("u")) & (F.col("m") < F.col("x"))), F.lit(False))).first()[0]
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -37,12 +48,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     a, b = F.col(a), F.col(b)
     e = persist_shared(edges.where(a.isNotNull() & b.isNotNull() & (a != b))
                        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    state = None
-    while True:
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now[0] == 0 or tuple(now) == state:
-            break
-        state = tuple(now)
+    while not _are_stars(e):
         e = persist_shared(_small_star(_large_star(e)))
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")) \
         .union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -41,19 +41,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
 
 def collect_features(sample: DataFrame, features: Callable[[pa.Array], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows (float32) and labels of a bounded sample, in id order."""
+    """Feature rows (float32) and labels of a bounded sample, in id order.
+
+    Only what is not zero is sent: each row's positions, then its values.
+    """
     def run(batches):
         for b in batches:
-            x = features(b.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
+            sent = []
+            for r in features(b.column("text")):
+                at = np.flatnonzero(r)
+                sent.append(at.astype(np.uint32).tobytes() + r[at].astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(sent, pa.binary())], ["doc_id", "y", "x"])
     small_batches(sample.sparkSession)
     t = sample.select(F.col("doc_id").cast("long"), F.col("y").cast("int"), "text") \
         .mapInArrow(run, "doc_id long, y int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     if not t.num_rows:
         return np.zeros((0, 1), np.float32), np.zeros(0, np.int64)
-    x = np.concatenate([np.frombuffer(r.as_py(), np.float32) for r in t.column("x")])
-    return x.reshape(t.num_rows, -1), t.column("y").to_numpy().astype(np.int64)
+    x = np.zeros((t.num_rows, features(pa.array([""])).shape[1]), np.float32)
+    for i, r in enumerate(t.column("x")):
+        at, values = np.split(np.frombuffer(r.as_py(), np.uint32), 2)
+        x[i, at] = values.view(np.float32)
+    return x, t.column("y").to_numpy().astype(np.int64)
 
 
 def with_score(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], name: str = "score") -> DataFrame:

@@ -2,10 +2,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from souq.llm import quality as Q
 from souq.llm import toxicity as X
+from souq.llm.labelled import collect_features
 
 CHECK = "/root/testdata/sf0.1"
 
@@ -37,6 +39,17 @@ def test_odd_rows_and_labels(spark, odd, score, label):
     assert {r.score for r in score(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_the_sample_is_sent_without_its_zeros(spark, monkeypatch):
+    """The driver gets far fewer bytes than the features take, and the same features."""
+    rows = [(i, i % 2, f"Some plain words of text {i}, " * (1 + i % 3) if i else "") for i in range(200)]
+    sample = spark.createDataFrame(rows, "doc_id long, y int, text string")
+    sent, arrow = [], type(sample).toArrow
+    monkeypatch.setattr(type(sample), "toArrow", lambda self: sent.append(arrow(self)) or sent[-1])
+    x, y = collect_features(sample, Q.features)
+    assert (x == Q.features(pa.array([r[2] for r in rows]))).all() and x.dtype == np.float32 and y.tolist() == [r[1] for r in rows]
+    assert sent[0].nbytes < x.nbytes / 4
+
+
 def test_misspelt_words_share_vectors(spark):
     g = np.random.default_rng(2)
     letters = list("abcdefghij")

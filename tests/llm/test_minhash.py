@@ -55,3 +55,28 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r.node: r.root for r in components.connected_components(e).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100} | {200 + i: 100 for i in range(50)}
     assert components.connected_components(e.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_match_a_union(spark, seed):
+    """Sparse random edges (long paths, hubs, cycles), with repeats, loops, both directions and null ends."""
+    g = np.random.default_rng(seed)
+    pairs = [tuple(map(int, p)) for p in g.integers(0, 60, (45, 2))] + [(100, 100 + i) for i in range(1, 9)]
+    pairs += [(b, a) for a, b in pairs[:10]] + pairs[:5] + [(7, 7)]
+    label = {n: n for p in pairs for n in p}
+    for a, b in pairs * len(pairs):
+        label[a] = label[b] = min(label[a], label[b])
+    linked = {n for a, b in pairs if a != b for n in (a, b)}
+    e = spark.createDataFrame([*pairs, (None, 3), (4, None)], "a long, b long")
+    got = [tuple(r) for r in components.connected_components(e).collect()]
+    assert sorted(got) == sorted((n, label[n]) for n in linked)
+
+
+def test_edges_that_are_stars_take_no_round(spark, monkeypatch):
+    """Each round deals the edges out five times; one more round to see that nothing changes is not needed."""
+    kept = []
+    persist = components.persist_shared
+    monkeypatch.setattr(components, "persist_shared", lambda df: kept.append(1) or persist(df))
+    e = spark.createDataFrame([(1, 2), (3, 1), (1, 4), (8, 9)], "a long, b long")
+    got = {r.node: r.root for r in components.connected_components(e).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8} and len(kept) == 1
