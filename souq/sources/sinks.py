@@ -7,6 +7,7 @@ driver.  Paths default to the shared checkpoint folder the cluster names in
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir, remove_at_exit
+from ..session import checkpoint_dir, remove_at_exit, shuffles_end_with_actions
 from .stored import CODEC, Files, recover, restore, swap
 
 
@@ -32,10 +33,23 @@ def written_once(df: DataFrame) -> DataFrame:
     is run again costs its shuffles again.
     """
     path = work_path(df.sparkSession, "once")
-    df.write.option("compression", CODEC).parquet(path)
+    with shuffles_end_with_actions(df.sparkSession):
+        df.write.option("compression", CODEC).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def written_while(df: DataFrame):
+    """The rows of :func:`written_once` for the steps inside; their files go when those are done."""
+    path = work_path(df.sparkSession, "once")
+    try:
+        with shuffles_end_with_actions(df.sparkSession):
+            df.write.option("compression", CODEC).parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        Files(df.sparkSession, path).delete(path)
+
+
 # ---- S1-S3: scans -------------------------------------------------------------
 def scan_table(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None,
                where: str | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import setting
+from ..session import setting, shuffles_end_with_actions
 
 STAGING = "_staging"
 INTENT = "_intent.json"
@@ -163,6 +163,7 @@ class Load:
         recover(spark, base, self.files)
         self.files.delete(os.path.join(base, STAGING))
         self.intent: dict[str, list] = {"replace": [], "remove": [], "stale": [], "fresh": []}
+        self.touched: dict[str, set[str]] = {}  # partitions staged so far, by table
 
     def stage_table(self, name: str, df: DataFrame, partition: str | None = None, placed: bool = False) -> None:
         """The whole table anew; ``placed`` as for :meth:`stage_partitions`."""
@@ -174,16 +175,19 @@ class Load:
 
         ``placed`` says that few partitions meet in a task already, as in rows
         read from stored partitions: they are written without another shuffle.
+        Further calls for a table stage further partitions of it.
 
         A row outside the touched partitions is an error, found before anything stored changes.
         """
         if not touched:
             return
-        self._write(df, name, column, placed)
+        before = self.touched.setdefault(name, set())
+        self._write(df, name, column, placed, "append" if before else "overwrite")
         allowed = {f"{column}={v}" for v in touched}
-        found = {d for d in self.files.names(self.place(name)) if "=" in d}
+        found = {d for d in self.files.names(self.place(name)) if "=" in d} - before
         if found - allowed:
             raise ValueError(f"{name}: rows outside the partitions to replace: {sorted(found - allowed)}")
+        before |= allowed
         self.intent["replace"] += [f"{name}/{d}" for d in sorted(found)]
         self.intent["remove"] += [f"{name}/{d}" for d in sorted(allowed - found)]
 
@@ -196,16 +200,17 @@ class Load:
         """Where a table's new content is staged."""
         return os.path.join(self.base, STAGING, name)
 
-    def _write(self, df: DataFrame, name: str, partition: str | None, placed: bool = False) -> None:
+    def _write(self, df: DataFrame, name: str, partition: str | None, placed: bool = False, mode: str = "overwrite") -> None:
         path = self.place(name)
         if not partition:
-            df.write.mode("overwrite").option("compression", CODEC).parquet(path)
+            with shuffles_end_with_actions(self.spark):
+                df.write.mode(mode).option("compression", CODEC).parquet(path)
             return
         # rows of a partition meet in few tasks, so it is few files; the
         # rebalance splits one too large for a task
         rows = df if placed else df.hint("rebalance", partition)
-        with setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", str(OPEN_FILES)):
-            rows.write.mode("overwrite").option("compression", CODEC).partitionBy(partition).parquet(path)
+        with setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", str(OPEN_FILES)), shuffles_end_with_actions(self.spark):
+            rows.write.mode(mode).option("compression", CODEC).partitionBy(partition).parquet(path)
 
     def commit(self) -> None:
         if any(self.intent.values()):
