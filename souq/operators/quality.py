@@ -241,10 +241,11 @@ def deleted_by_cascade(tables: dict[str, DataFrame], root: str, deleted_keys: Da
     """The keys that go from every table reached over CASCADE edges, as semi joins.
 
     They are lazy unless ``keep`` materialises them: it is applied to each table's keys, parents first.
+    The given keys, not the table, are the side of the join that may go to every task.
     """
     pk_root = PRIMARY_KEYS[root]
-    deleted: dict[str, DataFrame] = {root: keep(deleted_keys.select(F.col(deleted_keys.columns[0]).alias(pk_root))
-                                                .join(tables[root].select(pk_root), pk_root, "left_semi").distinct())}
+    deleted: dict[str, DataFrame] = {root: keep(tables[root].select(pk_root).join(
+        deleted_keys.select(F.col(deleted_keys.columns[0]).alias(pk_root)), pk_root, "left_semi").distinct())}
     for t in _cascade_order(root)[1:]:
         pk = PRIMARY_KEYS[t]
         hits = []

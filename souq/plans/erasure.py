@@ -91,7 +91,7 @@ def erase_stored(spark: SparkSession, base: str, root: str, deleted_keys: DataFr
         return kept
 
     # each table's keys are read by the lookup, the rewrite and the next tables
-    deleted = deleted_by_cascade(tables, root, deleted_keys, keep=keep)
+    deleted = deleted_by_cascade(tables, root, keep(deleted_keys), keep=keep)
     # few keys leave the rows where they are read, in the files of their partitions
     placed = all(few)
     done: dict[str, list] = {}

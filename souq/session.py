@@ -150,6 +150,20 @@ def keep_keys(df: DataFrame, most: int = BROADCAST_KEYS) -> tuple[DataFrame, boo
     return (F.broadcast(kept) if few else kept), few
 
 
+#: rows of a table that a join may send to every task: with a few columns about 10 MB there
+BROADCAST_ROWS = 100_000
+
+
+def shuffled_if_many(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table as one side of joins: with many rows it is shuffled, however small its files are.
+
+    Left to itself Spark sends a table to the driver and to every task when its
+    files are small, but compressed files may hold fifty times their size in
+    rows.  The rows are counted from the files' footers.
+    """
+    return df if df.count() <= most else df.hint("merge")
+
+
 def local_test_session(cores: int = 8) -> SparkSession:
     os.environ.setdefault("PYSPARK_PYTHON", "python")
     spark = get_spark(
